@@ -1,5 +1,60 @@
-"""A training corpus from raw documents, stage by stage."""
-STAGES = []
+"""A training corpus from raw documents: five stages, each one operator of ``papyra.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again as the next one's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papyra.llm.bpe import digests
+from papyra.llm.common import table, written
+from papyra.llm.decontamination import drop_contaminated
+from papyra.llm.line_dedup import line_dedup
+from papyra.llm.near_dup import drop_near_duplicates
+from papyra.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score less than 0.3 go on."""
+    return drop_toxic(spark, docs, sf_dir)
+
+
+def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on more than a tenth of their source's documents are taken out of the texts."""
+    out = line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates goes on."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark go on."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text."""
+    import public_tokenizers
+
+    return digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("line dedup", boilerplate), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("encoding", encoding)]
+
+#: SQL expresses neither the learned lexicon nor the tokenizer; tests hold run() against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

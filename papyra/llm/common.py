@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,19 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
     Where that is unset a folder of this machine is taken, which only a local session allows.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if where is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="papyra-checkpoint-"))
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="papyra-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder until nothing refers to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels nothing may learn from."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
@@ -47,3 +62,19 @@ def by_rows(f: Callable[[list], list[tuple]], schema: pa.Schema, column: str = "
                 yield pa.RecordBatch.from_arrays([part.column(keep).cast(schema.field(0).type), *(pa.array(list(c), t.type) for c, t in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
     return run
+
+
+#: Ids up to which ``without`` broadcasts them (8 bytes each).
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows of these ids (one column of the same name), in the columns of docs.
+
+    The ids are broadcast while a count shows that they are few, so that texts stay where they
+    are; else both sides are shuffled.
+    """
+    few = checkpointed(ids.distinct())
+    if few.count() <= BROADCAST_IDS:
+        few = F.broadcast(few)
+    return docs.join(few, id_col, "left_anti").select(*docs.columns)

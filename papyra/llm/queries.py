@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe_codec
+from .decontamination import op9_decontamination
+from .line_dedup import OP4_SQL, op4_line_dedup
+from .near_dup import op5_near_duplicates
+from .quality import op8_quality_classifier
 from .token_counts import op6_token_counts
+from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_line_dedup, op5_near_duplicates, op6_token_counts, op7_bpe_codec, op8_quality_classifier, op9_decontamination)}
 
 #: DuckDB SQL by query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
