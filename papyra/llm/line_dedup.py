@@ -43,21 +43,23 @@ def line_dedup(docs: DataFrame, *, host_col: str = "source", text_col: str = "te
     page counts once for each line, however often it repeats it; repeated rows are pages of
     their own. A page all of whose lines are boilerplate is a copied page rather than a frame
     around content: it stays as it is, for document-level deduplication. Pages without a host
-    and null texts stay as they are; an empty table gives an empty one.
+    and null texts stay as they are; an empty table gives an empty one. Columns of docs that
+    are called as the two new ones are replaced.
     """
     sets = checkpointed(boilerplate_lines(docs, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages).select("host", "key"))
     lists = sets.groupBy("host").agg(F.collect_list("key").alias("dl_keys")).withColumnRenamed("host", "dl_host")
     if sets.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    joined = docs.join(lists, docs[host_col] == lists["dl_host"], "left").drop("dl_host")
-    text = docs[text_col]
-    keys = F.coalesce(F.col("dl_keys"), F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    # A row is one column here, so that no name of its own can clash.
+    row = F.col("row")
+    joined = docs.select(F.struct("*").alias("row")).join(lists, row[host_col] == F.col("dl_host"), "left")
+    text, keys = row[text_col], F.coalesce(F.col("dl_keys"), F.array().cast("array<struct<a:bigint,b:bigint>>"))
     kept = F.filter(_lines(text), lambda x: ~((F.trim(x) != "") & F.array_contains(keys, _key(x))))
     filled = lambda lines: F.size(F.filter(lines, lambda x: F.trim(x) != ""))
-    joined = joined.withColumns({"dl_kept": kept, "dl_lines": F.when(text.isNull(), 0).otherwise(filled(_lines(text)))})
-    stays = F.col("dl_kept").isNull() | (filled(F.col("dl_kept")) == 0)
-    joined = joined.withColumns({"dl_text": F.when(stays, text).otherwise(F.array_join("dl_kept", "\n")), "dl_dropped": F.when(stays, 0).otherwise(F.col("dl_lines") - filled(F.col("dl_kept")))})
-    names = [F.col("dl_text").alias(c) if c == text_col else docs[c] for c in docs.columns]
+    joined = joined.select("row", kept.alias("kept"), F.when(text.isNull(), 0).otherwise(filled(_lines(text))).alias("dl_lines"))
+    stays = F.col("kept").isNull() | (filled(F.col("kept")) == 0)
+    joined = joined.select("row", F.when(stays, text).otherwise(F.array_join("kept", "\n")).alias("new"), "dl_lines", F.when(stays, 0).otherwise(F.col("dl_lines") - filled(F.col("kept"))).alias("dl_dropped"))
+    names = [F.col("new").alias(c) if c == text_col else row[c].alias(c) for c in docs.columns if c not in ("dl_lines", "dl_dropped")]
     return joined.select(*names, "dl_lines", "dl_dropped")
 
 
