@@ -11,11 +11,13 @@ costs time in proportion to its shingles plus t, rather than to shingles times k
 
 Signatures are cut into bands; texts that share a band are candidates. A bucket is never
 turned into all of its pairs: all members are compared with one leader, the member whose
-bands are the most crowded (near the middle of its group). What the leader doesn't link,
-directly or through other bands, is then compared with everything in its bucket; while that
-would be more than a fixed multiple of the table, another leader is taken instead. Every pair
-is verified exactly, on the shingles of both whole texts. Classes are the components of the
-verified links. Copies of a text are one text throughout. Nothing is collected.
+bands are the most crowded (near the middle of its group). What that leaves apart from its
+leader, in buckets of three or more, is compared by an exact prefix join: of each text only
+the rarest elements are indexed, so many that texts as similar as asked must share one. A
+variant far from the rest of its group has enough elements of its own to fill its prefix and
+meets nothing; close ones meet where they share rare elements. Every pair is verified exactly,
+on the shingles of both whole texts. Classes are the components of the verified links. Copies
+of a text are one text throughout. Nothing is collected, no bucket is capped.
 """
 
 from __future__ import annotations
@@ -27,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, without
+from .common import BROADCAST_IDS, checkpointed, table, without
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
 K = BANDS * ROWS
 #: Shingles that are turned into darts at once: bounds a worker's memory.
 AT_ONCE = 400_000
-#: Pairs, for each distinct text, up to which the rest of all buckets is compared in one go.
-REST = 8
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,25 +155,46 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", words(F.col("text")).alias("words")).mapInArrow(run, "doc_id long, elements array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose weighted Jaccard similarity is at least threshold."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = checkpointed(shingled(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as its rows ask for: small tables needn't keep those of large ones."""
+    return df.coalesce(8 + rows // 100_000)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose weighted Jaccard similarity is at least threshold; sets: doc_id, elements."""
     a = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("eu"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("ev"))
     both = F.size(F.array_intersect("eu", "ev"))
     return pairs.join(b, "v").join(a, "u").filter(both >= threshold * (F.size("eu") + F.size("ev") - both)).select("u", "v")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for each node of edges (u, v); least labels spread, then point on."""
-    both = checkpointed(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    label = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).withColumnRenamed("u", "node"))
+def prefix_pairs(sets: DataFrame, sought: DataFrame, threshold: float) -> DataFrame:
+    """u, v (u < v): pairs of a sought text (doc_id) and any text of sets that can reach the threshold.
+
+    In any one order of all elements, two sets of a Jaccard similarity t share an element among
+    the first n - ceil(t n) + 1 of each. The order here is the rarest first. Their first common
+    element also leaves enough behind it in both for the overlap that the similarity asks for.
+    """
+    flat = sets.select("doc_id", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    often = flat.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = flat.join(often, "e", "left").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), F.col("e").alias("e")))).alias("r"))
+    length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1
+    index = checkpointed(ranked.select("doc_id", "n", F.posexplode(F.slice("r", 1, length)).alias("at", "x")).filter("x.df > 1").select("doc_id", "n", "at", F.col("x.e").alias("e")))
+    one = index.join(sought.distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), "e")
+    rest = F.least(F.col("n") - F.col("at"), F.col("na") - F.col("ata"))
+    near = (rest + 1e-9 >= threshold / (1 + threshold) * (F.col("n") + F.col("na"))) & (F.col("a") != F.col("doc_id"))
+    return one.join(index, "e").filter(near).select(F.least("a", "doc_id").alias("u"), F.greatest("a", "doc_id").alias("v")).distinct()
+
+
+def components(edges: DataFrame, n: int) -> DataFrame:
+    """node, component (its least node) for each node of the n edges (u, v); least labels spread, then point on."""
+    both = checkpointed(_few(edges.select("u", "v").union(edges.select("v", "u")).distinct(), 2 * n))
+    label = checkpointed(_few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).withColumnRenamed("u", "node"), n))
     while True:
         near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("c").alias("m"))
         least = label.join(near, label.node == near.u).select("node", "c", F.least("c", "m").alias("n"))
         onward = label.select(F.col("node").alias("n"), F.col("c").alias("onward"))
-        step = checkpointed(least.join(onward, "n").select("node", "c", F.least("n", "onward").alias("now")))
+        step = checkpointed(_few(least.join(onward, "n").select("node", "c", F.least("n", "onward").alias("now")), n))
         label = step.select("node", F.col("now").alias("c"))
         if step.filter("now <> c").isEmpty():
             return label.withColumnRenamed("c", "component")
@@ -188,44 +209,40 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, text_col: str =
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     rows = checkpointed(banded(docs))
-    first = rows.filter("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("rep"))
-    known = rows.select("doc_id", "text_id").join(first, "text_id", "left")
+    first = checkpointed(rows.filter("doc_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("rep")))
     texts = rows.join(first, "text_id").filter("doc_id = rep").dropDuplicates(["rep"])
     every = texts.select("rep", F.explode("bands").alias("b"))
     crowded = every.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1")
     bucket = checkpointed(every.join(crowded, "b"))
-    crowd = bucket.groupBy("rep").agg(F.sum("n").alias("crowd"))
-    placed = bucket.join(crowd, "rep")
+    members = bucket.count()
+    bucket = _few(bucket, members)
+    inside = checkpointed(_few(bucket.groupBy("rep").agg(F.sum("n").alias("crowd")), members))
+    several = inside.count()
+    ids = inside.select(F.col("rep").alias("doc_id"))
+    sets = checkpointed(shingled(docs.join(F.broadcast(ids) if several <= BROADCAST_IDS else ids, "doc_id", "left_semi")))
+    if sets.count() > several:  # rows that share an id
+        sets = sets.dropDuplicates(["doc_id"])
     most = F.max_by("rep", F.struct(F.col("crowd"), -F.col("rep")))
-    leader = placed.groupBy("b").agg(most.alias("leader"))
-    pairs = checkpointed(bucket.join(leader, "b").filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct())
-    links = checkpointed(verified(pairs, docs, threshold))
-    budget = max(1_000_000, REST * texts.count())
-    while True:
-        label = components(links)
-        marked = bucket.join(label, bucket.rep == label.node, "left").select("b", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        head = marked.join(leader, "b").filter("rep = leader").select("b", F.col("c").alias("lead"))
-        apart = checkpointed(marked.join(head, "b").filter("c <> lead").select("b", "rep", "n", "c"))
-        work = apart.agg(F.sum("n")).first()[0]
-        if not work:
-            break
-        if work <= budget:
-            turn = apart.select("b", F.col("rep").alias("u"), F.col("c").alias("cu"))
-        else:
-            turn = apart.join(crowd, "rep").groupBy("b").agg(F.max_by(F.struct("rep", "c"), F.struct(F.col("crowd"), -F.col("rep"))).alias("x")).select("b", F.col("x.rep").alias("u"), F.col("x.c").alias("cu"))
-        others = turn.join(marked.select("b", F.col("rep").alias("v"), F.col("c").alias("cv")), "b").filter("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        done = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        fresh = checkpointed(others.join(done, ["u", "v"], "left_anti"))
-        if not fresh.isEmpty():
-            links = checkpointed(links.union(verified(fresh, docs, threshold)))
-            pairs = checkpointed(pairs.union(fresh))
-        if work <= budget:
-            label = components(links)
-            break
-        # The old leaders' texts have been compared; buckets go on among what is apart from them.
-        leader = turn.select("b", F.col("u").alias("leader"))
-        bucket = checkpointed(bucket.join(apart.select("b", "rep"), ["b", "rep"], "left_semi"))
-    out = known.join(label, known.rep == label.node, "left")
+    leader = checkpointed(_few(bucket.join(inside, "rep").groupBy("b").agg(most.alias("leader")), members))
+    pairs = bucket.join(leader, "b").filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
+    links = checkpointed(_few(verified(pairs, sets, threshold), members))
+    label = components(links, links.count())
+    # What its bucket's leader isn't linked to, and all texts of such buckets.
+    marked = bucket.filter("n > 2").join(label, F.col("rep") == label.node, "left").select("b", "rep", F.coalesce("component", "rep").alias("c"))
+    marked = marked.join(leader, "b")
+    heads = marked.filter("rep = leader").select("b", F.col("c").alias("lead"))
+    marked = checkpointed(_few(marked.join(heads, "b").select("b", F.col("rep").alias("doc_id"), (F.col("c") != F.col("lead")).alias("apart")), members))
+    apart = marked.filter("apart").select("doc_id").distinct()
+    open_ = marked.join(marked.filter("apart").select("b").distinct(), "b", "left_semi").select("doc_id").distinct()
+    more = prefix_pairs(sets.join(open_, "doc_id", "left_semi"), apart, threshold)
+    # Pairs that are one class already need no look.
+    of = label.select("node", "component")
+    more = more.join(of.toDF("u", "cu"), "u", "left").join(of.toDF("v", "cv"), "v", "left").filter("cu is null or cv is null or cu <> cv").select("u", "v")
+    found = checkpointed(_few(verified(more, sets, threshold), members))
+    if not found.isEmpty():
+        links = links.union(found)
+        label = components(links, members)
+    out = rows.select("doc_id", "text_id").join(first, "text_id", "left").join(label, F.col("rep") == label.node, "left")
     return out.select(F.col("doc_id").alias(id_col), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("class_id"))
 
 
