@@ -101,10 +101,10 @@ def explorer(spark, sf_dir):
 
 
 @query("""
-SELECT l_suppkey AS src, l_partkey AS dst, max_by(l_orderkey, (l_orderkey, l_linenumber)) AS last_order, max_by(l_quantity, (l_orderkey, l_linenumber)) AS weight FROM lineitem GROUP BY ALL""")
+SELECT l_suppkey AS src, l_partkey AS dst, max_by(l_orderkey, (l_orderkey, l_linenumber, l_quantity)) AS last_order, max_by(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS weight FROM lineitem GROUP BY ALL""")
 def merged_edges(spark, sf_dir):
     """Edge upserts: the last write of each pair of ends stays."""
-    e = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_orderkey").alias("last_order"), F.col("l_quantity").alias("weight"), F.struct("l_orderkey", "l_linenumber").alias("seq"))
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_orderkey").alias("last_order"), F.col("l_quantity").alias("weight"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("seq"))
     return graph.merge_edges(e).select("src", "dst", "last_order", "weight")
 
 

@@ -53,7 +53,7 @@ def relation_templates(spark, sf_dir):
 @query("""
 WITH r AS (SELECT l_suppkey % 50 AS subject_id, l_linestatus AS relation_type, l_partkey % 50 AS object_id, CASE WHEN l_returnflag = 'A' THEN 'approved' ELSE 'pending' END AS review_status,
   CASE l_returnflag WHEN 'N' THEN 'llm_relation' WHEN 'R' THEN 'candidate_relation' ELSE 'deterministic_relation' END AS source, l_discount AS confidence, repeat('x', CAST(l_quantity AS BIGINT)) AS evidence_span, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
-k AS (SELECT *, row_number() OVER (PARTITION BY subject_id, relation_type, object_id ORDER BY (review_status = 'approved') DESC, CASE source WHEN 'deterministic_relation' THEN 3 WHEN 'llm_relation' THEN 2 ELSE 1 END DESC, confidence DESC, length(evidence_span) DESC, ord) AS n FROM r)
+k AS (SELECT *, row_number() OVER (PARTITION BY subject_id, relation_type, object_id ORDER BY (review_status = 'approved') DESC, CASE source WHEN 'deterministic_relation' THEN 3 WHEN 'llm_relation' THEN 2 ELSE 1 END DESC, confidence DESC, length(evidence_span) DESC, ord, source) AS n FROM r)
 SELECT subject_id, relation_type, object_id, review_status, source, confidence, length(evidence_span) AS evidence_chars, ord FROM k WHERE n = 1""")
 def best_relation(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem")
