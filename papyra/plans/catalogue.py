@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, linking_queries, quality_queries, table_queries, text_queries  # noqa: F401
+from . import extraction_queries, graph_queries, linking_queries, quality_queries, table_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
