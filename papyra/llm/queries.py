@@ -5,7 +5,7 @@ from __future__ import annotations
 from .ann import op10_nearest_neighbours
 from .bpe import op7_bpe_codec
 from .chat import OP2_SQL, op2_chat_format
-from .decontamination import op9_decontamination
+from .decontamination import OP9_SQL, op9_decontamination
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dup import op5_near_duplicates
 from .quality import op8_quality_classifier
@@ -16,4 +16,4 @@ from .warc import OP1_SQL, op1_warc_derivatives
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_chat_format, op3_toxicity, op4_line_dedup, op5_near_duplicates, op6_token_counts, op7_bpe_codec, op8_quality_classifier, op9_decontamination, op10_nearest_neighbours)}
 
 #: DuckDB SQL by query.
-ORACLES: dict[str, str] = {"op1_warc_derivatives": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_warc_derivatives": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
