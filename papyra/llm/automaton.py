@@ -30,6 +30,8 @@ FEW = 12
 START = -1
 ALWAYS = 1 << 60
 NEW = object()
+#: Answers that are remembered: about 50 MB of a worker.
+MEMO = 400_000
 
 
 class TokenAutomaton:
@@ -69,7 +71,7 @@ class TokenAutomaton:
         key = x * self.n + t
         known = self.memo.get(key)
         if known is None:
-            if len(self.memo) > 2_000_000:
+            if len(self.memo) > MEMO:
                 self.memo.clear()
             known = self.memo[key] = self.made[t] != -2 and self._allows(x, t)
         return known
@@ -78,7 +80,7 @@ class TokenAutomaton:
 class PrefixMachine:
     """Symbols in, last token (or change of the token count) of each prefix out."""
 
-    def __init__(self, automaton: TokenAutomaton, spelled: dict[int, tuple], counted: bool, max_states: int = 200_000):
+    def __init__(self, automaton: TokenAutomaton, spelled: dict[int, tuple], counted: bool, max_states: int = 60_000):
         """spelled: the symbols of each token that can occur; counted: keep token counts in states, so that transitions emit count changes."""
         self.automaton = automaton
         self.counted = counted
@@ -127,7 +129,7 @@ class PrefixMachine:
             allows = self.automaton.allows
             these = tuple(t for t in self.below[node] if allows(q, t))
             known = self.alike.setdefault((node, these), q) if these else None
-            if len(self.alike) > 1_000_000:
+            if len(self.alike) > MEMO // 3:
                 self.alike.clear()
             self.alike[(node, q)] = known
         return known

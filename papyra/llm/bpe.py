@@ -17,7 +17,7 @@ from .common import by_rows, table
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 
 
 class Codec(dict):

@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Rows of text in one Arrow batch: bounds a worker's memory where texts are long.
 TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept in this worker for further tasks; one such thing at a time, as workers are reused by all operators."""
+    if key not in _RESIDENT:
+        make_room()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def make_room() -> None:
+    """Drops what other operators have left in this worker."""
+    _RESIDENT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 

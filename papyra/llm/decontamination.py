@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, without
+from .common import checkpointed, make_room, table, without
 
 #: Words as in ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became a-z, on UTF-8.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -63,6 +63,7 @@ def term_counts(docs: DataFrame, block: Block) -> list[int]:
     shared = docs.sparkSession.sparkContext.broadcast(block.vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         vocabulary, seen = shared.value, Counter()
         for b in batches:
             for t in b.column("text").to_pylist():
@@ -100,6 +101,7 @@ def postings(docs: DataFrame, block: Block, kept: set[int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((block.vocabulary, {w for w, t in block.vocabulary.items() if t in kept}))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         vocabulary, wanted = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, checkpointed, table, without
+from .common import BROADCAST_IDS, checkpointed, make_room, table, without
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
 K = BANDS * ROWS
 #: Shingles that are turned into darts at once: bounds a worker's memory.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,6 +114,7 @@ def signatures(element: np.ndarray, sizes: np.ndarray, k: int = K) -> np.ndarray
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches cut so that each has about AT_ONCE words: (part, hashes, sizes)."""
+    make_room()
     for b in batches:
         sizes = b.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE)) + 1
@@ -225,7 +226,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, text_col: str =
     most = F.max_by("rep", F.struct(F.col("crowd"), -F.col("rep")))
     leader = checkpointed(_few(bucket.join(inside, "rep").groupBy("b").agg(most.alias("leader")), members))
     pairs = bucket.join(leader, "b").filter("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-    links = checkpointed(_few(verified(pairs, sets, threshold), members))
+    links = _few(checkpointed(verified(pairs, sets, threshold)), members)
     label = components(links, links.count())
     # What its bucket's leader isn't linked to, and all texts of such buckets.
     marked = bucket.filter("n > 2").join(label, F.col("rep") == label.node, "left").select("b", "rep", F.coalesce("component", "rep").alias("c"))
@@ -238,7 +239,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, text_col: str =
     # Pairs that are one class already need no look.
     of = label.select("node", "component")
     more = more.join(of.toDF("u", "cu"), "u", "left").join(of.toDF("v", "cv"), "v", "left").filter("cu is null or cv is null or cu <> cv").select("u", "v")
-    found = checkpointed(_few(verified(more, sets, threshold), members))
+    found = _few(checkpointed(verified(more, sets, threshold)), members)
     if not found.isEmpty():
         links = links.union(found)
         label = components(links, members)

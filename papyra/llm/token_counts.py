@@ -31,7 +31,7 @@ WORD = re.compile(f"[ {SPACE}]*[^ {SPACE}\n]+|\n|[ {SPACE}]+")
 #: A place that no token crosses lies before each of these.
 CUT = re.compile(f"(?<=[^ {SPACE}])[ {SPACE}]|(?<!^)\n|(?<=\n)(?!^).", re.S)
 CHUNK = 65_536
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 Map = tuple[str, int | None, str]
 

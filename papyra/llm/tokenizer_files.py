@@ -1,4 +1,4 @@
-"""Merge lists of two public tokenizer files, read once in each Python worker.
+"""Merge lists of two public tokenizer files, read once by each Python worker.
 
 Paths are parameters. A path must be readable where the task runs (installed with the
 workers, or shipped with ``spark.files``); no vocabulary is kept in this repository.
@@ -7,9 +7,9 @@ workers, or shipped with ``spark.files``); no vocabulary is kept in this reposit
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 from .automaton import PrefixMachine, TokenAutomaton
+from .common import resident
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -111,11 +111,9 @@ def last_merge(piece: str, of_piece: dict[str, int], rank: dict[int, int]) -> tu
     return (parts[0], parts[1])
 
 
-@lru_cache(maxsize=4)
 def byte_level(path: str) -> ByteLevelBpe:
-    return ByteLevelBpe(path)
+    return resident(("byte-level", path), lambda: ByteLevelBpe(path))
 
 
-@lru_cache(maxsize=4)
 def piece_counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return resident(("pieces", path), lambda: PieceCounter(path))

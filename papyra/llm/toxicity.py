@@ -7,7 +7,8 @@ phrase. The summed weight is divided by a measure of the text's length.
 
 Entries and weights come from labelled training rows: log odds of words and stems. An entry is
 kept if the evidence for it (log likelihood ratio) beats the number of terms tested, so that
-chance doesn't make any. The automaton holds ``lexicon_size`` entries at most.
+chance doesn't make any, and if different words stand beside it, so that a toxic text's copies
+don't. The automaton holds ``lexicon_size`` entries at most.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, checkpointed, held_out, table
+from .common import by_rows, checkpointed, held_out, make_room, table
 
 # Letters of other scripts that look like Latin ones, each above its look-alike.
 LOOKALIKES = "аАеЕоОрРсСуУхХіІјЈѕЅһԁԛԝкКмМтТвВнНοΟαΑνΝιΙρΡκΚτΤυΥχΧεΕηΗ"
@@ -79,15 +80,71 @@ def learn_lexicon(train: DataFrame, *, lexicon_size: int = 5_000) -> list[tuple[
     stems = [F.struct(F.substring("word", 1, k).alias("term"), F.lit(False).alias("whole")) for k in STEMS]
     terms = F.filter(F.array(F.struct(F.col("word").alias("term"), F.lit(True).alias("whole")), *stems), lambda x: x["whole"] | (F.length(x["term"]) < F.length("word")))
     counted = words.select("pos", "neg", F.explode(terms).alias("t")).filter(F.length("t.term") >= 3).groupBy("t.term", "t.whole").agg(F.least(F.sum("pos"), F.lit(pos)).alias("p"), F.least(F.sum("neg"), F.lit(neg)).alias("n"))
+    counted = checkpointed(counted.filter("p > 0"))
     share = pos / (pos + neg)
     log = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
     both = F.col("p") + F.col("n")
     evidence = log(F.col("p"), both * share) + log(F.col("n"), both * (1 - share))
-    weight = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    scored = counted.filter(F.col("p") >= 3).select("term", "whole", weight.alias("weight"), evidence.alias("evidence")).filter((F.col("weight") > math.log(20)) & (F.col("evidence") > 8))
-    tested = counted.count()
-    kept = scored.filter(F.col("evidence") > math.log(max(2, tested)) + 2).orderBy(F.desc("evidence"), "term", "whole").limit(lexicon_size).collect()
-    return [(r["term"], r["whole"], r["weight"]) for r in kept]
+    needed = math.log(max(2, counted.count())) + 2
+    scored = counted.withColumn("evidence", evidence).filter((F.col("p") >= 3) & (F.col("p") > both * share) & (F.col("evidence") > needed))
+    found = scored.orderBy(F.desc("evidence"), "term", "whole").limit(lexicon_size).collect()
+    free = spread(rows.filter("label = 1"), {(r["term"], r["whole"]) for r in found})
+    return purest([(r["term"], r["whole"], r["p"], r["n"]) for r in found if free.get((r["term"], r["whole"]), 0.0) >= LEAST_SPREAD])
+
+
+#: Effective number of neighbouring words that an entry must have had on either side.
+LEAST_SPREAD = 3.5
+#: Share of toxic texts among those with an entry from which its longer forms add nothing, and the least share of any entry.
+PURE, LEAST_SHARE = 0.97, 0.5
+
+
+def spread(toxic: DataFrame, terms: set[tuple[str, bool]]) -> dict[tuple[str, bool], float]:
+    """How many different words stand beside each term in toxic texts: the smaller, over both sides, of the effective numbers (inverse sums of squared shares).
+
+    Words of a text that went round in edited copies stand beside the same words again and
+    again; words of abuse stand anywhere. terms is bounded by the size of the lexicon.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for text in b.column("text").to_pylist():
+                words = WORD.findall(fold(text or ""))
+                once = set()
+                for i, w in enumerate(words):
+                    for t in ((w, True), *((w[:k], False) for k in STEMS if k < len(w))):
+                        if t in terms and t not in once:
+                            once.add(t)
+                            seen[(*t, 0, words[i - 1] if i else "")] += 1
+                            seen[(*t, 1, words[i + 1] if i + 1 < len(words) else "")] += 1
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], "string"), pa.array([k[1] for k in keys], "bool"), pa.array([k[2] for k in keys], "int32"), pa.array([k[3] for k in keys], "string"), pa.array([seen[k] for k in keys], "int64")], names=["term", "whole", "side", "beside", "n"])
+
+    pairs = toxic.select("text").mapInArrow(run, "term string, whole boolean, side int, beside string, n long").groupBy("term", "whole", "side", "beside").agg(F.sum("n").cast("double").alias("n"))
+    sides = pairs.groupBy("term", "whole", "side").agg((F.pow(F.sum("n"), F.lit(2)) / F.sum(F.col("n") * F.col("n"))).alias("e"))
+    return {(r["term"], r["whole"]): r["e"] for r in sides.groupBy("term", "whole").agg(F.min("e").alias("e")).collect()}
+
+
+def purest(found: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool, float]]:
+    """(entry, whole, weight) of (entry, whole, toxic, clean): entries that are nearly only toxic, without longer forms that add little; of others what such forms leave, if more than half is toxic. The weight is the log odds of a text with the entry."""
+    kept: list[tuple[str, bool, int, int]] = []
+    rest = []
+    for term, whole, p, n in sorted(found, key=lambda x: (len(x[0]), x[1], x[0])):
+        if any(not w and term.startswith(t) for t, w, _, _ in kept):
+            continue
+        if (p + 0.5) / (p + n + 1) >= PURE or (n == 0 and p >= 3):
+            # The longest form that nearly all of its texts have says as much and less besides.
+            kept.append(max((x for x in found if x[0].startswith(term) and x[2] >= PURE * p and x[3] <= n and (x[1] or not whole)), key=lambda x: (len(x[0]), x[1])))
+        else:
+            rest.append((term, whole, p, n))
+    for term, whole, p, n in sorted(rest, key=lambda x: (-len(x[0]), x[1], x[0])):
+        if any(not w and term.startswith(t) for t, w, _, _ in kept):
+            continue
+        inside = [x for x in kept if x[0].startswith(term) and not whole]
+        p, n = p - sum(x[2] for x in inside), n - sum(x[3] for x in inside)
+        if p >= 3 and p > LEAST_SHARE * (p + n):
+            kept.append((term, whole, p, max(0, n)))
+    return sorted({(t, w, math.log((p + 0.5) / (n + 0.5))) for t, w, p, n in kept}, key=lambda x: (-x[2], x[0], x[1]))
 
 
 class Scorer:
@@ -177,6 +234,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held: list[Scorer] = []
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         if not held:
             held.append(Scorer(lexicon))
         for b in batches:
