@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -38,7 +39,15 @@ def make_room() -> None:
     """Drops what other operators have left in this worker."""
     _RESIDENT.clear()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns to the machine what this worker has freed but its allocators keep."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -83,6 +92,7 @@ def by_rows(f: Callable[[list], list[tuple]], schema: pa.Schema, column: str = "
                 rows = f([t or "" for t in part.column(column).to_pylist()])
                 columns = list(zip(*rows, strict=True)) or [()] * (len(schema) - 1)
                 yield pa.RecordBatch.from_arrays([part.column(keep).cast(schema.field(0).type), *(pa.array(list(c), t.type) for c, t in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            give_back()
 
     return run
 

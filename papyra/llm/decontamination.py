@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, make_room, table, without
+from .common import checkpointed, give_back, make_room, table, without
 
 #: Words as in ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became a-z, on UTF-8.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -68,6 +68,7 @@ def term_counts(docs: DataFrame, block: Block) -> list[int]:
         for b in batches:
             for t in b.column("text").to_pylist():
                 seen.update(filter(vocabulary.__contains__, words(t)))
+            give_back()
         yield pa.RecordBatch.from_pydict({"term": pa.array([vocabulary[w] for w in seen], "int32"), "n": pa.array(list(seen.values()), "int64")})
 
     counts = [0] * len(block.vocabulary)
@@ -124,6 +125,7 @@ def postings(docs: DataFrame, block: Block, kept: set[int]) -> DataFrame:
                         near.append([OTHER] * (left - j + WINDOW - 1) + part + [OTHER] * (2 * WINDOW - 1 - (left - j + WINDOW - 1) - len(part)))
                 take = pa.array(row, "int32")
                 yield pa.RecordBatch.from_arrays([pa.array(term, "int32"), b.column("doc_id").take(take), b.column("text_id").take(take), pa.array(pos, "int32"), pa.array(near, pa.list_(pa.int32()))], names=["term", "doc_id", "text_id", "pos", "near"])
+            give_back()
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
     return rows.mapInArrow(run, "term int, doc_id long, text_id long, pos int, near array<int>")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, checkpointed, make_room, table, without
+from .common import BROADCAST_IDS, checkpointed, give_back, make_room, table, without
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
 K = BANDS * ROWS
@@ -122,6 +122,7 @@ def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             if hi > lo:
                 part = b.slice(lo, hi - lo)
                 yield part, part.column("words").flatten().to_numpy(zero_copy_only=False), sizes[lo:hi]
+        give_back()
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:

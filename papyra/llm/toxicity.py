@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, checkpointed, held_out, make_room, table
+from .common import by_rows, checkpointed, give_back, held_out, make_room, table
 
 # Letters of other scripts that look like Latin ones, each above its look-alike.
 LOOKALIKES = "аАеЕоОрРсСуУхХіІјЈѕЅһԁԛԝкКмМтТвВнНοΟαΑνΝιΙρΡκΚτΤυΥχΧεΕηΗ"
@@ -239,5 +239,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             held.append(Scorer(lexicon))
         for b in batches:
             yield b.filter(pa.array([held[0].score(t or "") < 0.3 for t in b.column("text").to_pylist()], "bool"))
+            give_back()
 
     return docs.mapInArrow(keep, docs.schema)
