@@ -17,10 +17,15 @@ from ..ship import ship
 
 #: Rows of text in one Arrow batch: bounds a worker's memory where texts are long.
 TEXT_ROWS = 1000
+#: The session's setting for that; 10,000 where nobody has set it.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, in a session whose Arrow batches have TEXT_ROWS rows, unless it says otherwise: whole texts and their word lists make rows large."""
     ship(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
