@@ -21,7 +21,10 @@ from .common import by_rows, held_out, table
 from .toxicity import training_rows
 
 ROWS, DIM, GRAMS = 1 << 15, 10, (3, 4)
-WORDS_KEPT = 200_000
+#: A scorer keeps so many words, and so many characters of them.
+WORDS_KEPT, CHARS_KEPT = 200_000, 40_000_000
+#: Words are hashed so many characters at a time, longer ones in slices of so many bytes.
+SLICE = 1 << 16
 #: The row of repeated words, and how many features a repeat counts for (about as many as a word has).
 AGAIN, WEIGHT = ROWS, 8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -32,40 +35,83 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(ROWS)).astype(np.int64)
 
 
+def _grams(data: np.ndarray, n: int) -> np.ndarray:
+    h = np.zeros(max(0, len(data) - n + 1), np.uint64)
+    for k in range(n):
+        h = h * np.uint64(1_000_003) + data[k : k + len(h)]
+    return h + np.uint64(n)
+
+
+def _powers(at: np.ndarray) -> np.ndarray:
+    return MULTIPLIER ** (at.astype(np.uint64) + np.uint64(1))
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all features of the words, word by word, and how many each word has."""
-    coded = [b"<" + w.encode("utf-8", "replace")[:200] + b">" for w in words]
+    coded = [b"<" + w.encode("utf-8", "replace") + b">" for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
     ends = np.cumsum(sizes)
     starts, owner = ends - sizes, np.repeat(np.arange(len(coded)), sizes)
-    powers = MULTIPLIER ** (np.arange(len(data), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64) + np.uint64(1))
+    powers = _powers(np.arange(len(data)) - np.repeat(starts, sizes))
     whole = np.add.reduceat((data + np.uint64(7)) * powers, starts) if len(coded) else np.zeros(0, np.uint64)
     rows, owners = [_mix(whole)], [np.arange(len(coded))]
     for n in GRAMS:
-        if len(data) < n:
-            continue
-        h = np.zeros(len(data) - n + 1, np.uint64)
-        for k in range(n):
-            h = h * np.uint64(1_000_003) + data[k : len(data) - n + 1 + k]
-        inside = owner[: len(h)] == owner[n - 1 :]
-        rows.append(_mix(h[inside] + np.uint64(n)))
+        h = _grams(data, n)
+        inside = owner[: len(h)] == owner[len(owner) - len(h) :]
+        rows.append(_mix(h[inside]))
         owners.append(owner[: len(h)][inside])
     row, own = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     return row[order], np.bincount(own, minlength=len(coded))
 
 
-def bag(text: str) -> np.ndarray:
-    """Feature rows of a whole text, with repeats."""
+def long_features(word: str) -> Iterator[np.ndarray]:
+    """The rows that features() gives for one word of any length, a slice of its bytes at a time."""
+    coded, whole = b"<" + word.encode("utf-8", "replace") + b">", np.zeros(1, np.uint64)
+    for at in range(0, len(coded), SLICE):
+        data = np.frombuffer(coded[at : at + SLICE + max(GRAMS) - 1], np.uint8).astype(np.uint64)
+        own = data[:SLICE]
+        whole += ((own + np.uint64(7)) * _powers(np.arange(at, at + len(own)))).sum()
+        for n in GRAMS:
+            yield _mix(_grams(data[: SLICE + n - 1], n))
+    yield _mix(whole)
+
+
+def portions(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of words with SLICE characters at most, longer words alone."""
+    start, held = 0, 0
+    for i, w in enumerate(words):
+        if i > start and held + len(w) > SLICE:
+            yield start, i
+            start, held = i, 0
+        held += len(w)
+    if words:
+        yield start, len(words)
+
+
+def tally(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature rows of a whole text and how often each is there."""
     words = text.split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     distinct, where = np.unique(np.array(words, dtype=object), return_inverse=True)
-    row, per = features(list(distinct))
-    times = np.bincount(where, minlength=len(distinct))
-    again = WEIGHT * int((where[1:] == where[:-1]).sum())
-    return np.concatenate([np.repeat(row, np.repeat(times, per)), np.full(again, AGAIN)])
+    distinct, times, total = list(distinct), np.bincount(where), np.zeros(ROWS + 1, np.int64)
+    for a, b in portions(distinct):
+        if len(distinct[a]) > SLICE:
+            for row in long_features(distinct[a]):
+                total += times[a] * np.bincount(row, minlength=ROWS + 1)
+        else:
+            row, per = features(distinct[a:b])
+            np.add.at(total, row, np.repeat(times[a:b], per))
+    total[AGAIN] += WEIGHT * int((where[1:] == where[:-1]).sum())
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
+def bag(text: str) -> np.ndarray:
+    """Feature rows of a whole text, with repeats."""
+    return np.repeat(*tally(text))
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, epochs: int = 6, rate: float = 0.3, seed: int = 7) -> dict:
@@ -105,8 +151,8 @@ def fit_quality(rows: DataFrame, *, max_rows: int = 6_000) -> dict:
         for whole in batches:
             for at in range(0, whole.num_rows, 100):
                 b = whole.slice(at, 100)
-                found = [np.unique(bag(t or ""), return_counts=True) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"label": b.column("label").cast("int32"), "row": pa.array([x.astype(np.uint16).tobytes() for x, _ in found], "binary"), "times": pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in found], "binary")})
+                found = [tally(t or "") for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"label": b.column("label").cast("int32"), "row": pa.array([x.astype(np.uint16).tobytes() for x, _ in found], "binary"), "times": pa.array([n.astype(np.uint32).tobytes() for _, n in found], "binary")})
 
     chosen = rows.filter(F.col("label").isin(0, 1)).orderBy(F.md5(F.coalesce("text", F.lit(""))), "label").limit(max_rows).repartition(8)
     # The order of what comes back isn't fixed, that of learning is.
@@ -115,7 +161,7 @@ def fit_quality(rows: DataFrame, *, max_rows: int = 6_000) -> dict:
         return {"table": np.zeros((ROWS + 1, DIM), np.float32), "out": np.zeros((DIM, 2)), "bias": np.zeros(2)}
     pairs = []
     for row, times, _ in got:
-        n = np.frombuffer(times, np.uint16).astype(np.float64)
+        n = np.frombuffer(times, np.uint32).astype(np.float64)
         pairs.append((np.frombuffer(row, np.uint16).astype(np.int64), n / max(1.0, n.sum())))
     return train(pairs, np.array([x[2] for x in got]))
 
@@ -129,18 +175,27 @@ class Scorer(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.sums, self.sizes, self.used = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.float32), 0
+        self.sums, self.sizes, self.used, self.chars = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.float32), 0, 0
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
         if not new:
             return
-        if len(self) + len(new) > WORDS_KEPT:
+        if len(self) + len(new) > WORDS_KEPT or self.chars + sum(map(len, new)) > CHARS_KEPT:
             self.forget()
             new = list(words)
         new.sort()
-        row, per = features(new)
-        sums = np.add.reduceat(self.model["table"][row], np.cumsum(per) - per, axis=0)
+        self.chars += sum(map(len, new))
+        sums, per = np.zeros((len(new), DIM), np.float32), np.zeros(len(new), np.int64)
+        for a, b in portions(new):
+            if len(new[a]) > SLICE:
+                total = np.zeros(ROWS + 1, np.int64)
+                for row in long_features(new[a]):
+                    total += np.bincount(row, minlength=ROWS + 1)
+                sums[a], per[a] = total @ self.model["table"].astype(np.float64), total.sum()
+            else:
+                row, per[a:b] = features(new[a:b])
+                sums[a:b] = np.add.reduceat(self.model["table"][row], np.cumsum(per[a:b]) - per[a:b], axis=0)
         need = self.used + len(new)
         if need > len(self.sizes):
             more = max(need, 2 * len(self.sizes)) - len(self.sizes)

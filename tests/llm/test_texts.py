@@ -126,6 +126,21 @@ def test_quality_classifier(spark):
     assert [r["score"] for r in score_quality(df.limit(1), empty).collect()] == [0.5]
 
 
+def test_quality_reads_words_to_their_ends(spark):
+    """Texts without spaces, some longer than a slice, whose last quarters decide the label."""
+    import numpy as np
+    from papyra.llm.quality import SLICE, features, fit_quality, long_features, score_quality, tally
+
+    docs = [(i, "中文" * (60 if i % 3 else SLICE) + ("好书" if i % 2 else "坏纸") * (20 if i % 3 else SLICE // 3) + str(i), i % 2) for i in range(48)]
+    train = spark.createDataFrame([(t, q) for i, t, q in docs if i < 36], "text string, label int")
+    held = spark.createDataFrame([(i, t) for i, t, _ in docs if i >= 36], "doc_id long, text string")
+    assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in score_quality(held, fit_quality(train)).collect())
+    for word in (docs[0][1], "x" * (2 * SLICE - 1), "abc"):
+        got, want = np.sort(np.concatenate(list(long_features(word)))), np.sort(features([word])[0])
+        assert got.tolist() == want.tolist() and tally(word + " b")[1].sum() == len(want) + len(features(["b"])[0])
+    assert tally("x" * 200_000)[1].max() > 65_535
+
+
 def test_pipeline_equals_its_parts(spark, tmp_path):
     """run() against plain versions of its stages on a small corpus."""
     import corpus_pipeline
