@@ -52,30 +52,43 @@ def _balanced(text: str) -> str | None:
 
 
 def _cut(text: str) -> str | None:
-    """A text that stops early, shortened to its last whole value and closed."""
+    """A text that stops early, shortened to its last whole value and closed.
+
+    Commas outside strings are the cuts. Where one gives JSON, all before it do, so the last that
+    does is found by halving.
+    """
     start = re.search(r"[\[{]", text)
     text = text[start.start() :] if start else ""
-    for end in [m.start() for m in re.finditer(",", text)][::-1][:200]:
-        stack, quoted, skip = [], False, False
-        for c in text[:end]:
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                stack.append("]" if c == "[" else "}")
-            elif c in "]}" and stack:
-                stack.pop()
-        if not quoted:
-            yield_ = text[:end] + "".join(reversed(stack))
-            try:
-                json.loads(yield_)
-            except ValueError:
-                continue
-            return yield_
-    return None
+    # A stack is its top and the stack below, so each comma can keep its own.
+    stack, quoted, skip, cuts = None, False, False, []
+    for i, c in enumerate(text):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            stack = ("]" if c == "[" else "}", stack)
+        elif c in "]}" and stack:
+            stack = stack[1]
+        elif c == ",":
+            cuts.append((i, stack))
+    found, low, high = None, 0, len(cuts)
+    while low < high:
+        mid = (low + high) // 2
+        end, stack = cuts[mid]
+        closed = [text[:end]]
+        while stack:
+            closed.append(stack[0])
+            stack = stack[1]
+        try:
+            json.loads("".join(closed))
+        except ValueError:
+            high = mid
+        else:
+            found, low = "".join(closed), mid + 1
+    return found
 
 
 def recover(text: str | None) -> tuple[str | None, str]:

@@ -17,6 +17,15 @@ def test_recovery(text, quality, value):
     assert q == quality and (None if got is None else json.loads(got)) == value
 
 
+def test_recovery_cuts_before_long_strings():
+    """Commas of the unfinished string, or after an error, don't hide the whole values before them."""
+    from papyra.functions.recovery import recover
+
+    for tail in ('"' + "a, " * 100_000, "oops" + ", 1" * 5_000):
+        got, q = recover('{"a": [1, {"b": "x, y"}], "c": ' + tail)
+        assert q == "partial" and json.loads(got) == {"a": [1, {"b": "x, y"}]}
+
+
 def test_text_repair(spark):
     from papyra.functions.recovery import abbreviations, chunks, recovered_json, scientific_text, table_lines
 
