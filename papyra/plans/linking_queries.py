@@ -22,6 +22,16 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_topk(e, e.filter("id < 20")).select("query_id", "rank", "id", round4(F.col("score")).alias("score"))
 
 
+@query(f"""
+WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 4) AS score FROM r WHERE rank <= 5""")
+def vector_topk_share(spark, sf_dir):
+    """The five nearest of each hundredth vector, exact: queries grow with the table."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.vector_topk(e, e.filter("id % 100 = 0")).select("query_id", "rank", "id", round4(F.col("score")).alias("score"))
+
+
 @query(f"""
 WITH s AS (SELECT a.vec_id AS id, b.vec_id AS seed_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 10 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, seed_id) AS rank FROM s WHERE score >= 0.3)

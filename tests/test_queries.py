@@ -53,3 +53,10 @@ def test_entry_module():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(QUERIES) <= set(e.queries())
+
+
+def test_whole_tables_are_asked(spark, duck):
+    days = duck.execute("SELECT count(DISTINCT (user_id, CAST(ts AS DATE))) FROM events").fetchone()[0]
+    assert QUERIES["worst_parse_by_day"](spark, FOLDER).count() == days
+    ids = {r[0] for r in duck.execute("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
+    assert {r["query_id"] for r in QUERIES["vector_topk_share"](spark, FOLDER).collect()} == ids
