@@ -30,6 +30,18 @@ def paper_kind(spark, sf_dir):
     return d.select("doc_id", extraction.paper_type(F.col("source"), F.col("text")).alias("paper_type"), F.coalesce(extraction.paper_year(F.col("text"), 2026), F.lit(0)).alias("year"))
 
 
+@query(rf"""
+WITH d AS (SELECT doc_id, substr(text, 1, 6000) AS header, lower(substr(text, 1, 12000)) AS x, list_transform(regexp_split_to_array(text, '\r\n|[\r\n]')[1:30], lambda l: lower(trim(regexp_replace(l, '\s+', ' ', 'g'), ' #'))) AS lines FROM documents),
+t AS (SELECT *, coalesce(list_filter(lines, lambda l: length(l) BETWEEN 6 AND 180 AND NOT regexp_matches(l, '{extraction.NO_TITLE}'))[1], '') AS title, list_filter(list_transform(regexp_extract_all(header, '{extraction.YEAR}'), lambda y: CAST(y AS INTEGER)), lambda y: y <= 2026)[1] AS y FROM d)
+SELECT doc_id, CASE WHEN regexp_matches(title, '{extraction.BENCHMARK}') OR (regexp_matches(x, '{extraction.FRAMEWORK[0]}') AND regexp_matches(x, '{extraction.FRAMEWORK[1]}') AND regexp_matches(x, '{extraction.FRAMEWORK[2]}')) THEN 'benchmark'
+  WHEN regexp_matches(title, '{extraction.SURVEY}') OR regexp_matches(x, '{extraction.SURVEY}') THEN 'survey' ELSE 'research' END AS paper_type,
+  CASE WHEN y IS NULL THEN 0 ELSE coalesce(TRY_CAST(nullif(regexp_extract(header, '{extraction.DATED}', 1), '') AS INTEGER), y) END AS year FROM t""")
+def paper_kind_detected(spark, sf_dir):
+    """paper_kind by the windows and markers of the behaviour studied."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", extraction.detected_type(F.col("text")).alias("paper_type"), F.coalesce(extraction.detected_year(F.col("text"), 2026), F.lit(0)).alias("year"))
+
+
 @query("""
 WITH k AS (SELECT l_suppkey AS paper_id, trim(regexp_replace(lower(p_brand || ' ' || CASE WHEN l_linenumber % 2 = 0 THEN upper(p_type) ELSE p_type END), '[^a-z0-9]+', ' ', 'g')) AS key, p_brand || ' ' || CASE WHEN l_linenumber % 2 = 0 THEN upper(p_type) ELSE p_type END AS label,
   CASE WHEN l_returnflag = 'A' THEN 'method' ELSE 'concept' END AS role, l_discount AS confidence, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN part ON p_partkey = l_partkey),

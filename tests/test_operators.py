@@ -192,3 +192,12 @@ def test_streams(spark, tmp_path):
     q = stream.writeStream.foreachBatch(upsert_sink(f"{tmp_path}/state", ["user_id"], "event_id")).option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["user_id"], r["event_id"]) for r in spark.read.parquet(f"{tmp_path}/state/v0").collect()) == [(0, 57), (1, 58), (2, 59)]
+
+
+def test_paper_kind_reads_whole_windows(spark):
+    from papyra.operators.extraction import detected_type, detected_year
+
+    pad = "lorem ipsum " * 300
+    rows = [(0, "Some plain title\n" + pad + " this survey covers 1931 and May 4, 2019."), (1, "arXiv 1999\nA Benchmark of Things\n" + pad), (2, "A title here\nSurvey data on a dataset, 2001 and 2010"), (3, "A title here\n" + pad * 4 + "this survey, 2001"), (4, None)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", detected_type(F.col("t")).alias("k"), detected_year(F.col("t"), 2026).alias("y")).orderBy("i").collect()
+    assert [(r["k"], r["y"]) for r in got] == [("survey", 2019), ("benchmark", 1999), ("research", 2001), ("research", None), ("research", None)]
