@@ -12,6 +12,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..ship import ship
 
@@ -82,6 +83,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null and empty texts are one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def id_type(df: DataFrame, column: str) -> tuple[str, pa.DataType]:
+    """The type of an id column, which operators pass on as it is: for Spark's schemas and for Arrow's."""
+    kind = df.schema[column].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels nothing may learn from."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
