@@ -8,7 +8,8 @@ phrase. The summed weight is divided by a measure of the text's length.
 Entries and weights come from labelled training rows: log odds of words and stems. An entry is
 kept if the evidence for it (log likelihood ratio) beats the number of terms tested, so that
 chance doesn't make any, and if different words stand beside it, so that a toxic text's copies
-don't. The automaton holds ``lexicon_size`` entries at most.
+don't. Exception phrases are learned as well: an entry with the word beside it, where that pair
+is found in clean texts only. Further ones can be given.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, checkpointed, give_back, held_out, make_room, table
+from .common import by_rows, checkpointed, give_back, held_out, id_type, make_room, table
 
 # Letters of other scripts that look like Latin ones, each above its look-alike.
 LOOKALIKES = "аАеЕоОрРсСуУхХіІјЈѕЅһԁԛԝкКмМтТвВнНοΟαΑνΝιΙρΡκΚτΤυΥχΧεΕηΗ"
 LATIN = "aaeeooppccyyxxiijjsshdqwkkmmttbbhhooaavviippkkttyyxxeehh"
 #: Digits and signs that stand for letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
-#: Phrases whose words aren't meant as abuse.
+#: Phrases whose words aren't meant as abuse, beside those that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "sore loser clause", "idiot proof", "idiot-proof")
+#: Clean texts that a pair of words must be in, and toxic ones in none, to be an exception.
+EXCEPTION_TEXTS = 3
 FULL_WIDTH = {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
 FOLD = {**dict(zip(map(ord, LOOKALIKES), LATIN, strict=True)), **FULL_WIDTH, **INVISIBLE}
@@ -40,6 +43,8 @@ SIGN = re.compile(r"(?<=[^\W\d_])[013457@]+(?=[^\W\d_])|\b[013457@]+(?=[^\W\d_])
 LETTER = str.maketrans({**SIGNS, "$": "s"})
 WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6, 7)
+#: Characters that count as a word when a text's length is taken.
+WORD_CHARS = 7
 
 
 def fold(text: str) -> str:
@@ -65,13 +70,19 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text", "label").mapInArrow(count, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def learn_lexicon(train: DataFrame, *, lexicon_size: int = 5_000) -> list[tuple[str, bool, float]]:
-    """(entry, whether it is a whole word, weight), heaviest evidence first.
+def training_texts(train: DataFrame) -> DataFrame:
+    """id, text and label of each text of train (text, label): copies of a text count once, since they say no more about its words; where their labels differ it is toxic. Rows without a label are left out."""
+    rows = train.filter(F.col("label").isNotNull()).select(F.md5(F.coalesce("text", F.lit(""))).alias("id"), "text", F.col("label").cast("int").alias("label"))
+    return rows.groupBy("id").agg(F.any_value("text").alias("text"), F.max("label").alias("label"))
+
 
-    train: text, label (0 or 1). Copies of a text count once: they say no more about its words.
+def learn_lexicon(train: DataFrame) -> list[tuple[str, bool, float]]:
+    """(entry, whether it is a whole word, weight), heaviest first: all that pass the tests, which the bound on training rows bounds.
+
+    train: text, label (0 or 1), as training_texts() takes them. Without texts of both labels
+    there are no entries.
     """
-    rows = train.filter(F.col("label").isNotNull()).select(F.md5(F.coalesce("text", F.lit(""))).alias("id"), "text", F.col("label").cast("int").alias("label"))
-    rows = checkpointed(rows.dropDuplicates(["id"]))
+    rows = checkpointed(training_texts(train))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
@@ -87,7 +98,7 @@ def learn_lexicon(train: DataFrame, *, lexicon_size: int = 5_000) -> list[tuple[
     evidence = log(F.col("p"), both * share) + log(F.col("n"), both * (1 - share))
     needed = math.log(max(2, counted.count())) + 2
     scored = counted.withColumn("evidence", evidence).filter((F.col("p") >= 3) & (F.col("p") > both * share) & (F.col("evidence") > needed))
-    found = scored.orderBy(F.desc("evidence"), "term", "whole").limit(lexicon_size).collect()
+    found = scored.collect()
     free = spread(rows.filter("label = 1"), {(r["term"], r["whole"]) for r in found})
     return purest([(r["term"], r["whole"], r["p"], r["n"]) for r in found if free.get((r["term"], r["whole"]), 0.0) >= LEAST_SPREAD])
 
@@ -147,6 +158,25 @@ def purest(found: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool, flo
     return sorted({(t, w, math.log((p + 0.5) / (n + 0.5))) for t, w, p, n in kept}, key=lambda x: (-x[2], x[0], x[1]))
 
 
+def learn_exceptions(train: DataFrame, lexicon: list[tuple[str, bool, float]], *, texts: int = EXCEPTION_TEXTS) -> list[str]:
+    """Pairs of folded words, one of which an entry matches, that so many clean training texts have and no toxic one."""
+    whole, stems = {t for t, w, _ in lexicon if w}, {t for t, w, _ in lexicon if not w}
+    sizes = sorted({len(t) for t in stems})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                words = WORD.findall(fold(text or ""))
+                hit = [w in whole or any(w[:k] in stems for k in sizes) for w in words]
+                seen[label].update({f"{a} {z}" for a, z, x, y in zip(words, words[1:], hit, hit[1:], strict=False) if x or y})
+            pairs = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs, "string"), "pos": pa.array([seen[1][p] for p in pairs], "int64"), "neg": pa.array([seen[0][p] for p in pairs], "int64")})
+
+    counted = training_texts(train).select("text", "label").mapInArrow(run, "pair string, pos long, neg long").groupBy("pair").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sorted(r["pair"] for r in counted.filter((F.col("pos") == 0) & (F.col("neg") >= texts)).collect())
+
+
 class Scorer:
     def __init__(self, lexicon: list[tuple[str, bool, float]], exceptions: Iterable[str] = EXCEPTIONS):
         import ahocorasick
@@ -183,12 +213,12 @@ class Scorer:
         return [(s, e, w) for s, (e, w) in sorted(best.items())]
 
     def score(self, text: str) -> float:
-        """0 to 1; 0 for an empty text."""
+        """0 to 1; 0 for an empty text. Length counts as characters, so that it doesn't matter what stands between words."""
         if self.empty or not text:
             return 0.0
         folded = fold(text)
         total = sum(w for _, _, w in self.matches(folded))
-        return 1.0 - math.exp(-total / (1.0 + 0.2 * math.log1p(folded.count(" ")))) if total else 0.0
+        return 1.0 - math.exp(-total / (1.0 + 0.2 * math.log1p(len(folded) / WORD_CHARS))) if total else 0.0
 
 
 def score_toxicity(docs: DataFrame, lexicon: list[tuple[str, bool, float]], *, exceptions: Iterable[str] = EXCEPTIONS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -205,9 +235,10 @@ def score_toxicity(docs: DataFrame, lexicon: list[tuple[str, bool, float]], *, e
             held.append(Scorer(lexicon, exceptions))
         return [(held[0].score(t),) for t in texts]
 
-    schema = pa.schema([("doc_id", "int64"), ("score", "float64")])
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(by_rows(of, schema), "doc_id long, score double").withColumnRenamed("doc_id", id_col)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind, arrow = id_type(rows, "doc_id")
+    schema = pa.schema([("doc_id", arrow), ("score", "float64")])
+    return rows.mapInArrow(by_rows(of, schema), f"doc_id {kind}, score double").withColumnRenamed("doc_id", id_col)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = 20_000) -> DataFrame:
@@ -220,23 +251,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = 20
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
+def learned(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, bool, float]], list[str]]:
+    """Lexicon and exceptions from the labels of the raw tables."""
+    train = checkpointed(training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic"))
+    lexicon = learn_lexicon(train)
+    return lexicon, [*EXCEPTIONS, *learn_exceptions(train, lexicon)]
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    lexicon = learn_lexicon(training_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
-    scored = score_toxicity(docs, lexicon)
+    lexicon, exceptions = learned(spark, sf_dir)
+    scored = score_toxicity(table(spark, sf_dir, "documents"), lexicon, exceptions=exceptions)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that score 0.3 or more, by a lexicon learned from the raw tables' labels."""
-    raw = table(spark, sf_dir, "documents")
-    lexicon = learn_lexicon(training_rows(raw, table(spark, sf_dir, "labels"), "toxic"))
+    """docs without the rows that score 0.3 or more, by a lexicon learned from the raw tables' labels. Rows go one by one, whatever their ids; null and empty texts stay."""
+    lexicon, exceptions = learned(spark, sf_dir)
     held: list[Scorer] = []
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
         if not held:
-            held.append(Scorer(lexicon))
+            held.append(Scorer(lexicon, exceptions))
         for b in batches:
             yield b.filter(pa.array([held[0].score(t or "") < 0.3 for t in b.column("text").to_pylist()], "bool"))
             give_back()
