@@ -36,15 +36,17 @@ def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: st
     return counts.join(totals, "host").filter(F.col("n_pages") > ratio * F.col("host_pages"))
 
 
-def line_dedup(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3, spare_copies: bool = False) -> DataFrame:
     """docs with its columns, boilerplate lines taken out of text, and dl_lines, dl_dropped (lines that aren't blank, those dropped).
 
     Lines are compared without spaces at their ends and with their case; blank lines stay. A
     page counts once for each line, however often it repeats it; repeated rows are pages of
-    their own. A page all of whose lines are boilerplate is a copied page rather than a frame
-    around content: it stays as it is, for document-level deduplication. Pages without a host
-    and null texts stay as they are; an empty table gives an empty one. Columns of docs that
-    are called as the two new ones are replaced.
+    their own. A page all of whose lines are boilerplate loses them all and stays as a row;
+    with spare_copies it counts as a copied page rather than a frame around content, and stays
+    as it is for document-level deduplication. Lines on fewer pages than min_pages stay, so that
+    a host of one or two pages isn't emptied. Pages without a host and null texts stay as they
+    are; an empty table gives an empty one. Columns of docs that are called as the two new ones
+    are replaced.
     """
     sets = checkpointed(boilerplate_lines(docs, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages).select("host", "key"))
     lists = sets.groupBy("host").agg(F.collect_list("key").alias("dl_keys")).withColumnRenamed("host", "dl_host")
@@ -57,7 +59,7 @@ def line_dedup(docs: DataFrame, *, host_col: str = "source", text_col: str = "te
     kept = F.filter(_lines(text), lambda x: ~((F.trim(x) != "") & F.array_contains(keys, _key(x))))
     filled = lambda lines: F.size(F.filter(lines, lambda x: F.trim(x) != ""))
     joined = joined.select("row", kept.alias("kept"), F.when(text.isNull(), 0).otherwise(filled(_lines(text))).alias("dl_lines"))
-    stays = F.col("kept").isNull() | (filled(F.col("kept")) == 0)
+    stays = F.col("kept").isNull() | (F.lit(spare_copies) & (filled(F.col("kept")) == 0))
     joined = joined.select("row", F.when(stays, text).otherwise(F.array_join("kept", "\n")).alias("new"), "dl_lines", F.when(stays, 0).otherwise(F.col("dl_lines") - filled(F.col("kept"))).alias("dl_dropped"))
     names = [F.col("new").alias(c) if c == text_col else row[c].alias(c) for c in docs.columns if c not in ("dl_lines", "dl_dropped")]
     return joined.select(*names, "dl_lines", "dl_dropped")
@@ -76,7 +78,7 @@ boiler AS (SELECT h.source, h.line FROM (SELECT source, line, count(*) AS n FROM
 numbered AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM pages),
 marked AS (SELECT n.*, trim(n.line) <> '' AS filled, b.line IS NOT NULL AS dropped FROM numbered n LEFT JOIN boiler b ON b.source = n.source AND b.line = trim(n.line)),
 per AS (SELECT doc_id, count(*) FILTER (WHERE filled) AS n_lines, count(*) FILTER (WHERE dropped) AS n, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT dropped) AS kept FROM marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines, CASE WHEN p.n < p.n_lines THEN p.n ELSE 0 END AS n_dropped,
-  md5(CASE WHEN p.n < p.n_lines THEN p.kept ELSE d.text END) AS text_md5
+SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines, coalesce(p.n, 0) AS n_dropped,
+  md5(CASE WHEN d.text IS NOT NULL AND d.source IS NOT NULL THEN coalesce(p.kept, '') ELSE d.text END) AS text_md5
 FROM documents d LEFT JOIN per p USING (doc_id)
 """
