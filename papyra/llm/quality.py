@@ -1,10 +1,10 @@
 """Operator 8: a quality classifier on supervised subword embeddings.
 
 Each word and each of its character 3- and 4-grams (with word ends marked) is hashed to a row
-of an embedding table; one more row stands for any word that repeats the one before it. A
-document is the mean of the rows of all its words' features, and a softmax over that mean gives
-the label. Embeddings and softmax are learned together by plain
-stochastic gradient descent in numpy, on a bounded sample of labelled rows; scoring is narrow.
+of an embedding table, each pair of neighbouring words to a row of a second part of it. A
+document is the mean of the rows of all its features, and a softmax over that mean gives the
+label. Embeddings and softmax are learned together by plain stochastic gradient descent in
+numpy, on a bounded sample of labelled rows; scoring is narrow.
 """
 
 from __future__ import annotations
@@ -17,16 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, held_out, table
+from .common import by_rows, held_out, id_type, table
 from .toxicity import training_rows
 
-ROWS, DIM, GRAMS = 1 << 15, 10, (3, 4)
+ROWS, PAIRS, DIM, GRAMS = 1 << 15, 1 << 15, 10, (3, 4)
+ALL_ROWS = ROWS + PAIRS
 #: A scorer keeps so many words, and so many characters of them.
 WORDS_KEPT, CHARS_KEPT = 200_000, 40_000_000
 #: Words are hashed so many characters at a time, longer ones in slices of so many bytes.
 SLICE = 1 << 16
-#: The row of repeated words, and how many features a repeat counts for (about as many as a word has).
-AGAIN, WEIGHT = ROWS, 8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,12 +41,19 @@ def _grams(data: np.ndarray, n: int) -> np.ndarray:
     return h + np.uint64(n)
 
 
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """The rows of neighbouring words whose hashes stand one after the other. A word that repeats its neighbour is paired as a repeat, whichever word it is."""
+    h = np.where(hashes[1:] == hashes[:-1], np.uint64(0), hashes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[1:])
+    h = (h ^ (h >> np.uint64(29))) * MULTIPLIER
+    return ROWS + ((h >> np.uint64(32)) % np.uint64(PAIRS)).astype(np.int64)
+
+
 def _powers(at: np.ndarray) -> np.ndarray:
     return MULTIPLIER ** (at.astype(np.uint64) + np.uint64(1))
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all features of the words, word by word, and how many each word has."""
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all features of the words, word by word, how many each word has, and the words' hashes."""
     coded = [b"<" + w.encode("utf-8", "replace") + b">" for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
@@ -63,19 +69,20 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(owner[: len(h)][inside])
     row, own = np.concatenate(rows), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return row[order], np.bincount(own, minlength=len(coded))
+    return row[order], np.bincount(own, minlength=len(coded)), whole
 
 
-def long_features(word: str) -> Iterator[np.ndarray]:
-    """The rows that features() gives for one word of any length, a slice of its bytes at a time."""
-    coded, whole = b"<" + word.encode("utf-8", "replace") + b">", np.zeros(1, np.uint64)
+def long_features(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """How often features() gives each row for one word of any length, and the word's hash: a slice of its bytes at a time."""
+    coded, whole, total = b"<" + word.encode("utf-8", "replace") + b">", np.zeros(1, np.uint64), np.zeros(ALL_ROWS, np.int64)
     for at in range(0, len(coded), SLICE):
         data = np.frombuffer(coded[at : at + SLICE + max(GRAMS) - 1], np.uint8).astype(np.uint64)
         own = data[:SLICE]
         whole += ((own + np.uint64(7)) * _powers(np.arange(at, at + len(own)))).sum()
         for n in GRAMS:
-            yield _mix(_grams(data[: SLICE + n - 1], n))
-    yield _mix(whole)
+            total += np.bincount(_mix(_grams(data[: SLICE + n - 1], n)), minlength=ALL_ROWS)
+    total[_mix(whole)] += 1
+    return total, whole
 
 
 def portions(words: list[str]) -> Iterator[tuple[int, int]]:
@@ -96,15 +103,16 @@ def tally(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     distinct, where = np.unique(np.array(words, dtype=object), return_inverse=True)
-    distinct, times, total = list(distinct), np.bincount(where), np.zeros(ROWS + 1, np.int64)
+    distinct, times, total = list(distinct), np.bincount(where), np.zeros(ALL_ROWS, np.int64)
+    hashes = np.zeros(len(distinct), np.uint64)
     for a, b in portions(distinct):
         if len(distinct[a]) > SLICE:
-            for row in long_features(distinct[a]):
-                total += times[a] * np.bincount(row, minlength=ROWS + 1)
+            counts, hashes[a:b] = long_features(distinct[a])
+            total += times[a] * counts
         else:
-            row, per = features(distinct[a:b])
+            row, per, hashes[a:b] = features(distinct[a:b])
             np.add.at(total, row, np.repeat(times[a:b], per))
-    total[AGAIN] += WEIGHT * int((where[1:] == where[:-1]).sum())
+    total += np.bincount(_pairs(hashes[where]), minlength=ALL_ROWS)
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -117,7 +125,7 @@ def bag(text: str) -> np.ndarray:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, epochs: int = 6, rate: float = 0.3, seed: int = 7) -> dict:
     """bags: distinct rows and their shares for each document. Learns one document a step."""
     rng = np.random.default_rng(seed)
-    table_, out = rng.uniform(-1 / DIM, 1 / DIM, (ROWS + 1, DIM)), np.zeros((DIM, 2))
+    table_, out = rng.uniform(-1 / DIM, 1 / DIM, (ALL_ROWS, DIM)), np.zeros((DIM, 2))
     bias = np.log(np.bincount(labels, minlength=2) + 1.0)
     bias -= bias.mean()
     steps, done = epochs * len(bags), 0
@@ -158,7 +166,7 @@ def fit_quality(rows: DataFrame, *, max_rows: int = 6_000) -> dict:
     # The order of what comes back isn't fixed, that of learning is.
     got = sorted((bytes(r["row"]), bytes(r["times"]), r["label"]) for r in chosen.mapInArrow(bags, "label int, row binary, times binary").collect())
     if not got:
-        return {"table": np.zeros((ROWS + 1, DIM), np.float32), "out": np.zeros((DIM, 2)), "bias": np.zeros(2)}
+        return {"table": np.zeros((ALL_ROWS, DIM), np.float32), "out": np.zeros((DIM, 2)), "bias": np.zeros(2)}
     pairs = []
     for row, times, _ in got:
         n = np.frombuffer(times, np.uint32).astype(np.float64)
@@ -176,6 +184,7 @@ class Scorer(dict):
     def forget(self) -> None:
         self.clear()
         self.sums, self.sizes, self.used, self.chars = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.float32), 0, 0
+        self.hashes = np.zeros(1024, np.uint64)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -186,22 +195,21 @@ class Scorer(dict):
             new = list(words)
         new.sort()
         self.chars += sum(map(len, new))
-        sums, per = np.zeros((len(new), DIM), np.float32), np.zeros(len(new), np.int64)
+        sums, per, hashes = np.zeros((len(new), DIM), np.float32), np.zeros(len(new), np.int64), np.zeros(len(new), np.uint64)
         for a, b in portions(new):
             if len(new[a]) > SLICE:
-                total = np.zeros(ROWS + 1, np.int64)
-                for row in long_features(new[a]):
-                    total += np.bincount(row, minlength=ROWS + 1)
+                total, hashes[a:b] = long_features(new[a])
                 sums[a], per[a] = total @ self.model["table"].astype(np.float64), total.sum()
             else:
-                row, per[a:b] = features(new[a:b])
+                row, per[a:b], hashes[a:b] = features(new[a:b])
                 sums[a:b] = np.add.reduceat(self.model["table"][row], np.cumsum(per[a:b]) - per[a:b], axis=0)
         need = self.used + len(new)
         if need > len(self.sizes):
             more = max(need, 2 * len(self.sizes)) - len(self.sizes)
             self.sums = np.concatenate([self.sums, np.zeros((more, DIM), np.float32)])
             self.sizes = np.concatenate([self.sizes, np.zeros(more, np.float32)])
-        self.sums[self.used : need], self.sizes[self.used : need] = sums, per
+            self.hashes = np.concatenate([self.hashes, np.zeros(more, np.uint64)])
+        self.sums[self.used : need], self.sizes[self.used : need], self.hashes[self.used : need] = sums, per, hashes
         self.update(zip(new, range(self.used, need), strict=True))
         self.used = need
 
@@ -214,9 +222,8 @@ class Scorer(dict):
                 hidden = np.zeros(DIM)
                 if words:
                     idx = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-                    again = WEIGHT * int((idx[1:] == idx[:-1]).sum())
-                    total = self.sums[idx].sum(axis=0, dtype=np.float64) + again * self.model["table"][AGAIN]
-                    hidden = total / (self.sizes[idx].sum(dtype=np.float64) + again)
+                    total = self.sums[idx].sum(axis=0, dtype=np.float64) + self.model["table"][_pairs(self.hashes[idx])].sum(axis=0, dtype=np.float64)
+                    hidden = total / (self.sizes[idx].sum(dtype=np.float64) + len(idx) - 1)
                 z = hidden @ self.model["out"] + self.model["bias"]
                 out.append(float(1 / (1 + np.exp(np.clip(z[0] - z[1], -500, 500)))))
         return out
@@ -236,9 +243,10 @@ def score_quality(docs: DataFrame, model: dict, *, text_col: str = "text", id_co
             held.append(Scorer(pickle.loads(shared.value)))
         return [(s,) for s in held[0].score(texts)]
 
-    schema = pa.schema([("doc_id", "int64"), ("score", "float64")])
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(by_rows(of, schema), "doc_id long, score double").withColumnRenamed("doc_id", id_col)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind, arrow = id_type(rows, "doc_id")
+    schema = pa.schema([("doc_id", arrow), ("score", "float64")])
+    return rows.mapInArrow(by_rows(of, schema), f"doc_id {kind}, score double").withColumnRenamed("doc_id", id_col)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
