@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, make_room, table, without
+from .common import BROADCAST_IDS, checkpointed, give_back, id_type, make_room, table, text_key
 
 #: Words as in ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became a-z, on UTF-8.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -127,8 +127,8 @@ def postings(docs: DataFrame, block: Block, kept: set[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(term, "int32"), b.column("doc_id").take(take), b.column("text_id").take(take), pa.array(pos, "int32"), pa.array(near, pa.list_(pa.int32()))], names=["term", "doc_id", "text_id", "pos", "near"])
             give_back()
 
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
-    return rows.mapInArrow(run, "term int, doc_id long, text_id long, pos int, near array<int>")
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_id"), "text")
+    return rows.mapInArrow(run, f"term int, doc_id {id_type(docs, 'doc_id')[0]}, text_id binary, pos int, near array<int>")
 
 
 def _joined(index: DataFrame, places: list[tuple[int, str, int, list[int]]]) -> DataFrame:
@@ -158,10 +158,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     """id_col, n_words, n_hit (words inside an occurrence of a window), n_items, items (sorted ids) for each row of docs.
 
     A window is ten consecutive words of an item, or all words of a shorter one. Null and empty
-    texts have no words. Rows of the same id and text get the same result each. Items that
-    share an id count once. Further columns are left out, whatever their names.
+    texts have no words. What is found is found in a text, whatever the ids of its rows: rows
+    without an id and rows that share one get the result of their own text. Items that share an
+    id count once; items without one are left out. Further columns are left out, whatever their
+    names. An empty table gives an empty one, an empty benchmark finds nothing.
     """
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     spans, sizes = None, None
     for block in blocks(benchmark, block_bytes=block_bytes):
         places = anchors(block, term_counts(docs, block))
@@ -174,17 +176,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         sizes = postings(docs, block, set()).filter("term is null")
         spans = phrase_spans(sizes, [])
     sizes = sizes.select("doc_id", "text_id", F.col("pos").cast("long").alias("n_words"))
-    spans = spans.filter("doc_id is not null").distinct()
+    # Copies of a text have found the same stretches: one row of each is left before the shuffle.
+    spans = spans.select("text_id", "item_id", "first", "last").distinct()
     # Stretches in order of their starts; each adds the words after the end of those before.
     merged = F.aggregate(
         F.array_sort(F.collect_list(F.struct("first", "last"))),
         F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda s, x: F.struct(F.greatest(s["end"], x["last"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(s["end"] + 1, x["first"]) + 1)).alias("n")),
     )["n"]
-    one = spans.select("doc_id", "text_id", "first", "last").distinct().groupBy("doc_id", "text_id").agg(merged.alias("n_hit"))
-    items = spans.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    hit = one.join(items, ["doc_id", "text_id"])
-    out = sizes.join(hit, ["doc_id", "text_id"], "left").select(F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    one = spans.select("text_id", "first", "last").distinct().groupBy("text_id").agg(merged.alias("n_hit"))
+    items = spans.groupBy("text_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hit = checkpointed(one.join(items, "text_id"))
+    few = hit.agg(F.sum(F.size("items") + 1)).first()[0] or 0
+    out = sizes.join(F.broadcast(hit) if few <= BROADCAST_IDS // 4 else hit, "text_id", "left")
+    out = out.select(F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "text_id")
     return out.withColumn("n_items", F.size("items").cast("long"))
 
 
@@ -207,6 +212,9 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a window of the benchmark; rows without an id stay."""
-    return without(docs, contamination(docs, benchmark).filter("n_hit > 0").select("doc_id"))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text holds a window of the benchmark, by text and not by id: null and empty texts stay, and so do clean rows that share an id with others."""
+    found = contamination(docs.select(docs[text_col].alias("text"), F.lit(0).alias("doc_id")), benchmark)
+    texts = checkpointed(found.filter("n_hit > 0").select(F.col("text_id").alias("_text_id")).distinct())
+    few = F.broadcast(texts) if texts.count() <= BROADCAST_IDS // 4 else texts
+    return docs.join(few, text_key(docs[text_col]) == few["_text_id"], "left_anti")
