@@ -13,7 +13,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_rows, table
+from .common import by_rows, id_type, table
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,23 +67,24 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", id_col: str =
     are left out, whatever their names.
     """
     held: dict = {}
-    schema = pa.schema([("doc_id", "int64"), ("ids", pa.list_(pa.int32()))])
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(by_rows(lambda texts: [(_codec(held, path).encode(t),) for t in texts], schema), "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind, arrow = id_type(rows, "doc_id")
+    schema = pa.schema([("doc_id", arrow), ("ids", pa.list_(pa.int32()))])
+    return rows.mapInArrow(by_rows(lambda texts: [(_codec(held, path).encode(t),) for t in texts], schema), f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
     """id_col and text for each row of ids; bytes that aren't UTF-8 decode as the replacement character."""
     held: dict = {}
-    schema = pa.schema([("doc_id", "int64"), ("text", "string")])
-    rows = encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].alias("ids"))
-    return rows.mapInArrow(by_rows(lambda lists: [(_codec(held, path).decode(x),) for x in lists], schema, "ids"), "doc_id long, text string").withColumnRenamed("doc_id", id_col)
+    rows = encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].alias("ids"))
+    kind, arrow = id_type(rows, "doc_id")
+    schema = pa.schema([("doc_id", arrow), ("text", "string")])
+    return rows.mapInArrow(by_rows(lambda lists: [(_codec(held, path).decode(x),) for x in lists], schema, "ids"), f"doc_id {kind}, text string").withColumnRenamed("doc_id", id_col)
 
 
 def digests(docs: DataFrame, path: str, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """encode() and decode() in one pass, as counts and digests: n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (UTF-8)."""
     held: dict = {}
-    schema = pa.schema([("doc_id", "int64"), ("n_tokens", "int64"), ("ids_sha256", "string"), ("decoded_sha256", "string")])
     numbers: list[str] = []
 
     def of(texts: list[str]) -> list[tuple]:
@@ -97,8 +98,10 @@ def digests(docs: DataFrame, path: str, *, text_col: str = "text", id_col: str =
             out.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
         return out
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(by_rows(of, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind, arrow = id_type(rows, "doc_id")
+    schema = pa.schema([("doc_id", arrow), ("n_tokens", "int64"), ("ids_sha256", "string"), ("decoded_sha256", "string")])
+    return rows.mapInArrow(by_rows(of, schema), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -58,9 +59,6 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
-
-
 def value_paths(value: Any, at: str = "") -> set[str]:
     """Field paths of a parsed record; list elements are told by [], not by place."""
     if isinstance(value, dict):
@@ -79,8 +77,14 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     return {at}
 
 
+@lru_cache
+def by_fingerprint(mappings: tuple[Mapping, ...]) -> dict[str, Mapping]:
+    return {fingerprint(m.paths): m for m in mappings}
+
+
 def select_mapping(paths: set[str], mappings: Iterable[Mapping] = MAPPINGS) -> Mapping | None:
-    exact = BY_FINGERPRINT.get(fingerprint(paths))
+    mappings = tuple(mappings)
+    exact = by_fingerprint(mappings).get(fingerprint(paths))
     if exact:
         return exact
     fit = [m for m in mappings if set(m.paths) <= paths]

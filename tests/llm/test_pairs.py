@@ -81,7 +81,7 @@ def test_near_duplicates_odd_rows(spark):
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
-    from papyra.llm.near_dup import elements, mix, signatures
+    from papyra.llm.near_dup import elements, mix, signatures, weighted
 
     rng = np.random.default_rng(1)
     words = mix(np.arange(1, 2000, dtype=np.uint64))
@@ -89,12 +89,21 @@ def test_dart_signatures_estimate_weighted_jaccard():
     e, n = elements(np.r_[a, b].view(np.int64), np.array([len(a), len(b)]))
     sets = [set(e[: n[0]].tolist()), set(e[n[0] :].tolist())]
     true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-    sig = signatures(e, n, 2048)
+    h, w, m = weighted(np.r_[a, b].view(np.int64), np.array([len(a), len(b)]))
+    sig = signatures(h, w, m, 2048)
     assert abs((sig[0] == sig[1]).mean() - true) < 0.04
+    # real weights, small and large, against the sums of minima and maxima
+    for scale, unit in ((1.0, 1.0), (0.05, 0.01), (300.0, 8.0)):
+        x, y = scale * rng.pareto(1.5, 300) + 0.01 * scale, scale * rng.pareto(1.5, 300) + 0.01 * scale
+        y[:200] = x[:200] * rng.choice([1.0, 0.5, 2.0], 200)
+        sig = signatures(np.r_[words[:300], words[:300]], np.r_[x, y], np.array([300, 300]), 2048, unit)
+        true = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+        assert abs((sig[0] == sig[1]).mean() - true) < 0.05, (scale, true)
+    # a text says the same of itself next to others and alone
+    assert (signatures(words[:9], np.arange(1.0, 10.0), np.array([9]), 32)[0] == signatures(np.r_[words[50:60], words[:9]], np.r_[np.full(10, 3.3), np.arange(1.0, 10.0)], np.array([10, 9]), 32)[1]).all()
     # repeats are weight: a text twice over isn't the text
     e, n = elements(np.r_[a[:50], a[:50], a[:50]].view(np.int64), np.array([50, 100]))
     assert len(set(e[: n[0]].tolist()) & set(e[n[0] :].tolist())) == 46
-    assert rng is not None
 
 
 def test_prefix_pairs_lose_none(spark):
@@ -132,11 +141,23 @@ def test_line_dedup_equals_plain_version(spark):
         text, host = next((t, h) for i, t, h, _ in docs if i == row["doc_id"])
         bad = lambda x: x.strip(" ") != "" and held[(host, x.strip(" "))] >= 3 and held[(host, x.strip(" "))] > 0.1 * pages[host]
         kept = [x for x in (text or "").split("\n") if not bad(x)]
-        want = "\n".join(kept) if any(x.strip(" ") for x in kept) else text
-        assert row["text"] == want
+        assert row["text"] == ("\n".join(kept) if text is not None else None)
+        assert row["dl_dropped"] == len((text or "").split("\n")) - len(kept)
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_pages_of_boilerplate_lose_their_lines(spark):
+    from papyra.llm.line_dedup import line_dedup
+
+    docs = [(i, "menu\nabout", "a") for i in range(5)] + [(9, "menu\nown", "a"), (10, "x", "b"), (11, "x", "b"), (12, "menu\n" + "long line\n" * 30_000, "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["dl_dropped"]) for r in line_dedup(df).collect()}
+    assert {got[i] for i in range(5)} == {("", 2)} and got[9] == ("own", 1) and got[10] == ("x", 0)
+    assert got[12] == (docs[-1][1], 0)  # one page says nothing of its host
+    spared = {r["doc_id"]: r["text"] for r in line_dedup(df, spare_copies=True).collect()}
+    assert spared[0] == "menu\nabout" and spared[9] == "own"
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -185,9 +206,16 @@ def test_contamination_of_empty_tables_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert contamination(none, bench).count() == 0
     twice = spark.createDataFrame([(1, "x a b c"), (1, "x a b c"), (2, "a b"), (None, "a b c")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["n_hit"]) for r in contamination(twice, bench).collect()) == [(0, 0), (1, 3), (1, 3), (2, 0)]
+    assert sorted((r["doc_id"] or 0, r["n_hit"]) for r in contamination(twice, bench).collect()) == [(0, 3), (1, 3), (1, 3), (2, 0)]
     assert [r["n_hit"] for r in contamination(twice, none.toDF("item_id", "text")).collect()] == [0] * 4
-    assert sorted(r["doc_id"] or 0 for r in drop_contaminated(twice, bench).collect()) == [0, 2]
+    assert [r["doc_id"] for r in drop_contaminated(twice, bench).collect()] == [2]
+    # by text, not by id: a clean row with a dropped one's id stays; ids may be strings
+    mixed = spark.createDataFrame([("x", "q a b c", 1), ("x", "clean", 2), (None, None, 3)], "doc_id string, text string, text_id int")
+    left = drop_contaminated(mixed, bench)
+    assert left.columns == mixed.columns and sorted(r["text_id"] for r in left.collect()) == [2, 3]
+    assert sorted((r["doc_id"] or "", r["n_hit"]) for r in contamination(mixed, bench).collect()) == [("", 0), ("x", 0), ("x", 3)]
+    very_long = spark.createDataFrame([(1, "w " * 300_000 + "a b c " + "w " * 300_000)], "doc_id long, text string")
+    assert [(r["n_words"], r["n_hit"]) for r in contamination(very_long, bench).collect()] == [(600_003, 3)]
 
 
 def test_proximity_matches(spark):
@@ -225,6 +253,26 @@ def test_nearest_neighbours_reach_recall(spark):
     assert set(got) == set(range(0, len(v), 50)) and hit / total >= 0.9
 
 
+def test_nearest_splits_crowded_leaves_and_keeps_ties(spark):
+    """Small leaves by a second tree; a vector that half of all rows share; repeated ids; string ids; other lengths."""
+    from papyra.llm.ann import nearest
+
+    rng = np.random.default_rng(5)
+    v = np.r_[rng.normal(size=(1200, 8)), np.tile(rng.normal(size=8), (1200, 1))]
+    df = spark.createDataFrame([(i, [float(x) for x in r], 1.0) for i, r in enumerate(v)], "vec_id long, embedding array<double>, score double").repartition(5)
+    got = {}
+    for r in nearest(df, df.filter("vec_id % 50 = 0"), recall=1.0, sample_rows=300, split_rows=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, len(v), 50):
+        s = (u @ u[q]).round(12)
+        s[q] = -9
+        assert len(got[q]) == 5 and (q < 1200 or got[q] == [i for i in range(1200, 1206) if i != q][:5])
+        assert len(set(got[q]) & set(np.lexsort((np.arange(len(v)), -s))[:5].tolist())) >= 3
+    odd = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [0.0, 2.0]), ("c", [1.0, 2.0, 3.0]), ("d", [1.0, 2.0, 3.0]), (None, [1.0, 1.0])], "vec_id string, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"], round(r["score"], 6)) for r in nearest(odd, odd).orderBy("query_id").collect()] == [("a", "b", 1.0), ("b", "a", 1.0), ("c", "d", 1.0), ("d", "c", 1.0)]
+
+
 def test_nearest_of_few_and_none(spark):
     from papyra.llm.ann import nearest
 

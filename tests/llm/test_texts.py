@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,14 @@ def test_layouts(spark, record, mapping, turns):
     assert [(r["role"], r["text"]) for r in out if r["turn"] is not None] == turns
 
 
+def test_given_mappings_are_used():
+    from papyra.llm.chat import Mapping, select_mapping
+
+    mine = Mapping("mine", ("prompt", "completion"), (("user", "completion"),))
+    assert select_mapping({"prompt", "completion"}, [mine]) is mine
+    assert select_mapping({"prompt", "completion"}, []) is None and select_mapping({"prompt", "completion"}).name == "prompt and completion"
+
+
 def test_bad_records_stay_visible(spark):
     from papyra.llm.chat import canonical_turns
 
@@ -110,6 +119,98 @@ def test_toxicity_learns_words_and_stems(spark):
     assert learn_lexicon(train.limit(0)) == [] == learn_lexicon(train.filter("label = 0"))
 
 
+def plain_toxicity(text, lexicon, exceptions):
+    """Every place of the folded text against every entry, one by one."""
+    import math
+
+    from papyra.llm.toxicity import fold
+
+    if not text or not lexicon:
+        return 0.0
+    t, total = fold(text), 0.0
+    spans = [(m.start(), m.end()) for p in exceptions for m in re.finditer(rf"\b{re.escape(fold(p))}\b", t)]
+    for at in range(len(t)):
+        if at and t[at - 1].isalnum():
+            continue
+        found = []
+        for term, whole, weight in lexicon:
+            for form in {term, term.replace("l", "i")}:
+                if t.startswith(form, at) and (not whole or at + len(form) == len(t) or not t[at + len(form)].isalnum()):
+                    found.append(weight)
+        if found and not any(a <= at < z for a, z in spans):
+            total += max(found)
+    return 1 - math.exp(-total / (1 + 0.2 * math.log1p(len(t) / 7))) if total else 0.0
+
+
+def test_toxicity_equals_a_plain_matcher(spark):
+    from papyra.llm.toxicity import score_toxicity
+
+    r = random.Random(11)
+    lexicon = [("vile", True, 2.0), ("vil", False, 1.0), ("mistk", False, 3.0), ("mistkerl", True, 4.0), ("ugly", True, 0.7), ("élan", True, 1.5)]
+    exceptions = ["vile weed", "ugly duckling"]
+    parts = ["vile", "weed", "v1le", "VILLAGE", "vi1e", "mistkerls", "m1stkerl", "ugly", "duckling", "élan", "ＵＧＬＹ", "u\u200bgly", "ok", "3 vile", "-", "漢字", "\n", "vile-", "(ugly)"]
+    texts = [None, "", "vile", "vile weed", "x\n" * 5000 + "ugly", "漢" * 9000 + " vile"] + [r.choice([" ", "", ", "]).join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(f"id{i}", t, 9.0) for i, t in enumerate(texts)], "doc_id string, text string, score double")
+    got = {row["doc_id"]: row["score"] for row in score_toxicity(df, lexicon, exceptions=exceptions).collect()}
+    for i, t in enumerate(texts):
+        assert got[f"id{i}"] == pytest.approx(plain_toxicity(t, lexicon, exceptions), abs=1e-12), t
+    assert score_toxicity(df.limit(0), lexicon).count() == 0
+
+
+def test_exceptions_and_labels_of_copies_are_learned(spark):
+    from papyra.llm.toxicity import learn_exceptions, training_texts
+
+    clean = [("a trash can by house %d" % i, 0) for i in range(4)] + [("trash bag %d" % i, 0) for i in range(2)]
+    toxic = [("you trash number %d" % i, 1) for i in range(5)] + [("trash heap", 1), ("trash heap", 0), (None, 0), ("unlabelled", None)]
+    train = spark.createDataFrame(clean + toxic, "text string, label int")
+    assert learn_exceptions(train, [("trash", True, 3.0)]) == ["a trash", "trash can"]
+    assert {row["text"]: row["label"] for row in training_texts(train).collect()}["trash heap"] == 1
+    assert learn_exceptions(train.limit(0), [("trash", True, 3.0)]) == [] == learn_exceptions(train, [])
+
+
+def plain_quality(text, model):
+    """The features of each word and pair of a text, one by one, with Python's integers."""
+    import math
+
+    from papyra.llm.quality import GRAMS, PAIRS, ROWS
+
+    m64, mult = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def row(h, n):
+        h = ((h ^ (h >> 29)) * mult) & m64
+        return (h >> 32) % n
+
+    rows, hashes = [], []
+    for w in (text or "").split():
+        data = b"<" + w.encode("utf-8", "replace") + b">"
+        h = sum((b + 7) * pow(mult, k + 1, 1 << 64) for k, b in enumerate(data)) & m64
+        hashes.append(h)
+        rows.append(row(h, ROWS))
+        for n in GRAMS:
+            for k in range(len(data) - n + 1):
+                g = 0
+                for b in data[k : k + n]:
+                    g = (g * 1_000_003 + b) & m64
+                rows.append(row((g + n) & m64, ROWS))
+    rows += [ROWS + row(0 if a == b else (a * 0xC2B2AE3D27D4EB4F + b) & m64, PAIRS) for a, b in zip(hashes, hashes[1:], strict=False)]
+    hidden = [sum(float(model["table"][x][d]) for x in rows) / len(rows) for d in range(model["table"].shape[1])] if rows else [0.0] * model["table"].shape[1]
+    z = [sum(h * model["out"][d][c] for d, h in enumerate(hidden)) + model["bias"][c] for c in (0, 1)]
+    return 1 / (1 + math.exp(z[0] - z[1]))
+
+
+def test_quality_equals_a_plain_scorer(spark):
+    from papyra.llm.quality import fit_quality, score_quality
+
+    docs = labelled(80)
+    model = fit_quality(spark.createDataFrame([(t, q) for _, t, q, _ in docs], "text string, label int"))
+    texts = [None, "", "one", "one one one two", "é 漢字 🤗 é", "x" * 300 + " y"] + [t for _, t, _, _ in docs[:25]]
+    df = spark.createDataFrame([(f"q{i}", t, 1) for i, t in enumerate(texts)], "doc_id string, text string, score int")
+    got = {row["doc_id"]: row["score"] for row in score_quality(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[f"q{i}"] == pytest.approx(plain_quality(t, model), abs=1e-5), t
+    assert score_quality(df.limit(0), model).count() == 0
+
+
 def test_quality_classifier(spark):
     from papyra.llm.quality import bag, features, fit_quality, score_quality
 
@@ -121,7 +222,7 @@ def test_quality_classifier(spark):
     held = [(got[i] >= 0.7) == bool(q) for i, _, q, _ in docs if i % 2 == 0]
     assert sum(held) / len(held) > 0.95 and all(0 <= s <= 1 for s in got.values()) and len(got) == len(docs) + 3
     assert fit_quality(train)["out"].tolist() == model["out"].tolist()
-    assert len(bag("a bb a")) == 2 * len(features(["a"])[0]) + len(features(["bb"])[0])
+    assert len(bag("a bb a")) == 2 * len(features(["a"])[0]) + len(features(["bb"])[0]) + 2  # two pairs of neighbours
     empty = fit_quality(train.limit(0))
     assert [r["score"] for r in score_quality(df.limit(1), empty).collect()] == [0.5]
 
@@ -136,8 +237,9 @@ def test_quality_reads_words_to_their_ends(spark):
     held = spark.createDataFrame([(i, t) for i, t, _ in docs if i >= 36], "doc_id long, text string")
     assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in score_quality(held, fit_quality(train)).collect())
     for word in (docs[0][1], "x" * (2 * SLICE - 1), "abc"):
-        got, want = np.sort(np.concatenate(list(long_features(word)))), np.sort(features([word])[0])
-        assert got.tolist() == want.tolist() and tally(word + " b")[1].sum() == len(want) + len(features(["b"])[0])
+        (counts, hash_), (rows, _, hashes) = long_features(word), features([word])
+        got, want = np.repeat(np.arange(len(counts)), counts), np.sort(rows)
+        assert got.tolist() == want.tolist() and hash_ == hashes and tally(word + " b")[1].sum() == len(want) + len(features(["b"])[0]) + 1
     assert tally("x" * 200_000)[1].max() > 65_535
 
 
@@ -169,7 +271,7 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     lines = []
     for i, t, s in kept:
         left = [x for x in (t or "").split("\n") if not (x.strip(" ") and seen[(s, x.strip(" "))] >= 3 and seen[(s, x.strip(" "))] > 0.1 * pages[s])]
-        lines.append((i, "\n".join(left) if any(x.strip(" ") for x in left) else t))
+        lines.append((i, "\n".join(left) if t is not None else None))
     classes = plain_classes(lines)
     first = [(i, t) for i, t in lines if classes[i] == i]
     bad = plain_contamination(first, bench)
