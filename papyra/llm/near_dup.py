@@ -193,6 +193,11 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(8 + rows // 100_000)
 
 
+def _little(df: DataFrame, rows: int) -> DataFrame:
+    """df (a few numbers a row) with a broadcast hint while it has few rows; beyond that with one for a join whose crowded partitions are split."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS // 4 else df.hint("merge")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose weighted Jaccard similarity is at least threshold; sets: doc_id, elements."""
     a = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("eu"))
@@ -268,11 +273,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, text_col: str =
     label = components(links, links.count())
     # Texts that their bucket's leader isn't linked to, in buckets of three or more, and all texts of such a leader's buckets.
     of = label.select("node", "component")
-    marked = pairs.hint("merge").join(of.toDF("u", "cu"), "u", "left").join(of.toDF("v", "cv"), "v", "left")
+    marked = pairs.join(_little(of.toDF("u", "cu"), several), "u", "left").join(_little(of.toDF("v", "cv"), several), "v", "left")
     marked = checkpointed(marked.select("u", "v", ((F.col("n") > 2) & (F.coalesce("cu", "u") != F.coalesce("cv", "v"))).alias("apart")))
     apart = marked.filter("apart").select(F.col("v").alias("doc_id")).distinct()
-    open_ = marked.filter("apart").select("u").distinct()
-    open_ = marked.hint("merge").join(open_, "u", "left_semi").select(F.col("v").alias("doc_id")).union(open_).distinct()
+    leaders = checkpointed(marked.filter("apart").select("u").distinct())
+    open_ = marked.join(_little(leaders, leaders.count()), "u", "left_semi").select(F.col("v").alias("doc_id")).union(leaders).distinct()
     more = prefix_pairs(sets.join(open_, "doc_id", "left_semi"), apart, threshold)
     # Pairs that are one class already need no look.
     more = more.join(of.toDF("u", "cu"), "u", "left").join(of.toDF("v", "cv"), "v", "left").filter("cu is null or cv is null or cu <> cv").select("u", "v")
