@@ -107,13 +107,15 @@ def recover(text: str | None) -> tuple[str | None, str]:
 
 
 def recovered_json(text: Column) -> Column:
-    """Struct of json and parse_quality."""
+    """Struct of json and parse_quality. What Spark parses is clean and isn't sent to Python."""
 
     @F.pandas_udf("json string, parse_quality string")
     def run(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([recover(t) for t in s], columns=["json", "parse_quality"])
 
-    return run(text)
+    clean = F.try_parse_json(text).isNotNull()
+    given = F.struct(F.trim(text).alias("json"), F.lit("clean").alias("parse_quality"))
+    return F.when(clean, given).otherwise(run(F.when(~F.coalesce(clean, F.lit(False)), text)))
 
 
 def chunks(size: int = 6000, overlap: int = 900) -> Callable[[Column], Column]:

@@ -59,14 +59,15 @@ def normal_doi(doi: Column) -> Column:
     return blank_to_null(F.regexp_replace(F.lower(F.trim(doi)), "^https?://doi\\.org/", ""))
 
 
-def slug(label: Column, size: int = 96) -> Column:
-    out = F.regexp_replace(F.lower(F.trim(label)), "[^a-z0-9]+", "_")
-    return F.substring(F.regexp_replace(out, "^_+|_+$", ""), 1, size)
+def slug(label: Column, size: int = 96, mark: str = "_") -> Column:
+    """Lower-cased letters and digits with a mark for each run of other characters between them, cut."""
+    out = F.regexp_replace(F.lower(F.trim(label)), "[^a-z0-9]+", mark)
+    return F.substring(F.regexp_replace(out, f"^{mark}+|{mark}+$", ""), 1, size)
 
 
 def stable_id(prefix: str, label: Column) -> Column:
-    """prefix:slug, or a piece of the label's SHA-1 where nothing is left of it."""
-    s = slug(label)
+    """prefix:slug (with hyphens), or a piece of the label's SHA-1 where nothing is left of it."""
+    s = slug(label, mark="-")
     return F.concat(F.lit(f"{prefix}:"), F.when(s != "", s).otherwise(F.substring(F.sha1(F.coalesce(label, F.lit(""))), 1, 16)))
 
 

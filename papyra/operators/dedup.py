@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -82,45 +82,56 @@ def _before():
     return W.partitionBy("doi_key", "title_key").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
 
 
-def _similar_methods(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept: list[dict] = []
-    for r in pdf.sort_values("ord").to_dict("records"):
-        if not (r["label"] or "").strip():
-            continue
-        for i, k in enumerate(kept):
-            like = SequenceMatcher(None, r["label"].lower(), k["label"].lower()).ratio()
-            other = bool(r["source_type"] and k["source_type"] and r["source_type"] != k["source_type"])
-            if like > (0.9 if other else 0.75):
-                best, rest = (r, k) if len(r["description"] or "") > len(k["description"] or "") else (k, r)
-                kept[i] = {c: best[c] if best[c] not in (None, "") else rest[c] for c in best} | {"merged": r["merged"] + k["merged"]}
-                break
-        else:
-            kept.append(r)
-    return pd.DataFrame(kept, columns=["paper_id", "ord", "label", "source_type", "description", "merged"])
+#: How alike labels must be to be one method, within a source type and across two.
+ALIKE, ALIKE_ACROSS = 0.75, 0.9
+
+
+def _alike(a: dict, b: dict) -> bool:
+    apart = None not in (types := (a["source_type"] or None, b["source_type"] or None)) and types[0] != types[1]
+    return SequenceMatcher(None, b["label"].lower(), a["label"].lower()).ratio() > (ALIKE_ACROSS if apart else ALIKE)
+
+
+def _filled(first: dict, second: dict) -> dict:
+    """One method of two: that of the longer description (the first of equals), its gaps filled from the other."""
+    by_length = sorted((first, second), key=lambda m: -len(m["description"] or ""))
+    return {c: next((m[c] for m in by_length if m[c] not in (None, "")), by_length[0][c]) for c in first} | {"merged": first["merged"] + second["merged"]}
+
+
+def _folded(kept: list[dict], row: dict) -> list[dict]:
+    place = next((i for i, k in enumerate(kept) if _alike(k, row)), len(kept))
+    return [*kept[:place], _filled(kept[place], row) if place < len(kept) else row, *kept[place + 1 :]]
 
 
 def dedup_methods(methods: DataFrame) -> DataFrame:
-    """Methods (paper_id, ord, label, source_type, description) of each paper, alike labels merged in order (more alike if their source types differ): the longer description stays, its gaps are filled; merged counts the rows in it. A paper's methods are a list that an extraction wrote, tens of rows."""
-    m = methods.select("paper_id", "ord", "label", "source_type", "description", F.lit(1).cast("long").alias("merged"))
-    return m.groupBy("paper_id").applyInPandas(_similar_methods, m.schema)
+    """Methods (paper_id, ord, label, source_type, description) of each paper, alike labels merged in order (more alike if their source types differ): the longer description stays, its gaps are filled; merged counts the rows in it. A paper's methods are a list that an extraction wrote, tens of rows. Rows without a label are left out."""
+    m = methods.filter(F.trim("label") != "").select("paper_id", "ord", "label", "source_type", "description", F.lit(1).cast("long").alias("merged"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.astype(object).where(pdf.notna(), None).sort_values("ord").to_dict("records")
+        return pd.DataFrame(reduce(_folded, rows, []), columns=list(pdf.columns))
+
+    return m.groupBy("paper_id").applyInPandas(fold, m.schema)
+
+
+def embedded(labels: list[str | None], dim: int = 1024) -> np.ndarray:
+    """Unit vectors of labels: each distinct word's BLAKE2b digest names eight places and a sign for each; a label's words count in equal parts. A label without words is one word, an empty one a word of its own."""
+    split = [re.findall("[a-z0-9]+", (t or "").lower()) or [(t or "").lower().strip() or "<empty>"] for t in labels]
+    sizes = np.array([len(w) for w in split])
+    words, which = np.unique(np.array([w for ws in split for w in ws], dtype=object), return_inverse=True)
+    digest = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in words), np.uint8).reshape(-1, 8, 2)
+    place = (digest[:, :, 0].astype(np.int64) * 256 + digest[:, :, 1]) % dim
+    sign = 1.0 - 2.0 * (digest[:, :, 0] % 2)
+    out, owner = np.zeros((len(labels), dim)), np.repeat(np.arange(len(labels)), sizes)
+    np.add.at(out, (owner[:, None], place[which]), sign[which] / sizes[owner, None])
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(norm > 0, norm, 1.0)).astype(np.float32)
 
 
 def hash_embedding(label: Column, dim: int = 1024) -> Column:
-    """Deterministic unit vectors: each word adds signs at eight places that its BLAKE2b digest names."""
+    """Deterministic unit vectors of labels, a batch at a time."""
 
     @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for labels in batches:
-            out = []
-            for text in labels:
-                words = re.findall("[a-z0-9]+", (text or "").lower()) or [(text or "").lower().strip() or "<empty>"]
-                v = np.zeros(dim, np.float32)
-                for w in words:
-                    d = hashlib.blake2b(w.encode(), digest_size=16).digest()
-                    at = np.frombuffer(d, ">u2").astype(np.int64) % dim
-                    np.add.at(v, at, np.where(np.frombuffer(d, np.uint8)[::2] % 2 == 0, 1.0, -1.0).astype(np.float32) / len(words))
-                n = float(np.linalg.norm(v))
-                out.append(v / n if n else v)
-            yield pd.Series(out)
+    def embed(s: pd.Series) -> pd.Series:
+        return pd.Series(list(embedded(s.tolist(), dim)))
 
     return embed(label)

@@ -49,9 +49,9 @@ def job_progress(items: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_done")
 
 
-def review(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The queue with the decided statuses (id, review_status); decisions on unknown ids do nothing."""
-    d = decisions.groupBy("id").agg(F.last("review_status").alias("_status"))
+def review(queue: DataFrame, decisions: DataFrame, *, seq: str | None = None) -> DataFrame:
+    """The queue with the decided statuses (id, review_status): of several decisions on an id the last by ``seq``, or without it the greatest status; decisions on unknown ids do nothing."""
+    d = decisions.groupBy("id").agg((F.max_by("review_status", F.struct(seq, "review_status")) if seq else F.max("review_status")).alias("_status"))
     return queue.join(d, "id", "left").withColumn("review_status", F.coalesce("_status", "review_status")).drop("_status")
 
 
@@ -104,3 +104,80 @@ def best_extraction(rows: DataFrame, key: str = "paper_id") -> DataFrame:
     """The newest success of each paper, else its newest row."""
     w = W.partitionBy(key).orderBy((F.col("extraction_status") == "success").desc(), F.desc("extraction_timestamp"), F.desc("id"))
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def cleared(tables: dict[str, DataFrame], names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The tables of these names (all, if none are given) without their rows; the others as they are."""
+    return {n: t.limit(0) if names is None or n in names else t for n, t in tables.items()}
+
+
+def updated_if_changed(rows: DataFrame, edits: DataFrame, key: str, columns: list[str], now: Column, *, stamp: str = "updated_timestamp") -> DataFrame:
+    """rows with the given columns of edits (null: as before); the time stamp moves only where a value changes."""
+    e = edits.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = rows.join(e, rows[key] == e["_key"], "left")
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | (F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").eqNullSafe(rows[c]))
+    new = {c: F.coalesce(F.col(f"_{c}"), rows[c]) for c in columns} | {stamp: F.when(changed, now).otherwise(rows[stamp])}
+    return joined.select(*[new[c].alias(c) if c in new else rows[c] for c in rows.columns])
+
+
+def superseded(jobs: DataFrame, ids: DataFrame, by: Column, now: Column) -> DataFrame:
+    """jobs (job_id, status, superseded_by, updated_timestamp) of which these (job_id) have been replaced by another; jobs that were so already stay."""
+    edits = ids.select("job_id").distinct().withColumns({"status": F.lit("superseded"), "superseded_by": by})
+    return updated_if_changed(jobs, edits, "job_id", ["status", "superseded_by"], now)
+
+
+def to_retry(items: DataFrame, *, most: int = 3) -> DataFrame:
+    """Items (job_id, paper_id, status, attempts) that a resumed job takes up: those that never ended, and failed ones with attempts left."""
+    return items.filter(F.col("status").isin("pending", "processing") | ((F.col("status") == "failed") & (F.coalesce("attempts", F.lit(0)) < most)))
+
+
+def edited_projects(projects: DataFrame, added: DataFrame, removed: DataFrame, renamed: DataFrame) -> DataFrame:
+    """project_id, paper_id, ord after edits: members taken out (project_id, paper_id), added behind the others in order (project_id, paper_id, ord), each once, and projects renamed (project_id, new_id)."""
+    kept = projects.join(removed.select("project_id", "paper_id").distinct(), ["project_id", "paper_id"], "left_anti")
+    last = kept.groupBy("project_id").agg(F.max("ord").alias("_last"))
+    new = added.join(last, "project_id", "left").select("project_id", "paper_id", (F.coalesce("_last", F.lit(-1)) + 1 + F.col("ord")).alias("ord"))
+    both = kept.select("project_id", "paper_id", "ord").union(new).groupBy("project_id", "paper_id").agg(F.min("ord").alias("ord"))
+    names = renamed.groupBy("project_id").agg(F.min("new_id").alias("_new"))
+    return both.join(names, "project_id", "left").select(F.coalesce("_new", "project_id").alias("project_id"), "paper_id", "ord")
+
+
+def insert_defaults(rows: DataFrame) -> DataFrame:
+    """Paper rows (id, source, source_id, quality_score, citation_count, citations, references, ...) as they are stored: an id from source and source id, a score of 0.5 for none or 0, citations counted from the lists where no count is given."""
+    from ..functions.scalars import record_id
+
+    score = F.when(F.coalesce("quality_score", F.lit(0.0)) == 0, 0.5).otherwise(F.col("quality_score"))
+    filled = lambda c: F.greatest(F.lit(0), F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))))
+    listed = F.when(filled("citations") > 0, filled("citations")).otherwise(filled("references"))
+    count = F.when(F.coalesce("citation_count", F.lit(0)) == 0, listed).otherwise(F.col("citation_count"))
+    return rows.withColumns({"id": record_id(F.col("id"), F.col("source"), F.col("source_id")), "quality_score": score, "citation_count": count})
+
+
+def ensured_papers(papers: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """papers with the records of wanted (identifier and these columns): one that resolves to a paper fills what that lacks, another becomes a paper of its own. papers: id, ord and the columns."""
+    from .extraction import resolve_papers
+
+    found = resolve_papers(wanted.select("identifier").distinct(), papers.select("id", "ord")).withColumnRenamed("paper_id", "_found")
+    rows = wanted.join(found, "identifier", "left")
+    fills = rows.filter("_found is not null").groupBy(F.col("_found").alias("id")).agg(*[F.min_by(c, F.struct(F.col(c).isNull(), "identifier")).alias(c) for c in columns])
+    new = rows.filter("_found is null").groupBy(F.col("identifier").alias("id")).agg(*[F.min(c).alias(c) for c in columns])
+    have = fill_missing(papers.select("id", *columns), fills, "id", columns)
+    return have.unionByName(new.select("id", *columns))
+
+
+def merged_into_global(nodes: DataFrame, edges: DataFrame, similar: DataFrame, project: DataFrame, project_edges: DataFrame, project_similar: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, similar, counts) of a global graph with a project's: nodes (id, seq, ...) and edges (src, dst, seq, ...) are merged by key, the project's last; counts is a row of what the project gave: records, unique records, nodes, edges, similar."""
+    unique = latest_wins(project, ["id"], ["seq"])
+    out = upsert(nodes, unique, ["id"], "seq"), upsert(edges, project_edges, ["src", "dst"], "seq"), upsert(similar, project_similar, ["src", "dst"], "seq")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = one(project, "records_seen").crossJoin(one(unique, "records_unique")).crossJoin(one(unique, "nodes_written")).crossJoin(one(project_edges.select("src", "dst").distinct(), "edges_written")).crossJoin(one(project_similar.select("src", "dst").distinct(), "similar_written"))
+    return (*out, counts)
+
+
+def reindexed(labels: DataFrame, embeddings: DataFrame, embed: Column, *, model: str, version: int, now: Column) -> DataFrame:
+    """The embeddings (label, label_norm, model, embedding_version, vector, updated_timestamp) after all labels (label, ord) are embedded anew: first spellings, by normalised label; those of other models and versions stay."""
+    from .linking import first_spelling
+
+    rows = first_spelling(labels).select("label", F.col("key").alias("label_norm"), F.lit(model).alias("model"), F.lit(version).alias("embedding_version"), embed.alias("vector"), now.alias("updated_timestamp"))
+    return upsert(embeddings, rows, ["label_norm", "model", "embedding_version"], "updated_timestamp")

@@ -8,77 +8,101 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import dot
-from ..functions.text import LOW_SIGNAL, query_tokens, tokens
+from ..functions.scalars import dot, round4
+from ..functions.text import LOW_SIGNAL, STOPWORDS, plain_tokens, query_tokens, tokens
+from .linking import small
 
 
 def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
-    """token, df, idf = 1 + ln((N + 1) / (df + 1)). Tokens are distinct a document before they are counted, so counting combines on the map side; the number of documents is a one-row broadcast."""
-    df = docs.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    """token, df, idf = 1 + ln((N + 1) / (df + 1)).
+
+    Tokens are distinct a document before they are counted, so counting combines on the map
+    side; stop words go after it, when a token is one row; the number of documents is one row.
+    """
+    df = docs.select(F.explode(tokens(text, stop=False)).alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter(~F.col("token").isin(*STOPWORDS))
     n = docs.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("token", "df", (1.0 + F.log((F.col("n") + 1.0) / (F.col("df") + 1.0))).alias("idf"))
 
 
-def query_idf(docs: DataFrame, text: Column, query: list[str]) -> dict[str, float]:
-    """Weights of a query's few tokens: one aggregate row over all documents."""
-    own = tokens(text)
-    row = docs.withColumn("_t", own).agg(F.count("*").alias("_n"), *[F.count_if(F.array_contains("_t", t)).alias(t) for t in query]).first()
-    return {t: 1.0 + math.log((max(row["_n"], 1) + 1.0) / (row[t] + 1.0)) for t in query}
+def query_hits(docs: DataFrame, text: Column, query: list[str], phrase: str = "") -> DataFrame:
+    """docs that may hit, with own (the query's tokens that a text has) and phrase (whether the text's tokens run on as in ``phrase``).
+
+    A token can only be where its letters are, so one pattern of all of them comes before texts
+    are cut into tokens. The caller keeps the result before it filters by ``own``.
+    """
+    letters = "|".join(t.replace("-", "[-_]") for t in query) or "(?!)"
+    hit = docs.filter(F.lower(text).rlike(letters)).withColumn("_t", tokens(text))
+    run = F.contains(F.array_join("_t", " "), F.lit(phrase)) if phrase else F.lit(False)
+    return hit.select(*docs.columns, F.array_intersect("_t", F.array(*map(F.lit, query))).alias("own"), run.alias("phrase"))
+
+
+def query_idf(docs: DataFrame, hits: DataFrame, query: list[str]) -> dict[str, float]:
+    """Weights of a query's few tokens: a row for each of them."""
+    n = docs.count()
+    df = {r["t"]: r["count"] for r in hits.select(F.explode("own").alias("t")).groupBy("t").count().collect()}
+    return {t: 1.0 + math.log((max(n, 1) + 1.0) / (df.get(t, 0) + 1.0)) for t in query}
 
 
-def lexical_score(own: Column, query: list[str], idf: dict[str, float], weight: float = 1.0) -> Column:
-    """Score of a text's tokens: weighted idf of the query's tokens that it has, common terms a quarter; 0 where a specific query meets common terms only; more where the tokens run on as in the query."""
-    has = {t: F.array_contains(own, t) for t in query}
+def lexical_score(own: Column, query: list[str], idf: dict[str, float], weight: float = 1.0, phrase: Column | None = None) -> Column:
+    """Score of a text's tokens: weighted idf of the query's tokens that it has, common terms a quarter; 0 where a specific query meets common terms only; more where the tokens run on as in the query (``phrase``; by default they are looked at here)."""
     specific = [t for t in query if t not in LOW_SIGNAL]
-    low = [t for t in query if t in LOW_SIGNAL]
-    add = lambda ts: sum((F.when(has[t], idf.get(t, 1.0)).otherwise(0.0) for t in ts), F.lit(0.0))
-    phrase = F.when(F.contains(F.array_join(own, " "), F.lit(" ".join(query))), weight * max(2, len(query))).otherwise(0.0)
-    score = weight * (add(specific) + 0.25 * add(low)) + phrase
-    any_ = lambda ts: F.arrays_overlap(own, F.array(*map(F.lit, ts))) if ts else F.lit(False)
-    return F.when(any_(specific) if specific else any_(low), score).otherwise(0.0)
+    phrase = F.contains(F.array_join(own, " "), F.lit(" ".join(query))) if phrase is None else phrase
+    part = lambda t: idf.get(t, 1.0) * (1.0 if t in specific else 0.25)
+    total = sum((F.when(F.array_contains(own, t), part(t)).otherwise(0.0) for t in query), F.lit(0.0))
+    bonus = F.when(phrase, weight * max(2, len(query))).otherwise(0.0)
+    needed = F.arrays_overlap(own, F.array(*map(F.lit, specific or query))) if query else F.lit(False)
+    return F.when(needed, weight * total + bonus).otherwise(0.0)
 
 
-def lexical_search(docs: DataFrame, query: str, *, limit: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, score of the best documents for a query, ties by id."""
+def lexical_hits(docs: DataFrame, query: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score, own (the query's tokens that it has) of each document that scores."""
     q = query_tokens(query)
-    idf = query_idf(docs, F.col(text_col), q)
-    scored = docs.select(id_col, tokens(F.col(text_col)).alias("own")).select(id_col, lexical_score(F.col("own"), q, idf).alias("score"))
-    return scored.filter("score > 0").orderBy(F.desc("score"), id_col).limit(max(0, limit))
+    hits = query_hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("text"), q, " ".join(plain_tokens(query)))
+    hits = hits.select("id", "own", "phrase").persist()  # a few words a row, read for weights and for scores
+    idf = query_idf(docs, hits, q)
+    return hits.select("id", lexical_score(F.col("own"), q, idf, phrase=F.col("phrase")).alias("score"), "own").filter("score > 0")
+
+
+def lexical_search(docs: DataFrame, query: str, *, limit: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, score of the best documents for a query, by score to four decimals, ties by id."""
+    hits = lexical_hits(docs, query, id_col=id_col, text_col=text_col)
+    return hits.orderBy(F.desc(round4(F.col("score"))), "id").limit(max(0, limit)).select(F.col("id").alias(id_col), "score")
 
 
-def cover_first(hits: DataFrame, query: list[str]) -> DataFrame:
-    """hits (id, score, own: tokens) with rank: first, one after the other, the hit with the most query tokens not yet covered (then the higher score, then the lower id), then the rest by score.
+def cover_first(hits: DataFrame, query: list[str], *, limit: int = 10) -> DataFrame:
+    """The first ``limit`` hits (id, score, own: tokens) with rank: first, one after the other, the hit with the most query tokens not yet covered (then the higher score, then the lower id), then the rest by score.
 
     Of hits with the same covered tokens only the best can be picked, and there are no more such
-    sets than 2 to the number of query tokens: one row for each comes to the driver.
+    sets than 2 to the number of query tokens: one row for each comes to the driver. The rest is
+    a top-k, of which each task sends no more than ``limit``.
     """
     specific = [t for t in query if t not in LOW_SIGNAL]
-    order = [F.desc("score"), "id"]
-    if len(specific) < 2:
-        return hits.withColumn("rank", F.row_number().over(W.orderBy(*order)))
-    mask = sum((F.when(F.array_contains("own", t), 1 << i).otherwise(0) for i, t in enumerate(specific)), F.lit(0))
-    best = hits.withColumn("mask", mask).filter("mask > 0").groupBy("mask").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"))
-    rows = sorted(((r["b"]["score"], r["b"]["id"], r["mask"]) for r in best.collect()), key=lambda r: (-r[0], r[1]))
-    picked, covered = [], 0
-    for _ in specific:
-        new = [(bin(m & ~covered).count("1"), s, i, m) for s, i, m in rows if m & ~covered]
-        if not new:
-            break
-        n, s, i, m = max(new, key=lambda x: (x[0], x[1], -x[2]))
-        picked.append(i)
-        covered |= m
+    picked: list = []
+    if len(specific) >= 2:
+        mask = sum((F.when(F.array_contains("own", t), 1 << i).otherwise(0) for i, t in enumerate(specific)), F.lit(0))
+        best = hits.withColumn("mask", mask).filter("mask > 0").groupBy("mask").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
+        rows, covered = [(r["b"]["s"], r["b"]["id"], r["mask"]) for r in best.collect()], 0
+        for _ in specific:
+            new = [(-bin(m & ~covered).count("1"), s, i, m) for s, i, m in rows if m & ~covered]
+            if not new:
+                break
+            _, _, i, m = min(new)
+            picked.append(i)
+            covered |= m
     place = F.coalesce(*[F.when(F.col("id") == i, k) for k, i in enumerate(picked)], F.lit(len(picked))) if picked else F.lit(0)
-    return hits.withColumn("_p", place).withColumn("rank", F.row_number().over(W.orderBy("_p", *order))).drop("_p")
+    first = hits.withColumn("_p", place).orderBy("_p", F.desc("score"), "id").limit(max(0, limit))
+    return first.withColumn("rank", F.row_number().over(W.orderBy("_p", F.desc("score"), "id"))).drop("_p")
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, *, k: int = 5, least: float = -1.0) -> DataFrame:
     """query_id, rank, id, score: the k rows of greatest cosine for each query vector (id, v), itself left out.
 
-    Queries are few and broadcast; the vectors are scanned once, where they lie. Norms are taken
-    once a row, not once a pair.
+    The stated queries meet all rows: the vectors are scanned once, where they lie, while a count
+    shows that the queries are few enough to broadcast. Each task ranks its own rows first and
+    sends k of them for a query. Norms are taken once a row, not once a pair.
     """
     unit = lambda df, i, v: df.select(F.col("id").alias(i), F.col("v").cast("array<double>").alias(v)).withColumn(f"{v}n", F.sqrt(dot(F.col(v), F.col(v)))).filter(F.col(f"{v}n") > 0)
-    pairs = unit(vectors, "id", "a").join(F.broadcast(unit(queries, "query_id", "b")), F.col("id") != F.col("query_id"))
+    pairs = unit(vectors, "id", "a").join(small(unit(queries, "query_id", "b")), F.col("id") != F.col("query_id"))
     scored = pairs.select("query_id", "id", (dot(F.col("a"), F.col("b")) / (F.col("an") * F.col("bn"))).alias("score")).filter(F.col("score") >= least)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round4
 from ..operators import extraction, retrieval
-from .registry import query, read
+from .registry import bounded, query, read
 
 
 @query("""
@@ -21,27 +21,29 @@ def resolve_identifiers(spark, sf_dir):
     return extraction.resolve_papers(wanted, papers)
 
 
-@query("""
-SELECT doc_id, CASE WHEN regexp_matches(x, 'survey|review of|systematic review|overview of') THEN 'survey' WHEN regexp_matches(x, 'benchmark|dataset|leaderboard') THEN 'benchmark' WHEN regexp_matches(x, 'theorem|proof|we prove|formal framework') THEN 'theoretical' ELSE 'research' END AS paper_type,
-  coalesce(list_max(list_filter(list_transform(regexp_extract_all(substr(text, 1, 3000), '(19[5-9][0-9]|20[0-9]{2})', 1), lambda y: CAST(y AS INTEGER)), lambda y: y <= 2026)), 0) AS year
-FROM (SELECT doc_id, text, lower(source || ' ' || substr(text, 1, 3000)) AS x FROM documents)""")
-def paper_kind(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", extraction.paper_type(F.col("source"), F.col("text")).alias("paper_type"), F.coalesce(extraction.paper_year(F.col("text"), 2026), F.lit(0)).alias("year"))
-
-
-@query(rf"""
+_KIND_SQL = rf"""
 WITH d AS (SELECT doc_id, substr(text, 1, 6000) AS header, lower(substr(text, 1, 12000)) AS x, list_transform(regexp_split_to_array(text, '\r\n|[\r\n]')[1:30], lambda l: lower(trim(regexp_replace(l, '\s+', ' ', 'g'), ' #'))) AS lines FROM documents),
 t AS (SELECT *, coalesce(list_filter(lines, lambda l: length(l) BETWEEN 6 AND 180 AND NOT regexp_matches(l, '{extraction.NO_TITLE}'))[1], '') AS title, list_filter(list_transform(regexp_extract_all(header, '{extraction.YEAR}'), lambda y: CAST(y AS INTEGER)), lambda y: y <= 2026)[1] AS y FROM d)
 SELECT doc_id, CASE WHEN regexp_matches(title, '{extraction.BENCHMARK}') OR (regexp_matches(x, '{extraction.FRAMEWORK[0]}') AND regexp_matches(x, '{extraction.FRAMEWORK[1]}') AND regexp_matches(x, '{extraction.FRAMEWORK[2]}')) THEN 'benchmark'
   WHEN regexp_matches(title, '{extraction.SURVEY}') OR regexp_matches(x, '{extraction.SURVEY}') THEN 'survey' ELSE 'research' END AS paper_type,
-  CASE WHEN y IS NULL THEN 0 ELSE coalesce(TRY_CAST(nullif(regexp_extract(header, '{extraction.DATED}', 1), '') AS INTEGER), y) END AS year FROM t""")
+  CASE WHEN y IS NULL THEN 0 ELSE coalesce(TRY_CAST(nullif(regexp_extract(header, '{extraction.DATED}', 1), '') AS INTEGER), y) END AS year FROM t"""
+
+
+@query(_KIND_SQL)
 def paper_kind_detected(spark, sf_dir):
-    """paper_kind by the windows and markers of the behaviour studied."""
+    """Kind and year by marks in the title line, the first 12,000 and the first 6,000 characters."""
     d = read(spark, sf_dir, "documents")
     return d.select("doc_id", extraction.detected_type(F.col("text")).alias("paper_type"), F.coalesce(extraction.detected_year(F.col("text"), 2026), F.lit(0)).alias("year"))
 
 
+@query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'theoretical' WHEN paper_type = 'benchmark' THEN 'benchmark' WHEN doc_id % 4 = 2 THEN 'survey' ELSE paper_type END AS paper_type, year FROM ({_KIND_SQL})")
+def paper_kind(spark, sf_dir):
+    """The kind that a model gave (here by id, some of them unknown) combined with the detected one."""
+    d = read(spark, sf_dir, "documents")
+    given = F.when(F.col("doc_id") % 4 == 1, " Theoretical").when(F.col("doc_id") % 4 == 2, "survey").when(F.col("doc_id") % 4 == 3, "poem")
+    return d.select("doc_id", extraction.resolved_type(given, extraction.detected_type(F.col("text"))).alias("paper_type"), F.coalesce(extraction.detected_year(F.col("text"), 2026), F.lit(0)).alias("year"))
+
+
 @query("""
 WITH k AS (SELECT l_suppkey AS paper_id, trim(regexp_replace(lower(p_brand || ' ' || CASE WHEN l_linenumber % 2 = 0 THEN upper(p_type) ELSE p_type END), '[^a-z0-9]+', ' ', 'g')) AS key, p_brand || ' ' || CASE WHEN l_linenumber % 2 = 0 THEN upper(p_type) ELSE p_type END AS label,
   CASE WHEN l_returnflag = 'A' THEN 'method' ELSE 'concept' END AS role, l_discount AS confidence, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -101,9 +103,13 @@ def thread_messages(spark, sf_dir):
     return extraction.with_first_messages(threads, messages).withColumn("content", F.md5("content"))
 
 
-@query("""
-WITH s AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), '[^.!?]+[.!?]') AS x FROM documents), p AS (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS ord FROM s),
-h AS (SELECT doc_id, ord, trim(s) AS statement, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM p WHERE length(trim(s)) BETWEEN 70 AND 320 AND regexp_matches(lower(trim(s)), 'we show|we find|results|demonstrate|suggest|outperform|conclude'))
-SELECT doc_id, CAST(ord AS INTEGER) AS ord FROM h WHERE k <= 5""")
+@query(rf"""
+WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(regexp_replace(substr(replace(text, 'the ', 'our '), 1, 3500), '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' .')),
+  lambda x: length(x) BETWEEN 70 AND 320 AND regexp_matches(lower(x), '{bounded(extraction.CLAIM_MARK)}')) AS g FROM documents),
+k AS (SELECT doc_id, g, list_transform(g, lambda x: trim(regexp_replace(lower(substr(x, 1, 120)), '[^a-z0-9]+', ' ', 'g'))) AS k FROM w),
+f AS (SELECT doc_id, list_filter(g, lambda x, i: list_position(k, k[i]) = i)[1:5] AS g FROM k)
+SELECT doc_id, CAST(generate_subscripts(g, 1) - 1 AS INTEGER) AS ord, md5(unnest(g)) AS statement_md5, regexp_matches(lower(unnest(g)), '{bounded(extraction.CLAIM_DENIAL)}') AS negated FROM f""")
 def fallback_claims(spark, sf_dir):
-    return extraction.fallback_claims(read(spark, sf_dir, "documents")).select("doc_id", "ord")
+    """Claims of texts that say "our" for "the", as none of the documents has a claim's mark or a heading of its own."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("the "), F.lit("our ")).alias("text"))
+    return extraction.fallback_claims(d).select("doc_id", "ord", F.md5("statement").alias("statement_md5"), "negated")

@@ -115,10 +115,19 @@ def dedup_sequential(spark, sf_dir):
     return dedup.dedup_records(d).select(F.col("ord").alias("doc_id"))
 
 
+@query()
+def dedup_titles(spark, sf_dir):
+    """Documents as records with titles (first lines) and versions, every second one with the text's hash as DOI: matched one after the other by DOI, else title."""
+    _checkpoints(spark)
+    d = read(spark, sf_dir, "documents")
+    records = d.select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 2 == 0, F.md5("text")).alias("doi"), F.split("text", "\n", 2)[0].alias("title"), (1 + F.col("n_chars") % 3).cast("int").alias("version"))
+    return dedup.dedup_records(records).select(F.col("ord").alias("doc_id"))
+
+
 @query()
 def method_fuzzy_dedup(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    m = p.select((F.col("p_partkey") % 200).alias("paper_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("label"), F.col("p_brand").alias("source_type"), F.col("p_type").alias("description"))
+    m = p.select(F.floor(F.col("p_partkey") / 25).alias("paper_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("label"), F.col("p_brand").alias("source_type"), F.col("p_type").alias("description"))
     return dedup.dedup_methods(m)
 
 

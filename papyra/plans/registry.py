@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def bounded(pattern: str) -> str:
+    """A pattern for DuckDB, whose word bounds know ASCII only: letters and digits of all scripts make words, as they do for Spark."""
+    ahead = re.sub(r"\\b(?=[(a-z])", r"(?:^|[^\\p{L}\\p{N}_])", pattern)
+    return ahead.replace("\\b", r"(?:$|[^\p{L}\p{N}_])")
+
+
 def query(sql: str | None = None) -> Callable:
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import text
 from ..functions.scalars import round4
-from ..operators import answers, retrieval
+from ..operators import answers, conflicts, retrieval
 from .registry import query, read
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -29,29 +28,45 @@ def token_doc_frequency(spark, sf_dir):
 
 
 SEARCH = "thtion anea models ererth"
-
-
-@query(f"""
-WITH d AS (SELECT doc_id, list_distinct({_tokens("text")}) AS own FROM documents),
+_SCORED = f"""
+d AS (SELECT doc_id, list_distinct({_tokens("text")}) AS own FROM documents),
 q AS (SELECT unnest(['thtion', 'anea', 'models', 'ererth']) AS t),
 f AS (SELECT t, 1.0 + ln(((SELECT count(*) FROM documents) + 1.0) / ((SELECT count(*) FROM d WHERE list_contains(own, t)) + 1.0)) AS w FROM q),
-s AS (SELECT doc_id, sum(CASE WHEN t = 'models' THEN 0.25 * w ELSE w END) AS score FROM d, f WHERE list_contains(own, t) GROUP BY doc_id HAVING bool_or(t <> 'models'))
-SELECT doc_id, round(score, 4) AS score FROM s ORDER BY round(score, 4) DESC, doc_id LIMIT 25""")
+h AS (SELECT doc_id, sum(CASE WHEN t = 'models' THEN 0.25 * w ELSE w END) AS score, list(t) AS own FROM d, f WHERE list_contains(own, t) GROUP BY doc_id HAVING bool_or(t <> 'models'))"""
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, round(score, 4) AS score FROM h ORDER BY round(score, 4) DESC, doc_id LIMIT 25")
 def lexical_search(spark, sf_dir):
-    """Weighted search; the words aren't in this order anywhere, so the phrase part of the score is 0."""
-    out = retrieval.lexical_search(read(spark, sf_dir, "documents"), SEARCH, limit=1_000_000)
-    return out.select("doc_id", round4(F.col("score")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)
+    """The best 25 documents for a query of specific and common words."""
+    out = retrieval.lexical_search(read(spark, sf_dir, "documents"), SEARCH, limit=25)
+    return out.select("doc_id", round4(F.col("score")).alias("score"))
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT doc_id, {_tokens("text")} AS x FROM documents WHERE regexp_matches(lower(text), 'attion|thanedble|anea')),
+o AS (SELECT doc_id, list_filter(x, lambda t, i: list_position(x, t) = i) AS x FROM d),
+f AS (SELECT t, 1.0 + ln(((SELECT count(*) FROM documents) + 1.0) / ((SELECT count(*) FROM o WHERE list_contains(x, t)) + 1.0)) AS w FROM (SELECT unnest(['attion', 'thanedble', 'anea']) AS t))
+SELECT doc_id, round(sum(w) + CASE WHEN any_value(contains(array_to_string(x, ' '), 'attion thanedble anea')) THEN 3.0 ELSE 0.0 END, 4) AS score FROM o, f WHERE list_contains(x, t) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 40""")
+def phrase_search(spark, sf_dir):
+    """A query whose words many documents have in this order: these score its phrase part too."""
+    out = retrieval.lexical_search(read(spark, sf_dir, "documents"), "attion of thanedble anea", limit=40)
+    return out.select("doc_id", round4(F.col("score")).alias("score"))
+
+
+@query(f"""
+WITH RECURSIVE {_SCORED},
+m AS (SELECT doc_id, score, CAST(list_contains(own, 'thtion') AS INT) + 2 * CAST(list_contains(own, 'anea') AS INT) + 4 * CAST(list_contains(own, 'ererth') AS INT) AS m FROM h),
+p(step, doc_id, covered) AS (
+  SELECT 0, CAST(NULL AS BIGINT), 0
+  UNION ALL
+  SELECT p.step + 1, b.doc_id, p.covered | b.m FROM p, LATERAL (SELECT m.doc_id, m.m FROM m WHERE (m.m & ~p.covered) <> 0 ORDER BY bit_count(m.m & ~p.covered) DESC, m.score DESC, m.doc_id LIMIT 1) b WHERE p.step < 3),
+r AS (SELECT m.doc_id, m.score, p.step, row_number() OVER (ORDER BY p.step NULLS LAST, m.score DESC, m.doc_id) AS rank FROM m LEFT JOIN p ON p.doc_id = m.doc_id)
+SELECT doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50""")
 def coverage_rank(spark, sf_dir):
-    """Hits in the order that covers the query's words first."""
+    """The first 50 hits in the order that covers the query's words first."""
     docs = read(spark, sf_dir, "documents")
-    q = text.query_tokens(SEARCH)
-    own = docs.select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("own"))
-    idf = retrieval.query_idf(docs, F.col("text"), q)
-    hits = own.withColumn("score", retrieval.lexical_score(F.col("own"), q, idf)).filter("score > 0")
-    return retrieval.cover_first(hits, q).filter("rank <= 50").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    hits = retrieval.lexical_hits(docs, SEARCH)
+    return retrieval.cover_first(hits, text.query_tokens(SEARCH), limit=50).select(F.col("id").alias("doc_id"), round4(F.col("score")).alias("score"), "rank")
 
 
 @query("""
@@ -97,11 +112,14 @@ def citation_labels(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT unnest(['idiot', 'of the', 'worthless']) AS label)
-SELECT doc_id, label, CAST(len(regexp_extract_all(lower(text), '(?:^|[^a-z0-9])' || replace(label, ' ', '[ -]') || '(?:$|[^a-z0-9])')) AS INTEGER) AS n FROM documents, l WHERE n > 0""")
+WITH l AS (SELECT unnest(['idiot', 'of the', 'worthless', 'unknown source form']) AS label, unnest(['', 'OT', '', 'USF']) AS short),
+d AS (SELECT doc_id, label, short, regexp_replace(lower(text), '([^\\p{L}\\p{N}_])', '\\1\\1', 'g') AS low, regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g') AS t FROM documents, l),
+n AS (SELECT *, len(regexp_extract_all(low, '(?:^|[^\\p{L}\\p{N}_])' || replace(label, ' ', '[\\s-]+') || '(?:$|[^\\p{L}\\p{N}_])')) AS n FROM d),
+m AS (SELECT doc_id, label, CASE WHEN n = 0 AND short <> '' THEN len(regexp_extract_all(t, '(?:^|[^\\p{L}\\p{N}_])' || short || '(?:$|[^\\p{L}\\p{N}_])')) ELSE n END AS n FROM n)
+SELECT doc_id, label, CAST(n AS INTEGER) AS n FROM m WHERE n > 0""")
 def mention_count(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    found = F.array(*[F.struct(F.lit(x).alias("label"), text.mentions(F.col("text"), x).alias("n")) for x in ("idiot", "of the", "worthless")])
+    found = F.array(*[F.struct(F.lit(x).alias("label"), text.mentions(F.col("text"), x).alias("n")) for x in ("idiot", "of the", "worthless", "unknown source form")])
     return d.select("doc_id", F.inline(found)).filter("n > 0")
 
 
@@ -118,13 +136,8 @@ n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS total, row_number() OVER
 SELECT conv_id, l, r, round(score, 4) AS score FROM n WHERE total <= 10 OR (score > 0 AND rank <= 10)""")
 def claim_pairs(spark, sf_dir):
     """Pairs of claims of a conversation; where there are more than ten, the ten that share most."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.claim_terms(F.col("text")).alias("x"))
-    a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
-    s = pairs.select("a.conv_id", F.col("a.turn").alias("l"), F.col("b.turn").alias("r"), text.claim_score(F.col("a.x"), F.col("b.x")).alias("score"))
-    per = W.partitionBy("conv_id")
-    n = s.withColumns({"total": F.count("*").over(per), "rank": F.row_number().over(per.orderBy(F.desc("score"), "l", "r"))})
-    return n.filter("total <= 10 or (score > 0 and rank <= 10)").select("conv_id", "l", "r", round4(F.col("score")).alias("score"))
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("ord"), F.col("text").alias("statement"))
+    return conflicts.claim_pairs(c).select(F.col("paper_id").alias("conv_id"), "l", "r", round4(F.col("score")).alias("score"))
 
 
 @query("""
@@ -156,7 +169,12 @@ def scan_patterns(spark, sf_dir):
     return d.select("doc_id", F.explode(hits).alias("label"))
 
 
-@query("SELECT item_id AS needle_id, doc_id, CAST(instr(d.text, substr(b.text, 1, 120)) AS BIGINT) AS position FROM benchmark b, documents d WHERE length(substr(b.text, 1, 120)) >= 30 AND contains(d.text, substr(b.text, 1, 120))")
+@query("""
+WITH p AS (SELECT item_id, list_transform(range(0, greatest(length(text) - 120, 1), 80), lambda i: trim(substr(lower(text), i + 1, 120))) AS ps FROM benchmark),
+u AS (SELECT item_id, unnest(ps) AS probe, generate_subscripts(ps, 1) AS k FROM p),
+f AS (SELECT u.item_id AS needle_id, d.doc_id, length(probe) AS length, k, instr(lower(d.text), probe) AS position FROM u JOIN documents d ON length(probe) >= 30 AND contains(lower(d.text), probe)),
+r AS (SELECT *, row_number() OVER (PARTITION BY needle_id, doc_id ORDER BY length DESC, k) AS n FROM f)
+SELECT needle_id, doc_id, CAST(position AS BIGINT) AS position, CAST(length AS BIGINT) AS length FROM r WHERE n = 1""")
 def excerpt_lookup(spark, sf_dir):
     b, d = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
     return answers.excerpts(b.select(F.col("item_id").alias("needle_id"), "text"), d.select("doc_id", "text"))

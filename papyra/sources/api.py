@@ -11,12 +11,25 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from email.utils import parsedate_to_datetime
 from urllib.request import Request, urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Answers that are worth another try.
 BUSY = (429, 500, 502, 503, 504)
+#: Pages that the APIs give of one query.
+MOST_PAGES = 100
+
+
+def asked_wait(said: str | None, otherwise: float, now: float | None = None) -> float:
+    """Seconds of a Retry-After: a number or a date; ``otherwise`` where it is neither."""
+    if said and said.strip().isdigit():
+        return float(said)
+    try:
+        return max(0.0, parsedate_to_datetime(said or "").timestamp() - (time.time() if now is None else now))
+    except ValueError:
+        return otherwise
 
 
 def fetch(url: str, *, tries: int = 6, wait: float = 10.0, longest: float = 60.0, opener=urlopen, sleep=time.sleep) -> str:
@@ -30,7 +43,7 @@ def fetch(url: str, *, tries: int = 6, wait: float = 10.0, longest: float = 60.0
             if n + 1 == tries or (code is not None and code not in BUSY):
                 raise
             said = getattr(e, "headers", None) and e.headers.get("Retry-After")
-            sleep(min(longest, float(said) if said and said.isdigit() else wait * 2**n))
+            sleep(min(longest, asked_wait(said, wait * 2**n)))
     raise ValueError("tries must be at least 1")
 
 
@@ -48,7 +61,9 @@ class ApiSource(DataSource):
 
 class ApiReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.url, self.pages = options["url"], min(100, max(1, int(options.get("pages", 1))))
+        self.url, self.pages = options["url"], int(options.get("pages", 1))
+        if not 1 <= self.pages <= MOST_PAGES:
+            raise ValueError(f"pages must be from 1 to {MOST_PAGES}, not {self.pages}")
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in range(1, self.pages + 1)]

@@ -89,3 +89,124 @@ def pdf_listing(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", F.col("length").alias("size"))
     name = F.regexp_extract("path", "([^/]+)\\.pdf$", 1)
     return files.select(F.regexp_extract(name, "^(.*)_v([0-9]+)$", 1).alias("paper_id"), F.regexp_extract(name, "^(.*)_v([0-9]+)$", 2).try_cast("int").alias("version"), "path", "size")
+
+
+def by_key(rows: DataFrame, column: str, value: object) -> DataFrame:
+    """The rows of one key: the filter reaches the scan."""
+    return rows.filter(F.col(column) == F.lit(value))
+
+
+def extractions_of(extractions: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """identifier with the extractions (paper_id, ...) of any name that it goes by."""
+    from ..operators.extraction import identifier_aliases
+
+    names = identifiers.select("identifier", F.explode(identifier_aliases(F.col("identifier"))).alias("_alias"))
+    own = extractions.withColumn("_alias", F.explode(identifier_aliases(F.col("paper_id"))))
+    return names.join(own, "_alias").drop("_alias").distinct()
+
+
+def vector(value: Column) -> Column:
+    """A vector kept as JSON; null where it isn't one."""
+    return F.from_json(value, "array<float>")
+
+
+def json_or_raw(value: Column, kind: str) -> Column:
+    """Struct of parsed (null where the JSON is bad) and raw (kept only then)."""
+    parsed = F.from_json(value, kind, {"mode": "PERMISSIVE"})
+    good = F.try_parse_json(value).isNotNull() & parsed.isNotNull()
+    return F.struct(F.when(good, parsed).alias("parsed"), F.when(~F.coalesce(good, F.lit(False)), value).alias("raw"))
+
+
+ATOM = "struct<entry:array<struct<id:string,title:string,summary:string,published:string,author:array<struct<name:string>>,link:array<struct<_href:string,_title:string,_rel:string>>>>>"
+
+
+def arxiv_records(pages: DataFrame, *, body: str = "body") -> DataFrame:
+    """Uniform records of Atom feeds, one a page: source_id without its version, version, title, abstract, authors, year, pdf_url."""
+    entry = pages.select(F.explode(F.from_xml(F.col(body), ATOM)["entry"]).alias("e"))
+    tail = F.regexp_extract("e.id", "abs/(.+)$", 1)
+    squeezed = lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))
+    pdf = F.get(F.filter("e.link", lambda x: x["_title"] == "pdf"), 0)["_href"]
+    return entry.select(
+        F.lit("arxiv").alias("source"), F.regexp_replace(tail, "v[0-9]+$", "").alias("source_id"), F.coalesce(F.regexp_extract(tail, "v([0-9]+)$", 1).try_cast("int"), F.lit(1)).alias("version"), squeezed("e.title").alias("title"), squeezed("e.summary").alias("abstract"),
+        F.transform("e.author", lambda a: a["name"]).alias("authors"), F.substring("e.published", 1, 4).try_cast("int").alias("year"), pdf.alias("pdf_url"),
+    )
+
+
+_S2_PAPER = "struct<paperId:string,title:string,year:int,citationCount:int,authors:array<struct<name:string>>,externalIds:struct<DOI:string>,references:array<struct<paperId:string>>>"
+
+
+def semantic_scholar_pages(pages: DataFrame, *, body: str = "body", field: str = "data") -> DataFrame:
+    """Uniform records of answers to a search (data) or a request for recommendations (recommendedPapers)."""
+    rows = pages.select(F.inline(F.from_json(F.col(body), f"{field} array<{_S2_PAPER}>")[field]))
+    return semantic_scholar_record(rows)
+
+
+def openalex_terms(pages: DataFrame, *, body: str = "body") -> DataFrame:
+    """id, label, level, works_count of answers that list topics or concepts."""
+    kind = "results array<struct<id:string,display_name:string,level:int,works_count:long>>"
+    rows = pages.select(F.inline(F.from_json(F.col(body), kind)["results"]))
+    return rows.select(F.regexp_extract("id", "([^/]+)$", 1).alias("id"), F.col("display_name").alias("label"), "level", "works_count")
+
+
+def papers_with_code(pages: DataFrame, *, body: str = "body") -> DataFrame:
+    """Uniform records of answers of that API."""
+    kind = "results array<struct<id:string,arxiv_id:string,title:string,abstract:string,authors:array<string>,published:string,url_pdf:string>>"
+    rows = pages.select(F.inline(F.from_json(F.col(body), kind)["results"]))
+    return rows.select(F.lit("papers_with_code").alias("source"), F.col("id").alias("source_id"), "arxiv_id", "title", "abstract", "authors", F.substring("published", 1, 4).try_cast("int").alias("year"), F.col("url_pdf").alias("pdf_url"))
+
+
+#: What stands between the pages of a text, and the characters that a text must have to be one.
+PAGE_BREAK, LEAST_TEXT = "\n---PAGE BREAK---\n", 100
+
+
+def pdf_pages(content: bytes) -> list[str]:
+    """Texts of a PDF's pages by the first library that is there and reads it; without one, what the file holds as text."""
+    import io
+
+    try:
+        import pdfplumber
+
+        with pdfplumber.open(io.BytesIO(content)) as pdf:
+            pages = [p.extract_text() or "" for p in pdf.pages]
+    except Exception:  # not installed, or a file that it can't read: the next way
+        pages = []
+    if sum(map(len, pages)) <= LEAST_TEXT:
+        try:
+            from pypdf import PdfReader
+
+            pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+        except Exception:  # as above
+            pages = []
+    return pages or [content.decode("utf-8", "ignore")]
+
+
+def pdf_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """path, n_pages, text (null where nothing readable is found) of the PDFs of a folder, each read by one task."""
+    import pandas as pd
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+    def run(parts):
+        for p in parts:
+            pages = [pdf_pages(bytes(c)) for c in p["content"]]
+            texts = [PAGE_BREAK.join(x) for x in pages]
+            yield pd.DataFrame({"path": p["path"], "n_pages": [len(x) for x in pages], "text": [t if len(t) > LEAST_TEXT else None for t in texts]})
+
+    return files.mapInPandas(run, "path string, n_pages int, text string")
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """canonical_id, label, entity_type, alias, ord of an ontology file: a list of entries (id, label, type, aliases) under any key, JSON, or YAML where a reader for it is installed."""
+    import json
+
+    text = "\n".join(r["value"] for r in spark.read.text(path).collect())  # a configuration file
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        content = yaml.safe_load(text)
+    else:
+        content = json.loads(text)
+    groups = content.values() if isinstance(content, dict) else [content]
+    entries = [e for g in groups if isinstance(g, list) for e in g if isinstance(e, dict) and e.get("label")]
+    rows = [(str(e.get("id") or e["label"]), str(e["label"]), str(e.get("type") or ""), str(a), i) for i, e in enumerate(entries) for a in [e["label"], *(e.get("aliases") or [])]]
+    return spark.createDataFrame(rows, "canonical_id string, label string, entity_type string, alias string, ord int")

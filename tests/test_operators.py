@@ -140,7 +140,7 @@ def test_identifiers(spark):
         obsolescence(F.lit(2016), F.lit(99), 2026).alias("o"), obsolescence(F.lit(2016), F.lit(0), 2026).alias("o0"), obsolescence(F.lit(None).cast("int"), F.lit(0), 2026).alias("on"), ratio(F.lit(1), F.lit(0)).alias("r"),
         (title_fingerprint(F.lit("Émile, A  b")) == title_fingerprint(F.lit("emile a B"))).alias("t"),
     ).first()
-    assert row["u"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "a|b")) and row["d"] == "10.1/x" and row["s"] == "c:deep_q" and len(row["h"]) == 18
+    assert row["u"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "a|b")) and row["d"] == "10.1/x" and row["s"] == "c:deep-q" and len(row["h"]) == 18
     assert row["o"] < row["o0"] and row["on"] == 0.5 and row["r"] == 0.0 and row["t"]
 
 
@@ -159,13 +159,21 @@ def test_reports(spark):
 def test_answers(spark):
     from papyra.operators.answers import cited_or_all, evidence_for_answer, excerpts
 
-    ev = spark.createDataFrame([(1, "p", "claim", "t 1", 1.0), (1, "p", "claim", "t 1", 3.0), (2, "q", "paper", "u", 4.0)], "hit_rank int, paper_id string, kind string, text string, score double")
-    assert [(r["paper_id"], r["answer_score"]) for r in evidence_for_answer(ev).collect()] == [("p", 5.5), ("q", 4.0)]
+    ev = spark.createDataFrame([(1, 0, "p", "claim", "t 1", 1.0), (2, 0, "q", "paper", "u", 4.0), (5, 0, "r", "other", "clinical", 2.0)], "hit_rank int, ord long, paper_id string, kind string, text string, score double")
+    assert [(r["paper_id"], r["answer_score"]) for r in evidence_for_answer(ev).collect()] == [("p", 6.0), ("q", 4.25), ("r", 3.5)]
+    items = spark.createDataFrame([("p", "claim", 0, "t 1"), ("q", "relation", 1, "a uses b 2"), ("r", "claim", 0, "beyond the first three"), ("q", "method", 2, " ")], "paper_id string, kind string, ord long, text string")
+    more = evidence_for_answer(ev, items, hits=3)
+    assert [(r["paper_id"], r["kind"], r["answer_score"]) for r in more.collect()][:2] == [("q", "relation", 10.5), ("p", "claim", 6.0)] and more.count() == 4
     one = spark.createDataFrame([("q",)], "paper_id string")
     assert cited_or_all(ev, one).count() == 1 and cited_or_all(ev, one.withColumn("paper_id", F.lit("z"))).count() == 3
     needles = spark.createDataFrame([("a", "lorem ipsum dolor sit amet consectetur"), ("b", "ab"), ("c", "x" * 40)], "needle_id string, text string")
     texts = spark.createDataFrame([(1, "so: lorem ipsum dolor sit amet consectetur!"), (2, "y" + "x" * 50), (3, "lorem")], "doc_id long, text string")
     assert sorted((r["needle_id"], r["doc_id"], r["position"]) for r in excerpts(needles, texts).collect()) == [("a", 1, 5), ("c", 2, 2)]
+    # a needle whose middle is quoted, and one whose end is
+    words = [f"word{i}" for i in range(80)]
+    long = spark.createDataFrame([("n", " ".join(words))], "needle_id string, text string")
+    quotes = spark.createDataFrame([(1, "x " + " ".join(words[20:60]).upper() + " y"), (2, " ".join(words[45:])), (3, "none of these " * 9)], "doc_id long, text string")
+    assert {r["doc_id"]: r["length"] for r in excerpts(long, quotes).collect()} == {1: 120, 2: 120}
 
 
 def test_linking(spark):
