@@ -28,6 +28,8 @@ from __future__ import annotations
 #: Token beginnings with so few continuations count as alike where they allow the same ones.
 FEW = 12
 START = -1
+#: The state before any symbol: one open beginning, the empty one.
+BEGIN = ((0, START, 0),)
 ALWAYS = 1 << 60
 NEW = object()
 #: Answers that are remembered: about 50 MB of a worker.
@@ -112,7 +114,7 @@ class PrefixMachine:
         self.ids: dict[tuple, int] = {}
         self.live: list[tuple] = []
         self.table: list[dict] = []
-        self.start = self._state(((0, START, 0),))
+        self.start = self._state(BEGIN)
 
     def _state(self, live: tuple) -> int:
         s = self.ids.get(live)
@@ -159,18 +161,18 @@ class PrefixMachine:
         self.table[s][c] = out
         return out
 
-    def count(self, symbols) -> int:
-        """Tokens of one word: the sum of what its transitions emit."""
+    def run(self, live: tuple, symbols) -> tuple[tuple, int]:
+        """The state (as its open beginnings, which say the same in every worker) after symbols, and the sum of what the transitions emit."""
         if len(self.live) > self.max_states:
             self.reset()
-        table, s, total = self.table, self.start, 0
+        table, s, total = self.table, self._state(live), 0
         for c in symbols:
             step = table[s].get(c)
             if step is None:
                 step = self.compile(s, c)
             s = step[0]
             total += step[1]
-        return total
+        return self.live[s], total
 
     def labels(self, symbols) -> list[int]:
         """Last token of every prefix."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from .automaton import PrefixMachine, TokenAutomaton
+from .automaton import BEGIN, PrefixMachine, TokenAutomaton
 from .common import resident
 
 
@@ -25,6 +25,9 @@ class ByteLevelBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path}: another normaliser or pre-tokenizer than byte-level words without a prefix space, which this codec doesn't follow")
         vocab = spec["model"]["vocab"]
         of_char = {c: b for b, c in byte_alphabet().items()}
         merges = []
@@ -61,6 +64,9 @@ class PieceCounter:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        # What the transducer takes for granted: a space mark before the text, and texts as they are.
+        if model.encode("a", out_type=str) != ["▁a"] or model.decode(model.encode("ﬁ  Ａ é ")) != "ﬁ  Ａ é ":
+            raise ValueError(f"{path}: another normaliser or no leading space mark, which this transducer doesn't follow")
         n = model.get_piece_size()
         usable = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         piece = {i: model.id_to_piece(i) for i in usable}
@@ -81,18 +87,26 @@ class PieceCounter:
             raise ValueError("a piece holds a space mark after another character: words aren't independent")
         self.machine = PrefixMachine(automaton, spelled, counted=True)
 
-    def count_word(self, word: str) -> int:
-        """Tokens of a stretch that starts and ends where no token can cross."""
+    def run(self, live: tuple, word: str) -> tuple[tuple, int]:
+        """The state after a stretch of a word that no token's end lies before, and the tokens that it adds."""
         total, known, inside = 0, self.characters, []
         for c in word:
             if c in known:
                 inside.append(c)
             else:  # falls back to one token a byte, which nothing merges with
                 if inside:
-                    total += self.machine.count(inside)
+                    total += self.machine.run(live, inside)[1]
                     inside = []
+                live = BEGIN
                 total += len(c.encode("utf-8", "surrogatepass"))
-        return total + (self.machine.count(inside) if inside else 0)
+        if inside:
+            live, n = self.machine.run(live, inside)
+            total += n
+        return live, total
+
+    def count_word(self, word: str) -> int:
+        """Tokens of a stretch that starts and ends where no token can cross."""
+        return self.run(BEGIN, word)[1]
 
 
 def last_merge(piece: str, of_piece: dict[str, int], rank: dict[int, int]) -> tuple[str, str] | None:

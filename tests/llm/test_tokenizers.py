@@ -42,11 +42,55 @@ def test_state_maps_compose_at_any_cut():
     from papyra.llm.tokenizer_files import piece_counter
 
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    counts = WordCounts(piece_counter(P.path("piece_bpe_32k.model")).count_word)
+    counts = WordCounts(piece_counter(P.path("piece_bpe_32k.model")))
     for k, t in enumerate(random_texts(1500)):
         assert count_text(counts, t, 1 + k % 9) == len(model.encode(t)), (t, k)
 
 
+def test_state_maps_send_every_state_right():
+    """Maps of chunks, composed in any grouping, against the transducer run from the state before them."""
+    from papyra.llm.token_counts import FIRST, WordCounts, applied, compose, state_map
+    from papyra.llm.tokenizer_files import piece_counter
+
+    counts, r = WordCounts(piece_counter(P.path("piece_bpe_32k.model"))), random.Random(4)
+    for t in random_texts(300):
+        a, b = sorted(r.choices(range(len(t) + 1), k=2))
+        x, y, z = t[:a], t[a:b], t[b:]
+        f, g, h = state_map(counts, x), state_map(counts, y, x[-5:]), state_map(counts, z, y[-5:])
+        whole = counts.run(FIRST, t)[1]
+        assert applied(counts, compose(counts, compose(counts, f, g), h), FIRST)[1] == applied(counts, compose(counts, f, compose(counts, g, h)), FIRST)[1] == whole
+        state = counts.run(FIRST, x)[0]
+        assert applied(counts, g, state)[1] == counts.run(state, y)[1]
+
+
+def test_long_texts_are_read_in_rows(spark):
+    import sentencepiece
+
+    from papyra.llm.token_counts import token_counts
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    r = random.Random(1)
+    long = ["x" * 9000, "".join(r.choice("abcdefgh") for _ in range(7000)), " ".join("".join(r.choice("etaoin") for _ in range(r.randint(1, 9))) for _ in range(3000)), "漢é" * 3000, " " * 5000, "a" * 140_000]
+    rows = [(f"r{i}", t, 1) for i, t in enumerate([*long, long[0], "short", None])]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n_tokens int")
+    got = {x["doc_id"]: (x["n_tokens"], x["n_bytes"]) for x in token_counts(df, P.path("piece_bpe_32k.model"), chunk=500, long=2000).collect()}
+    assert got == {i: (len(model.encode(t or "")), len((t or "").encode())) for i, t, _ in rows}
+    assert token_counts(df.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+    default = {x["doc_id"]: x["n_tokens"] for x in token_counts(df.filter("doc_id = 'r5'"), P.path("piece_bpe_32k.model")).collect()}
+    assert default == {"r5": got["r5"][0]}
+
+
+def test_other_settings_are_refused(tmp_path):
+    import json
+
+    from papyra.llm.tokenizer_files import ByteLevelBpe
+
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        (tmp_path / "t.json").write_text(json.dumps({"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"vocab": {}, "merges": []}} | change))
+        with pytest.raises(ValueError, match="doesn't follow"):
+            ByteLevelBpe(str(tmp_path / "t.json"))
+
+
 def test_bpe_round_trip_equals_tokenizers(spark):
     from tokenizers import Tokenizer
 
