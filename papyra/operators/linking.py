@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import dot, round4
-from ..functions.text import mentions, normal_key
+from ..functions.text import label_pattern, mentions, normal_key
 
 #: Rows of a vocabulary or template table up to which it is broadcast.
 SMALL_ROWS = 200_000
@@ -37,12 +37,15 @@ def salience(confidence: Column) -> Column:
     return F.when(confidence >= 0.88, "central").when(confidence >= 0.70, "supporting").when(confidence >= 0.55, "background").otherwise("passing")
 
 
-def text_confidence(text: Column, label: str) -> Column:
-    """Confidence in a label by how often a text mentions it, and whether early."""
+def text_confidence(text: Column, label: str | Column) -> Column:
+    """Confidence in a label by how often a text mentions it (or else its initials), more where that is early and where its short form stands behind it."""
+    label = F.lit(label) if isinstance(label, str) else label
     n = mentions(text, label)
     base = F.when(n >= 8, 0.86).when(n >= 4, 0.78).when(n >= 2, 0.70).when(n >= 1, 0.62).otherwise(0.52)
-    early = F.when(mentions(F.substring(text, 1, 5000), label) > 0, 0.04).otherwise(0.0)
-    return F.round(F.least(F.lit(0.93), base + early), 2)
+    low, pattern = F.lower(F.coalesce(text, F.lit(""))), label_pattern(F.lower(label))
+    early = F.when(F.regexp_count(F.substring(low, 1, 5000), pattern) > 0, 0.04).otherwise(0.0)
+    short = F.when(F.regexp_count(low, F.concat(pattern, F.lit(r"\s*\([a-z0-9-]{2,8}\)"))) > 0, 0.05).otherwise(0.0)
+    return F.round(F.least(F.lit(0.93), base + early + short), 2)
 
 
 def kg_layer(entities: DataFrame, *, core: Iterable[str] = (), detail: Iterable[str] = ()) -> DataFrame:
@@ -69,6 +72,7 @@ def context_relations(entities: DataFrame, rules: DataFrame, *, most: int = 48)
     return typed.withColumn("_k", k).filter(F.col("_k") <= most).select(F.col("a.paper_id").alias("paper_id"), F.col("a.id").alias("subj"), "rel", F.col("b.id").alias("obj"))
 
 
+# How much sources of relations are trusted.
 SOURCE_PRIORITY = {"deterministic_relation": 3, "llm_relation": 2, "candidate_relation": 1}
 
 

@@ -100,6 +100,13 @@ def latest_status(rows: DataFrame, key: str, status: str, ts: str, tie: str, *,
     return r.groupBy(key).agg(best).select(key, F.col(f"b.{status}").alias(status), F.col(f"b.{ts}").alias(ts))
 
 
+def latest_and_success(rows: DataFrame, key: str, status: str, ts: str, id_: str, *, success: str = "success") -> DataFrame:
+    """key, latest (status), latest_ts, latest_success (id; null without one) of each key: both in one aggregate."""
+    newest = F.struct(ts, id_)
+    out = rows.groupBy(key).agg(F.max_by(status, newest).alias("latest"), F.max(ts).alias("latest_ts"), F.max_by(id_, F.when(F.col(status) == success, newest)).alias("latest_success"))
+    return out.select(key, "latest", "latest_ts", "latest_success")
+
+
 def best_extraction(rows: DataFrame, key: str = "paper_id") -> DataFrame:
     """The newest success of each paper, else its newest row."""
     w = W.partitionBy(key).orderBy((F.col("extraction_status") == "success").desc(), F.desc("extraction_timestamp"), F.desc("id"))

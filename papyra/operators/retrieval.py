@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import dot, round4
-from ..functions.text import LOW_SIGNAL, STOPWORDS, plain_tokens, query_tokens, tokens
+from ..functions.text import LOW_SIGNAL, STOPWORDS, plain_tokens, query_tokens, token_set, tokens
 from .linking import small
 
 
@@ -17,9 +17,10 @@ def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
     """token, df, idf = 1 + ln((N + 1) / (df + 1)).
 
     Tokens are distinct a document before they are counted, so counting combines on the map
-    side; stop words go after it, when a token is one row; the number of documents is one row.
+    side; single characters and stop words go after it, when a token is one row; the number of
+    documents is one row.
     """
-    df = docs.select(F.explode(tokens(text, stop=False)).alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter(~F.col("token").isin(*STOPWORDS))
+    df = docs.select(F.explode(token_set(text)).alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter((F.length("token") > 1) & ~F.col("token").isin(*STOPWORDS))
     n = docs.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("token", "df", (1.0 + F.log((F.col("n") + 1.0) / (F.col("df") + 1.0))).alias("idf"))
 

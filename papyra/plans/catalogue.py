@@ -14,6 +14,7 @@ from . import (  # noqa: F401
     store_queries,
     table_queries,
     text_queries,
+    vocabulary_queries,
 )
 from .registry import ORACLES, QUERIES
 

@@ -28,9 +28,7 @@ def title_search(spark, sf_dir):
 SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, max(ts) AS latest_ts, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS latest_success FROM events GROUP BY user_id""")
 def latest_status(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    a = merge.latest_status(e, "user_id", "event_type", "ts", "event_id").select("user_id", F.col("event_type").alias("latest"), F.col("ts").alias("latest_ts"))
-    b = e.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest_success"))
-    return a.join(b, "user_id", "left")
+    return merge.latest_and_success(e, "user_id", "event_type", "ts", "event_id", success="purchase")
 
 
 @query("""
