@@ -283,3 +283,42 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     assert all(r["decoded_sha256"] == hashlib.sha256((of[r["doc_id"]] or "").encode()).hexdigest() for r in got)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.createDataFrame(docs, schema), str(tmp_path)).columns == schema.replace(",", "").split()[::2]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables; repeated and missing ids; a very long text; pages of boilerplate."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kinds = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "documents": schema}
+    for name, s in kinds.items():
+        spark.createDataFrame([], s).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    long = "lorem ipsum dolor sit amet " * 40_000
+    rows = [(1, "a b c d e f g h", "en", "s", 15), (1, "a b c d e f g h", "en", "s", 15), (2, None, None, None, None), (None, "no id at all", "en", "s", 12), (None, None, None, None, 0), (3, long, "en", "t", len(long)), (4, long + " x", "en", "u", len(long) + 2), (5, "the bench mark item", "en", "s", 19)]
+    rows += [(10 + i, "menu\nabout", "en", "site", 10) for i in range(5)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([(1, 1, None), (99, 0, 1)], kinds["labels"]).write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.createDataFrame([(1, "bench mark item"), (2, None)], kinds["benchmark"]).write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # 4 is a near copy of 3; 5 holds an item; the five pages lose their lines and are copies of 2, which has no text.
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 1, 2, 3]
+    assert next(r["decoded_sha256"] for r in got if r["doc_id"] == 3) == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_rows_of_odd_tables(spark):
+    """String ids, repeated rows, clashing columns and empty tables for operators that pass ids on."""
+    from papyra.llm.bpe import decode, encode
+    from papyra.llm.near_dup import near_duplicates
+    from papyra.llm.toxicity import score_toxicity
+    from papyra.llm.warc import derivatives, responses
+
+    P = pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([("b", "one two three four five six", 1), ("a", "one two three four five six", 2), ("a", "one two three four five six", 2), (None, "", 3)], "doc_id string, text string, ids int")
+    assert sorted((r["doc_id"] or "", r["class_id"] or "") for r in near_duplicates(df).collect()) == [("", ""), ("a", "a"), ("a", "a"), ("b", "a")]
+    path = P.path("byte_bpe_50k.json")
+    assert sorted((r["doc_id"] or "", r["text"]) for r in decode(encode(df, path), path).collect()) == sorted((a or "", t) for a, t, _ in [(r["doc_id"], r["text"], 0) for r in df.collect()])
+    assert score_toxicity(df, []).count() == 4 and encode(df.limit(0), path).count() == 0
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "c")] * 2, "page_id long, url string, html string, content string")
+    out = derivatives(responses(pages)).collect()
+    assert len(out) == 4 and len({r["record_id"] for r in out}) == 2
