@@ -76,13 +76,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one; not made yet."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, written as Parquet (to a new folder in the shared one) and read again."""
+    path = path or new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_folder() named, once nothing reads it any more."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text; null and empty texts are one."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
