@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.bpe import digests
-from papyra.llm.common import table, written
+from papyra.llm.common import new_folder, removed, table, written
 from papyra.llm.decontamination import drop_contaminated
 from papyra.llm.line_dedup import line_dedup
 from papyra.llm.near_dup import drop_near_duplicates
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. Each but the last is written to the shared folder; a copy goes when the next one is there, so that one is left, which the result reads."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = new_folder(spark)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
