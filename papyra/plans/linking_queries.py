@@ -143,6 +143,15 @@ def event_windows(spark, sf_dir):
     return streams.windowed_counts(read(spark, sf_dir, "events"))
 
 
+@query("""
+WITH k AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w > INTERVAL 2 HOUR, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM k)
+SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    """Bursts of a user's events, two hours apart."""
+    return streams.sessions(read(spark, sf_dir, "events"), gap="2 hours")
+
+
 def _checkpoints(spark) -> None:
     import tempfile
 
