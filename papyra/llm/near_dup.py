@@ -256,8 +256,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, text_col: str =
     few_copies = copies.count() <= BROADCAST_IDS // 4
     texts = known.join(F.broadcast(copies) if few_copies else copies, "text_id", "left").filter("rep is null or rep = doc_id")
     every = texts.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("b"))
-    crowded = every.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1")
-    # A sort-merge join's crowded partitions are split as it runs, which a mass of near copies asks for.
+    # A sort-merge join's crowded partitions are split as it runs, which a mass of near copies asks
+    # for, but not where an aggregate by the same key feeds it: so these are written first.
+    crowded = checkpointed(every.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1"))
     bucket = every.hint("merge").join(crowded, "b")
     members = checkpointed(bucket.groupBy("rep").agg(F.sum("n").alias("crowd"), F.collect_list(F.struct("b", "n")).alias("in")))  # as many buckets as bands at most
     several = members.count()
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, text_col: str =
         docs = docs.join(known.select("doc_id", F.col("text_id").alias("_t")), "doc_id").filter(text_key(F.col("text")) == F.col("_t")).dropDuplicates(["doc_id"])
     sets = checkpointed(shingled(docs.join(F.broadcast(ids) if several <= BROADCAST_IDS else ids, "doc_id", "left_semi")))
     inside = members.select("rep", "crowd", F.inline("in"))
-    leader = inside.groupBy("b").agg(F.min(F.struct((-F.col("crowd")).alias("crowd"), "rep")).alias("x")).select("b", F.col("x.rep").alias("leader"))
+    leader = checkpointed(inside.groupBy("b").agg(F.min(F.struct((-F.col("crowd")).alias("crowd"), "rep")).alias("x")).select("b", F.col("x.rep").alias("leader")))
     met = inside.hint("merge").join(leader, "b").filter("rep <> leader")
     pairs = checkpointed(_few(met.groupBy(F.col("leader").alias("u"), F.col("rep").alias("v")).agg(F.max("n").alias("n")), several))
     links = _few(checkpointed(verified(pairs.select("u", "v"), sets, threshold)), several)
