@@ -13,10 +13,26 @@ from pyspark.sql import functions as F
 # Ligatures and dashes, and what they are written as.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 DASHES = "‐‑‒–—−"
+# What broken encodings make of a letter, and the letter itself, in the order in which they go.
+MOJIBAKE = {"ÃŽÂ»": "lambda", "Î»": "lambda", "λ": "lambda", "Â": ""}
+# Characters that Windows-1252 has where Latin-1 has controls.
+WINDOWS = {"€": 0x80, "‚": 0x82, "ƒ": 0x83, "„": 0x84, "…": 0x85, "†": 0x86, "‡": 0x87, "ˆ": 0x88, "‰": 0x89, "Š": 0x8A, "‹": 0x8B, "Œ": 0x8C, "Ž": 0x8E, "‘": 0x91, "’": 0x92, "“": 0x93, "”": 0x94, "•": 0x95, "–": 0x96, "—": 0x97, "˜": 0x98, "™": 0x99, "š": 0x9A, "›": 0x9B, "œ": 0x9C, "ž": 0x9E, "Ÿ": 0x9F}
+
+
+def transcoded(text: Column) -> Column:
+    """A text whose UTF-8 bytes were read as Windows-1252, as it was; other texts as they are.
+
+    A text is only taken for broken if all of its characters have a byte there and these bytes
+    are UTF-8 with a sequence of several; both ways are exact.
+    """
+    narrow = F.translate(text, "".join(WINDOWS), "".join(map(chr, WINDOWS.values())))
+    broken = narrow.rlike(r"^[\x00-\xFF]*$") & narrow.rlike(r"[\xC2-\xF4][\x80-\xBF]")
+    raw = F.encode(F.when(broken, narrow), "ISO-8859-1").cast("string")
+    return F.coalesce(F.when(F.is_valid_utf8(raw), raw), text)
 
 
 def scientific_text(text: Column) -> Column:
-    """Ligatures written out, NFKC, every dash a hyphen, soft hyphens gone."""
+    """Ligatures written out, NFKC, known broken letters replaced, every dash a hyphen, soft hyphens gone."""
 
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
@@ -24,7 +40,10 @@ def scientific_text(text: Column) -> Column:
 
     for mark, by in LIGATURES.items():
         text = F.replace(text, F.lit(mark), F.lit(by))
-    return F.translate(nfkc(text), DASHES + "­", "-" * len(DASHES))
+    text = nfkc(text)
+    for mark, by in MOJIBAKE.items():
+        text = F.replace(text, F.lit(mark), F.lit(by))
+    return F.translate(text, DASHES + "­", "-" * len(DASHES))
 
 
 def _balanced(text: str) -> str | None:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,29 +60,38 @@ def normalised(labels: DataFrame, entries: DataFrame) -> DataFrame:
     return labels.join(small(names), F.lower("label") == F.col("_n"), "left").drop("_n")
 
 
-# Labels that suggest a field to which a paper's methods may go, and terms that other fields use otherwise.
+# Labels of which a paper must have one of each group, the field to which its methods may go, and why.
+EMOTIONS = ("OCC Model", "Somatic Marker Hypothesis", "Affective Computing", "Valence", "Arousal", "Appraisal theory")
 HINTS = (
-    (("reinforcementlearning",), ("occmodel", "somaticmarkerhypothesis", "affectivecomputing", "valence", "arousal", "appraisaltheory"), "human-robot interaction"),
-    (("reinforcementlearning",), ("occmodel", "somaticmarkerhypothesis", "affectivecomputing", "valence", "arousal", "appraisaltheory"), "affective computing"),
-    (("machinelearning", "officialstatistics"), (), "data governance"),
+    ((("Reinforcement Learning",), EMOTIONS), "human-robot interaction", "Emotion-conditioned reinforcement signals can support socially legible robot adaptation."),
+    ((("Reinforcement Learning",), EMOTIONS), "affective computing", "Appraisal and valence models provide reusable state features for adaptive affective systems."),
+    ((("Machine Learning",), ("Official Statistics",)), "data governance", "Monitoring and drift-detection methods transfer to institutional data quality workflows."),
 )
-OVERLOADED = {"rewardfunction": "reward", "valuefunction": "value", "drive": "drive", "valence": "valence", "policy": "policy", "bias": "bias"}
+# Labels whose term other fields use otherwise: the term, its meaning here and there.
+OVERLOADED = {
+    "Reward function": ("reward", "reinforcement signal or objective term", "psychology/economics - subjective or extrinsic incentive"),
+    "Value function": ("value", "expected return estimate", "ethics/statistics - normative worth or measured quantity"),
+    "Drive": ("drive", "internal motivational variable in an RL/control loop", "psychology/physiology - homeostatic need state or drive reduction construct"),
+    "Valence": ("valence", "affective polarity", "chemistry/linguistics - bonding capacity or argument structure"),
+    "Policy": ("policy", "action-selection rule", "governance - institutional rule or regulation"),
+    "Bias": ("bias", "statistical or model distortion", "social science - systematic unfairness or prejudice"),
+}
 
 
-def suggested(concepts: DataFrame, *, most: int = 5) -> DataFrame:
-    """paper_id, kind (hint, conflict), value of each paper (paper_id, label): fields that its concepts hint at, and their overloaded terms, ``most`` in order. Tables of a few labels, so all is one aggregate of those."""
-    known = sorted({k for need, some, _ in HINTS for k in (*need, *some)} | set(OVERLOADED))
-    keys = concepts.select("paper_id", tight_key(F.col("label")).alias("k")).filter(F.col("k").isin(known)).groupBy("paper_id").agg(F.collect_set("k").alias("ks"))
-    has = lambda k: F.array_contains("ks", k)
+def squeezed(label: str) -> str:
+    """tight_key() of a label on the driver."""
+    return re.sub("[^a-z0-9]+", "", label.lower())
 
-    def holds(need: tuple, some: tuple) -> Column:
-        out = F.lit(True)
-        for k in need:
-            out = out & has(k)
-        return out & F.arrays_overlap("ks", F.array(*map(F.lit, some))) if some else out
 
-    hints = [F.when(holds(need, some), F.struct(F.lit("hint").alias("kind"), F.lit(f).alias("value"))) for need, some, f in HINTS]
-    clashes = F.slice(F.array_compact(F.array(*[F.when(has(k), F.struct(F.lit("conflict").alias("kind"), F.lit(t).alias("value"))) for k, t in OVERLOADED.items()])), 1, most)
+def suggested(concepts: DataFrame, *, most: int = 5) -> DataFrame:
+    """paper_id, kind (hint, conflict), value, why_applicable, this_field, other_field of each paper (paper_id, label): fields that its concepts hint at and why, and their overloaded terms with both meanings, ``most`` in order. Tables of a few labels, so all is one aggregate of those."""
+    known = sorted({squeezed(x) for groups, _, _ in HINTS for g in groups for x in g} | set(map(squeezed, OVERLOADED)))
+    keys = concepts.select("paper_id", tight_key(F.col("label")).alias("k")).filter(F.col("k").isin(known)).groupBy("paper_id").agg(F.collect_set("k").alias("ks"))
+    none = F.lit(None).cast("string")
+    row = lambda kind, value, why=none, this=none, other=none: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in (("kind", kind), ("value", value), ("why_applicable", why), ("this_field", this), ("other_field", other))])
+    one_of = lambda labels: F.arrays_overlap("ks", F.array(*[F.lit(squeezed(x)) for x in labels]))
+    hints = [F.when(reduce(and_, map(one_of, groups)), row("hint", field, why)) for groups, field, why in HINTS]
+    clashes = F.slice(F.array_compact(F.array(*[F.when(one_of([label]), row("conflict", term, none, this, other)) for label, (term, this, other) in OVERLOADED.items()])), 1, most)
     return keys.select("paper_id", F.inline(F.concat(F.array_compact(F.array(*hints)), clashes)))
 
 

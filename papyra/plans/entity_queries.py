@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round4
+from ..operators import context
 from ..operators import entities as rules
 from .registry import query, read
 
 _DETAIL, _FAMILIES = ("partkind3",), ("partkind4", "partkind5")
-_CORE = {"benchmark": ("partkind6", "partkind7"), "theoretical": ("partkind8", "partkind9")}
+_CORE = {"benchmark": ("partkind6", "partkind7"), "theoretical": ("partkind8", "partkind9"), "quantum": ("partkind10",), "medical_imaging": ("partkind11", "partkind12")}
 
 #: Entities of orders: a line is an accepted concept or method, or a candidate of either, by its number.
 _ENTITIES = """
@@ -46,7 +47,9 @@ _CONCEPT_RULE = """role = 'concept_candidate' AND exact AND key <> 'partkind3' A
   (kind = 'survey' AND type IN ('Theory', 'System') AND confidence >= 0.7 AND (mentions >= 2 OR salience = 'central'))
   OR (kind = 'survey' AND type = 'MethodFamily' AND key IN ('partkind4', 'partkind5') AND confidence >= 0.6 AND seen) OR titled
   OR (kind = 'benchmark' AND key IN ('partkind6', 'partkind7') AND confidence >= 0.6 AND (seen OR titled))
-  OR (kind = 'theoretical' AND key IN ('partkind8', 'partkind9') AND confidence >= 0.6 AND (mentions >= 2 OR salience = 'central' OR titled OR scanned)))"""
+  OR (kind = 'theoretical' AND key IN ('partkind8', 'partkind9') AND confidence >= 0.6 AND (mentions >= 2 OR salience = 'central' OR titled OR scanned))
+  OR (kind IN ('benchmark', 'research') AND key = 'partkind10' AND confidence >= 0.6 AND (seen OR titled))
+  OR (kind IN ('benchmark', 'research') AND key IN ('partkind11', 'partkind12') AND confidence >= 0.6 AND (seen OR titled OR scanned)))"""
 
 
 @query(f"WITH {_ENTITIES}, {_first(_CONCEPT_RULE, repr('concept'), repr('concept'))}")
@@ -55,12 +58,12 @@ def promoted_concepts(spark, sf_dir):
     return out.select("paper_id", "ord", "role", "review_status")
 
 
-_METHOD_RULE = "role = 'method_candidate' AND exact AND type IN ('Algorithm', 'MethodFamily', 'System') AND confidence >= 0.7 AND source = 'Baseline' AND seen AND (kind = 'survey' OR (kind = 'benchmark' AND key IN ('partkind6', 'partkind7')))"
+_METHOD_RULE = "role = 'method_candidate' AND exact AND type IN ('Algorithm', 'MethodFamily', 'System') AND confidence >= 0.7 AND source = 'Baseline' AND seen AND (kind = 'survey' OR (kind = 'benchmark' AND key IN ('partkind6', 'partkind7')) OR (kind IN ('research', 'benchmark') AND key IN ('partkind11', 'partkind12')))"
 
 
 @query(f"WITH {_ENTITIES}, {_first(_METHOD_RULE, repr('method'), repr('method'))}")
 def promoted_methods(spark, sf_dir):
-    out = rules.promote_methods(_entities(spark, sf_dir), _kinds(spark, sf_dir), core=_CORE["benchmark"])
+    out = rules.promote_methods(_entities(spark, sf_dir), _kinds(spark, sf_dir), core=_CORE["benchmark"], medical=_CORE["medical_imaging"])
     return out.select("paper_id", "ord", "role", "review_status")
 
 
@@ -153,4 +156,49 @@ def relation_evidence(spark, sf_dir):
     e = _entities(spark, sf_dir).withColumn("canonical_id", F.concat(F.lit("k"), F.regexp_extract("label", "([0-9]+)$", 1)))
     k = e.select("paper_id", "canonical_id", F.regexp_extract("label", "([0-9]+)$", 1).cast("int").alias("p")).distinct()
     r = k.join(k.select("paper_id", F.col("canonical_id").alias("object_id"), (F.col("p") - 1).alias("p")), ["paper_id", "p"]).select("paper_id", F.col("canonical_id").alias("subject_id"), F.lit("USES").alias("relation_type"), "object_id")
-    return rules.relation_evidence(r, e).select("paper_id", "subject_id", "object_id", "evidence")
+    return context.relation_evidence(r, e).select("paper_id", "subject_id", "object_id", "evidence")
+
+
+_RELATIONS = ("CAUSES", "LEADS_TO", "IMPLIES", "MITIGATES", "PREVENTS", "AFFECTS", "BUILT_ON", "PROVIDES", "REPRODUCES", "DERIVED_FROM", "MORE_ROBUST_THAN", "USES")
+_SAYS = ("lowers", "an impact on", "entails", "to mitigate", "may avoid", "repercussion of", "built on", "exposes", "replicates", "distilled", "vulnerable", "based on")
+
+
+@query(f"""
+WITH n AS (SELECT l_orderkey AS paper_id, l_linenumber AS ord, l_partkey % 30 AS p, ['{"', '".join(_SAYS)}'][l_suppkey % 12 + 1] || ' of kindred-' || (l_partkey % 30) || ' near kindred-' || ((l_partkey + 1) % 30) || ' seen ' || l_suppkey AS t FROM lineitem),
+f AS (SELECT paper_id, p, arg_min(t, ord) AS own FROM n GROUP BY ALL), x AS (SELECT DISTINCT paper_id, t FROM n),
+r AS (SELECT a.paper_id, a.p AS s, b.p AS o, a.own AS so, b.own AS oo, ['{"', '".join(_RELATIONS)}'][(a.paper_id + a.p) % 12 + 1] AS rel, ['{"', '".join(_SAYS)}'][(a.paper_id + a.p) % 12 + 1] AS word FROM f a JOIN f b ON a.paper_id = b.paper_id AND a.p + 1 = b.p),
+w AS (SELECT r.*, t, CASE WHEN contains(t, 'kindred-' || s) OR contains(t, 'kindred ' || s) THEN 4 ELSE 2 END AS ms, CASE WHEN contains(t, 'kindred-' || o) OR contains(t, 'kindred ' || o) THEN 4 ELSE 2 END AS mo FROM r JOIN x USING (paper_id) WHERE contains(t, 'kindred-' || s) AND contains(t, 'kindred-' || o)),
+k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, s, o ORDER BY ms + mo + CASE WHEN contains(t, word) AND rel <> 'CAUSES' OR (rel IN ('CAUSES', 'LEADS_TO') AND contains(t, 'impact')) OR (rel = 'IMPLIES' AND contains(t, 'entails')) OR (rel = 'AFFECTS' AND (contains(t, 'impact') OR contains(t, 'repercussion'))) OR (rel = 'REPRODUCES' AND contains(t, 'replicate')) OR (rel = 'BUILT_ON' AND contains(t, 'based on')) THEN 3 ELSE 0 END DESC, length(t) DESC, t DESC) AS n FROM w)
+SELECT r.paper_id, r.rel AS relation_type, 'k' || r.s AS subject_id, 'k' || r.o AS object_id, coalesce(k.t, CASE WHEN r.rel = 'REPRODUCES' THEN r.oo ELSE r.so END) AS evidence FROM r LEFT JOIN k ON k.paper_id = r.paper_id AND k.s = r.s AND k.o = r.o AND k.n = 1""")
+def relation_evidence_typed(spark, sf_dir):
+    """Evidence of relations of twelve types: texts name both kinds, and words of the relation decide between them."""
+    line = read(spark, sf_dir, "lineitem")
+    k, none = F.col("l_partkey") % 30, F.lit(None).cast("string")
+    said = F.concat(F.get(F.array(*map(F.lit, _SAYS)), (F.col("l_suppkey") % 12).cast("int")), F.lit(" of kindred-"), k, F.lit(" near kindred-"), (F.col("l_partkey") + 1) % 30, F.lit(" seen "), "l_suppkey")
+    e = line.select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("Kindred-"), k).alias("label"), none.alias("canonical_label"), F.concat(F.lit("k"), k).alias("canonical_id"), F.lit("Task").alias("entity_type"), F.lit("approved").alias("review_status"), F.lit(None).cast("array<string>").alias("aliases"), said.alias("evidence_span"), none.alias("context"), none.alias("description"), none.alias("section"))
+    p = line.select(F.col("l_orderkey").alias("paper_id"), k.alias("p")).distinct()
+    both = p.join(p.select("paper_id", (F.col("p") - 1).alias("p")), ["paper_id", "p"])
+    rel = F.get(F.array(*map(F.lit, _RELATIONS)), ((F.col("paper_id") + F.col("p")) % 12).cast("int"))
+    r = both.select("paper_id", F.concat(F.lit("k"), "p").alias("subject_id"), rel.alias("relation_type"), F.concat(F.lit("k"), F.col("p") + 1).alias("object_id"))
+    return context.relation_evidence(r, e).select("paper_id", "relation_type", "subject_id", "object_id", "evidence")
+
+
+@query("""
+WITH n AS (SELECT l_orderkey AS paper_id, l_linenumber AS ord, 'c' || (l_partkey % 12) AS id, ['System', 'Task', 'Metric', 'Dataset', 'ModelArchitecture', 'Theory'][l_partkey % 6 + 1] AS type, l_linestatus = 'F' AS ok, 'topic-' || chr(CAST(97 + l_partkey % 12 AS INTEGER)) || 'xyz' AS label,
+  CASE l_suppkey % 4 WHEN 0 THEN 'evaluated with' WHEN 1 THEN 'a model for' WHEN 2 THEN 'built on' ELSE 'near' END || ' topic-' || chr(CAST(97 + (l_partkey + l_suppkey) % 12 AS INTEGER)) || 'xyz' AS t FROM lineitem),
+e AS (SELECT * FROM n WHERE ok QUALIFY row_number() OVER (PARTITION BY paper_id, id ORDER BY length(t) DESC, ord) = 1),
+p AS (SELECT a.paper_id, a.id AS s, b.id AS o, a.ord AS so, b.ord AS oo, a.type AS st, b.type AS ot, CASE WHEN contains(a.t, b.label) THEN a.t END AS f, CASE WHEN contains(b.t, a.label) THEN b.t END AS g FROM e a JOIN e b ON a.paper_id = b.paper_id AND a.id <> b.id),
+k AS (SELECT *, CASE WHEN st IN ('System', 'Task', 'ModelArchitecture') AND ot = 'Dataset' AND (contains(f, 'evaluated') OR contains(g, 'evaluated')) THEN 'EVALUATED_ON'
+  WHEN st IN ('System', 'Task', 'ModelArchitecture') AND ot = 'Task' AND contains(f, 'for') THEN 'USED_FOR' WHEN st IN ('System', 'ModelArchitecture') AND ot = 'ModelArchitecture' AND contains(f, 'built on') THEN 'USES' END AS rel FROM p),
+v AS (SELECT *, CASE WHEN rel = 'EVALUATED_ON' THEN CASE WHEN contains(f, 'evaluated') OR contains(f, 'on') THEN f ELSE g END ELSE f END AS ev FROM k WHERE rel IS NOT NULL)
+SELECT paper_id, s AS subject_id, rel AS relation_type, o AS object_id, ev AS evidence_span FROM v""")
+def context_relations(spark, sf_dir):
+    """What types and texts of approved entities of an order suggest."""
+    line = read(spark, sf_dir, "lineitem")
+    none, letter = F.lit(None).cast("string"), lambda c: F.concat(F.lit("topic-"), F.char(97 + c % 12), F.lit("xyz"))
+    pick = lambda c, *xs: F.get(F.array(*map(F.lit, xs)), (F.col(c) % len(xs)).cast("int"))
+    e = line.select(
+        F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("ord"), letter(F.col("l_partkey")).alias("label"), none.alias("canonical_label"), F.concat(F.lit("c"), F.col("l_partkey") % 12).alias("canonical_id"), pick("l_partkey", "System", "Task", "Metric", "Dataset", "ModelArchitecture", "Theory").alias("entity_type"),
+        F.when(F.col("l_linestatus") == "F", "Approved").otherwise("pending").alias("review_status"), F.lit(None).cast("array<string>").alias("aliases"), F.concat(pick("l_suppkey", "evaluated with", "a model for", "built on", "near"), F.lit(" "), letter(F.col("l_partkey") + F.col("l_suppkey"))).alias("evidence_span"), none.alias("context"), none.alias("description"), none.alias("section"),
+    )
+    return context.context_relations(e).select("paper_id", "subject_id", "relation_type", "object_id", "evidence_span")

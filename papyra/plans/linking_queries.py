@@ -12,16 +12,6 @@ from .registry import query, read
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
 
 
-@query(f"""
-WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 4) AS score FROM r WHERE rank <= 5""")
-def vector_topk(spark, sf_dir):
-    """The five nearest of each of twenty query vectors (the query set of the operator), exact."""
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return retrieval.vector_topk(e, e.filter("id < 20")).select("query_id", "rank", "id", round4(F.col("score")).alias("score"))
-
-
 @query(f"""
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)

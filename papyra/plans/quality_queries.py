@@ -77,20 +77,11 @@ def answer_score(spark, sf_dir):
     return quality.answer_scores(parts)
 
 
-@query("""
-WITH e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'error' THEN 3 END AS r FROM events WHERE event_id % 97 < 5)
-SELECT user_id, CASE WHEN max(r) IS NULL THEN 'skipped' WHEN max(r) = 3 AND bool_or(r IN (0, 1)) THEN 'partial' ELSE list_extract(['clean', 'trimmed', 'partial', 'failed'], CAST(max(r) + 1 AS BIGINT)) END AS parse_quality FROM e GROUP BY user_id""")
-def worst_parse(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("event_id % 97 < 5")
-    q = F.when(F.col("event_type") == "view", "clean").when(F.col("event_type") == "click", "trimmed").when(F.col("event_type") == "signup", "partial").when(F.col("event_type") == "error", "failed").otherwise("skipped")
-    return quality.worst_parse(e.withColumn("q", q), "user_id", "q")
-
-
 @query("""
 WITH e AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'error' THEN 3 END AS r FROM events)
 SELECT user_id, day, CASE WHEN max(r) IS NULL THEN 'skipped' WHEN max(r) = 3 AND bool_or(r IN (0, 1)) THEN 'partial' ELSE list_extract(['clean', 'trimmed', 'partial', 'failed'], CAST(max(r) + 1 AS BIGINT)) END AS parse_quality FROM e GROUP BY user_id, day""")
 def worst_parse_by_day(spark, sf_dir):
-    """worst_parse over all events; a key is a user and a day, as over all of them users come out alike."""
+    """The worst parse of each user and day."""
     q = F.when(F.col("event_type") == "view", "clean").when(F.col("event_type") == "click", "trimmed").when(F.col("event_type") == "signup", "partial").when(F.col("event_type") == "error", "failed").otherwise("skipped")
     e = read(spark, sf_dir, "events").select(F.struct("user_id", F.to_date("ts").cast("string").alias("day")).alias("key"), q.alias("q"))
     return quality.worst_parse(e, "key", "q").select("key.user_id", "key.day", "parse_quality")

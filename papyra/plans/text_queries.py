@@ -141,13 +141,13 @@ def claim_pairs(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS x FROM documents WHERE lang = 'en'),
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS x FROM documents),
 g AS (SELECT unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS phrase FROM w WHERE len(x) >= 2)
-SELECT phrase, count(*) AS n FROM g GROUP BY phrase HAVING count(*) >= 20""")
+SELECT phrase, count(*) AS n FROM g GROUP BY phrase""")
 def ngram_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = read(spark, sf_dir, "documents")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
-    return d.select(words.alias("w")).select(F.explode(text.ngrams(F.col("w"), (2,))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 20")
+    return d.select(words.alias("w")).select(F.explode(text.ngrams(F.col("w"), (2,))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
 @query("""

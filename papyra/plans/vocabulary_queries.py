@@ -44,10 +44,12 @@ def normalised_labels(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT l_orderkey AS paper_id, ['rl', 'val', 'ml', 'os', 'rf', 'bias', 'x'][l_partkey % 7 + 1] AS k FROM lineitem), s AS (SELECT paper_id, list(DISTINCT k) AS ks FROM l GROUP BY 1)
-SELECT paper_id, 'hint' AS kind, unnest(CASE WHEN list_contains(ks, 'rl') AND list_contains(ks, 'val') THEN ['human-robot interaction', 'affective computing'] ELSE [] END) AS value FROM s
-UNION ALL SELECT paper_id, 'hint', 'data governance' FROM s WHERE list_contains(ks, 'ml') AND list_contains(ks, 'os')
-UNION ALL SELECT DISTINCT paper_id, 'conflict', CASE k WHEN 'val' THEN 'valence' WHEN 'rf' THEN 'reward' ELSE 'bias' END FROM l WHERE k IN ('val', 'rf', 'bias')""")
+WITH l AS (SELECT l_orderkey AS paper_id, ['rl', 'val', 'ml', 'os', 'rf', 'bias', 'x'][l_partkey % 7 + 1] AS k FROM lineitem), s AS (SELECT paper_id, list(DISTINCT k) AS ks FROM l GROUP BY 1),
+h AS (SELECT paper_id, 'hint' AS kind, unnest(CASE WHEN list_contains(ks, 'rl') AND list_contains(ks, 'val') THEN [['human-robot interaction', 'Emotion-conditioned reinforcement signals can support socially legible robot adaptation.'], ['affective computing', 'Appraisal and valence models provide reusable state features for adaptive affective systems.']] ELSE [] END) AS v FROM s)
+SELECT paper_id, kind, v[1] AS value, v[2] AS why_applicable, NULL AS this_field, NULL AS other_field FROM h
+UNION ALL SELECT paper_id, 'hint', 'data governance', 'Monitoring and drift-detection methods transfer to institutional data quality workflows.', NULL, NULL FROM s WHERE list_contains(ks, 'ml') AND list_contains(ks, 'os')
+UNION ALL SELECT DISTINCT paper_id, 'conflict', CASE k WHEN 'val' THEN 'valence' WHEN 'rf' THEN 'reward' ELSE 'bias' END, NULL, CASE k WHEN 'val' THEN 'affective polarity' WHEN 'rf' THEN 'reinforcement signal or objective term' ELSE 'statistical or model distortion' END,
+  CASE k WHEN 'val' THEN 'chemistry/linguistics - bonding capacity or argument structure' WHEN 'rf' THEN 'psychology/economics - subjective or extrinsic incentive' ELSE 'social science - systematic unfairness or prejudice' END FROM l WHERE k IN ('val', 'rf', 'bias')""")
 def suggested_hints(spark, sf_dir):
     labels = ("Reinforcement Learning", "valence", "Machine-learning", "Official Statistics", "reward function", "Bias", "x")
     line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.get(F.array(*map(F.lit, labels)), (F.col("l_partkey") % 7).cast("int")).alias("label"))
