@@ -170,15 +170,18 @@ def _least_of_each(ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return order[at - np.maximum.accumulate(np.where(start, at, 0)) < k]
 
 
-def _top(qu: np.ndarray, q_ids: np.ndarray, ru: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries, places of rows and exact scores of the k nearest rows of each query, not those of its own id. Unit rows on both sides."""
+def _top(q_rows: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, places of rows and exact scores of the k nearest rows of each query, not those of its own id. Rows are as they came on both sides: unit rows find the candidates, the rows themselves give the scores."""
+    qu, ru, q_size, size = _unit(q_rows), _unit(rows), np.linalg.norm(q_rows, axis=1), np.linalg.norm(rows, axis=1)
     found: list[tuple] = []
     for lo in range(0, len(qu), max(1, CELLS // max(1, len(ru)))):
         q, own = qu[lo : lo + max(1, CELLS // max(1, len(ru)))], q_ids[lo : lo + max(1, CELLS // max(1, len(ru)))]
         s = np.where(own[:, None] == ids[None, :], -np.inf, q @ ru.T)
         kth = np.partition(s, len(ru) - k, axis=1)[:, len(ru) - k, None] if len(ru) > k else -np.inf
         i, j = np.nonzero((s >= kth - 1e-9) & (s > -np.inf))
-        exact = (ru[j] * q[i]).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            exact = (rows[j] * q_rows[i + lo]).sum(axis=1) / (size[j] * q_size[i + lo])
+        exact = np.where(np.isfinite(exact), exact, (ru[j] * q[i]).sum(axis=1))  # components beyond the range of a product
         order = np.lexsort((ids[j], -exact, i))
         i, j, exact = i[order], j[order], exact[order]
         at = np.arange(len(i))
@@ -217,8 +220,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, recall: float
 def _nearest(rows: DataFrame, asked: DataFrame, dim: int, kind: str, arrow: pa.DataType, k: int, recall: float, sample_rows: int, split_rows: int) -> DataFrame:
     spark = rows.sparkSession
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
-    sample = _unit(_lists(picked.column("v").combine_chunks(), dim))
-    tree = Tree(sample)
+    sample = _lists(picked.column("v").combine_chunks(), dim)
+    tree = Tree(_unit(sample))
     indexed = checkpointed(_placed(rows, tree, dim, kind, arrow, k, coded=False))
     sizes = _sizes(indexed)
     crowded = [leaf for leaf, n in sizes.items() if n > split_rows]
@@ -233,8 +236,8 @@ def _nearest(rows: DataFrame, asked: DataFrame, dim: int, kind: str, arrow: pa.D
     def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, sizes = shared.value
         for b in batches:
-            m = _unit(_lists(b.column("v"), dim))
-            leaves = pa.array(list(tree.visits(m, visits, sizes, k + 1)), pa.list_(pa.int32()))
+            m = _lists(b.column("v"), dim)
+            leaves = pa.array(list(tree.visits(_unit(m), visits, sizes, k + 1)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), _coded(m), leaves], names=["query_id", "v", "leaves"])
 
     asked = checkpointed(asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(order, f"query_id {kind}, v binary, leaves array<int>"))
@@ -260,16 +263,16 @@ def _nearest(rows: DataFrame, asked: DataFrame, dim: int, kind: str, arrow: pa.D
 
 
 def _placed(rows: DataFrame, tree: Tree, dim: int, kind: str, arrow: pa.DataType, k: int, coded: bool) -> DataFrame:
-    """vec_id, v (unit vector as bytes), leaf; of a batch's rows with one vector those of the k + 1 least ids, of which a query itself may be one."""
+    """vec_id, v (the vector as bytes), leaf; of a batch's rows with one vector those of the k + 1 least ids, of which a query itself may be one."""
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 ids = _ids(b.column("vec_id"))
-                m = _decoded(b.column("v"), dim) if coded else _unit(_lists(b.column("v"), dim))
+                m = _decoded(b.column("v"), dim) if coded else _lists(b.column("v"), dim)
                 at = np.sort(_least_of_each(ids, m, k + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at].tolist(), arrow), _coded(m[at]), pa.array(shared.value.assign(m[at]))], names=["vec_id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at].tolist(), arrow), _coded(m[at]), pa.array(shared.value.assign(_unit(m[at])))], names=["vec_id", "v", "leaf"])
 
     return rows.select("vec_id", "v").mapInArrow(place, f"vec_id {kind}, v binary, leaf int")
 
@@ -285,7 +288,7 @@ def _subtrees(indexed: DataFrame, crowded: list[int], dim: int) -> list[tuple[in
     sample = indexed.filter(F.col("leaf").isin(crowded)).withColumn("n", F.row_number().over(few)).filter(F.col("n") <= SPLIT_SAMPLE)
 
     def fit(t: pa.Table) -> pa.Table:
-        m = _decoded(t.column("v"), dim)
+        m = _unit(_decoded(t.column("v"), dim))
         return pa.table({"leaf": t.column("leaf").slice(0, 1), "tree": pa.array([pickle.dumps(Tree(m, max(2, len(m) // SPLIT_LEAVES)))], "binary")})
 
     trees = sample.select("leaf", "v").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary").collect()
@@ -293,7 +296,7 @@ def _subtrees(indexed: DataFrame, crowded: list[int], dim: int) -> list[tuple[in
 
 
 def brute_force(indexed: DataFrame, q_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """query_id, vec_id, score, leaf of the k nearest of all rows (vec_id, v, leaf) for a bounded set of unit queries."""
+    """query_id, vec_id, score, leaf of the k nearest of all rows (vec_id, v, leaf) for a bounded set of queries."""
     kind, arrow = id_type(indexed, "vec_id")
     shared = indexed.sparkSession.sparkContext.broadcast((q_ids, queries))
 
@@ -313,7 +316,7 @@ def brute_force(indexed: DataFrame, q_ids: np.ndarray, queries: np.ndarray, k: i
 def _calibrated(indexed: DataFrame, tree: Tree, q_ids: np.ndarray, queries: np.ndarray, sizes: dict[int, int], k: int, recall: float) -> int:
     """Leaves to visit so that the leaves of the true neighbours of these queries are among them often enough."""
     true = brute_force(indexed, q_ids, queries, k).select("query_id", "leaf").collect()
-    of = {q: {leaf: i + 1 for i, leaf in enumerate(leaves)} for q, leaves in zip(q_ids.tolist(), tree.visits(queries, tree.n_leaves, sizes), strict=True)}
+    of = {q: {leaf: i + 1 for i, leaf in enumerate(leaves)} for q, leaves in zip(q_ids.tolist(), tree.visits(_unit(queries), tree.n_leaves, sizes), strict=True)}
     needed = sorted(of[r["query_id"]][r["leaf"]] for r in true)
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
 

@@ -27,7 +27,7 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
     """host, key, n_pages (that hold the line), host_pages of every line above the ratio and on min_pages pages at least."""
     pages = docs.select(docs[host_col].alias("host"), docs[text_col].alias("text")).filter(F.col("host").isNotNull())
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
@@ -36,15 +36,15 @@ def boilerplate_lines(docs: DataFrame, *, host_col: str = "source", text_col: st
     return counts.join(totals, "host").filter(F.col("n_pages") > ratio * F.col("host_pages"))
 
 
-def line_dedup(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 3, spare_copies: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 2, spare_copies: bool = False) -> DataFrame:
     """docs with its columns, boilerplate lines taken out of text, and dl_lines, dl_dropped (lines that aren't blank, those dropped).
 
     Lines are compared without spaces at their ends and with their case; blank lines stay. A
     page counts once for each line, however often it repeats it; repeated rows are pages of
     their own. A page all of whose lines are boilerplate loses them all and stays as a row;
     with spare_copies it counts as a copied page rather than a frame around content, and stays
-    as it is for document-level deduplication. Lines on fewer pages than min_pages stay, so that
-    a host of one or two pages isn't emptied. Pages without a host and null texts stay as they
+    as it is for document-level deduplication. Lines on fewer pages than min_pages stay: a line
+    of one page repeats nothing, though on a host of a few pages its share is above any ratio. Pages without a host and null texts stay as they
     are; an empty table gives an empty one. Columns of docs that are called as the two new ones
     are replaced.
     """
@@ -74,7 +74,7 @@ OP4_SQL = """
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 held AS (SELECT DISTINCT doc_id, source, trim(line) AS line FROM (SELECT doc_id, source, unnest(lines) AS line FROM pages) WHERE trim(line) <> '' AND source IS NOT NULL),
 boiler AS (SELECT h.source, h.line FROM (SELECT source, line, count(*) AS n FROM held GROUP BY ALL) h
-  JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) t ON h.source = t.source WHERE h.n >= 3 AND h.n > 0.1 * t.pages),
+  JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) t ON h.source = t.source WHERE h.n >= 2 AND h.n > 0.1 * t.pages),
 numbered AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM pages),
 marked AS (SELECT n.*, trim(n.line) <> '' AS filled, b.line IS NOT NULL AS dropped FROM numbered n LEFT JOIN boiler b ON b.source = n.source AND b.line = trim(n.line)),
 per AS (SELECT doc_id, count(*) FILTER (WHERE filled) AS n_lines, count(*) FILTER (WHERE dropped) AS n, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT dropped) AS kept FROM marked GROUP BY doc_id)
