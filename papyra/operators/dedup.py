@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blank_to_null, normal_doi
 from ..functions.text import normal_key
+from ..shared import kept
 
 
 def first_per_key(rows: DataFrame, key: Column, order: str = "ord") -> DataFrame:
@@ -22,64 +24,100 @@ def first_per_key(rows: DataFrame, key: Column, order: str = "ord") -> DataFrame
     return rows.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*rest), order).alias("b")).select(*[F.col(f"b.{c}") for c in rest])
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of edges (u, v)."""
-    both = edges.select("u", "v").union(edges.select("v", "u")).distinct().persist()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).withColumnRenamed("u", "node").checkpoint()
-    while True:
-        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("c").alias("m"))
-        least = label.join(near, label.node == near.u).select("node", "c", F.least("c", "m").alias("n"))
-        onward = label.select(F.col("node").alias("n"), F.col("c").alias("onward"))
-        step = least.join(onward, "n").select("node", "c", F.least("n", "onward").alias("now")).checkpoint()
-        label = step.select("node", F.col("now").alias("c"))
-        if step.filter("now <> c").isEmpty():
-            both.unpersist()
-            return label.withColumnRenamed("c", "component")
-
-
-def _in_sequence(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Survivors of one component, in input order. Both keys of a match point to its survivor afterwards."""
-    by: dict[tuple[str, str], dict] = {}
-    alive: dict[int, dict] = {}
-    for r in pdf.sort_values("ord").to_dict("records"):
-        keys = [(n, r[n]) for n in ("doi_key", "title_key") if isinstance(r[n], str)]
-        held = next((by[k] for k in keys if k in by), None)
-        if held is None:
-            alive[r["ord"]] = keep = r
-        elif r["version"] > held["version"]:
-            alive.pop(held["ord"], None)
-            alive[r["ord"]] = keep = r
-            keys += [(n, held[n]) for n in ("doi_key", "title_key") if isinstance(held[n], str)]
-        else:
+#: Records in play up to which one task finishes what rounds have left.
+FEW = 50_000
+
+
+def _in_sequence(rows: Iterable[dict]) -> dict[int, tuple[int, int]]:
+    """Groups after the rows (ord, d, t, v, and what is known before: gd, vd, gt, vt) in order: group -> (version, survivor), for those that change."""
+    rows = sorted(rows, key=lambda r: r["ord"])
+    of, version, out = {}, {}, {}
+    for r in rows:
+        for key, g, v in ((r["d"], r["gd"], r["vd"]), (r["t"], r["gt"], r["vt"])):
+            if g is not None:
+                of[key], version[g] = g, v
+    for r in rows:
+        keys = [k for k in (r["d"], r["t"]) if k is not None]
+        g = next((of[k] for k in keys if k in of), None)
+        if g is None:
+            g = r["ord"]
+        elif r["v"] <= version[g]:
             continue
-        by.update(dict.fromkeys(keys, keep))
-    return pd.DataFrame({"ord": sorted(alive)}, dtype="int64")
+        version[g] = r["v"]
+        out[g] = (r["v"], r["ord"])
+        of.update(dict.fromkeys(keys, g))
+    return out
 
 
-def dedup_records(records: DataFrame) -> DataFrame:
+def _known(todo: DataFrame, keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """todo with the groups of its keys and their versions: gd, vd, gt, vt."""
+    state = keys.join(groups.select("g", "version"), "g")
+    of = lambda k: state.select(F.col("key").alias(k), F.col("g").alias(f"g{k}"), F.col("version").alias(f"v{k}"))
+    return todo.join(of("d"), "d", "left").join(of("t"), "t", "left").select("ord", "d", "t", "v", "gd", "vd", "gt", "vt")
+
+
+def _open(x: DataFrame) -> DataFrame:
+    """x without rows that can only be dropped, whatever comes of those before them.
+
+    A DOI never leaves its group, and a group's version only grows, so a row of a known DOI that
+    isn't newer goes. A row that will go by its title (``safe``: no DOI, or the first open row of
+    one that isn't known) goes likewise, while no earlier row of this title can take the title elsewhere.
+    """
+    firsts = x.filter("d is not null").groupBy("d").agg(F.min("ord").alias("_first"))
+    x = x.join(firsts, "d", "left").withColumn("_safe", F.col("d").isNull() | (F.col("gd").isNull() & (F.col("ord") == F.col("_first"))))
+    moving = x.filter("not _safe and t is not null").groupBy("t").agg(F.min("ord").alias("_moves"))
+    x = x.join(moving, "t", "left")
+    by_title = F.col("_safe") & (F.col("v") <= F.col("vt")) & (F.col("_moves").isNull() | (F.col("ord") < F.col("_moves")))
+    gone = F.coalesce(F.col("v") <= F.col("vd"), F.lit(False)) | F.coalesce(by_title, F.lit(False))
+    return x.filter(~gone).select("ord", "d", "t", "v", "gd", "vd", "gt", "vt")
+
+
+def _decided(y: DataFrame) -> DataFrame:
+    """Rows before which no open row has one of their keys or groups: what they meet is final. Least places are aggregates, so a key of many rows is no one's task."""
+    parts = F.array_compact(F.array(F.concat(F.lit("k"), "d"), F.concat(F.lit("k"), "t"), F.concat(F.lit("g"), F.col("gd").cast("string")), F.concat(F.lit("g"), F.col("gt").cast("string"))))
+    rows = y.withColumn("_parts", F.array_distinct(parts))
+    least = rows.select("ord", F.explode("_parts").alias("part")).groupBy("part").agg(F.min("ord").alias("_o"))
+    won = least.groupBy("_o").agg(F.count("*").alias("_n"))
+    return rows.join(won, F.col("ord") == F.col("_o")).filter(F.col("_n") == F.size("_parts")).select(*y.columns)
+
+
+def dedup_records(records: DataFrame, *, few: int = FEW) -> DataFrame:
     """Records (ord, doi, title, version) that are left when each in turn is matched by DOI, else title, with those kept before, and the higher version (the earlier of equals) stays.
 
-    The rule isn't transitive, but records meet only over shared keys, so it is run in each
-    connected component of keys. Before that a record goes that isn't newer than an earlier one
-    with the same two keys, as it can change nothing: a DOI that a third of all records share
-    comes to a row for each version.
+    Keys belong to groups, each with a survivor. A record that wins gives its keys to the group
+    that it matched (so a title may change groups, a DOI never does); one that loses gives none. Null
+    and empty keys match nothing, and records without keys all stay; a null version is 1.
+
+    The rule is sequential, but only for records that meet: in each round those go that can only
+    lose, then all records are decided at once before which no open record has a key or group of theirs.
+    A key that a third of all records share needs a round for each rise of its version. The last
+    ``few`` records are one task's.
     """
-    r = records.select("ord", F.coalesce(normal_doi(F.col("doi"))).alias("doi_key"), blank_to_null(normal_key(F.col("title"))).alias("title_key"), F.coalesce(F.col("version").cast("int"), F.lit(1)).alias("version"))
-    free = r.filter("doi_key is null and title_key is null").select("ord")
-    lead = r.filter("doi_key is not null or title_key is not null").groupBy("doi_key", "title_key", "version").agg(F.min("ord").alias("ord"))
-    w = F.max("version").over(_before())
-    lead = lead.withColumn("_m", w).filter("_m is null or version > _m").drop("_m")
-    keys = lead.select(F.coalesce(F.concat(F.lit("d:"), "doi_key"), F.concat(F.lit("t:"), "title_key")).alias("u"), F.coalesce(F.concat(F.lit("t:"), "title_key"), F.concat(F.lit("d:"), "doi_key")).alias("v")).distinct()
-    part = connected(keys)
-    lead = lead.withColumn("node", F.coalesce(F.concat(F.lit("d:"), "doi_key"), F.concat(F.lit("t:"), "title_key"))).join(part, "node")
-    kept = lead.select("component", "ord", "doi_key", "title_key", "version").groupBy("component").applyInPandas(_in_sequence, "ord long")
-    return records.join(kept.union(free), "ord", "left_semi")
-
-
-def _before():
-    from pyspark.sql.window import Window as W
-
-    return W.partitionBy("doi_key", "title_key").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    spark = records.sparkSession
+    key = lambda kind, c: F.concat(F.lit(kind), blank_to_null(c))
+    r = records.select("ord", key("d:", normal_doi(F.col("doi"))).alias("d"), key("t:", normal_key(F.col("title"))).alias("t"), F.coalesce(F.col("version").cast("int"), F.lit(1)).alias("v"))
+    free = r.filter("d is null and t is null").select("ord")
+    todo = kept(r.filter("d is not null or t is not null"))
+    keys, groups = spark.createDataFrame([], "key string, g long"), spark.createDataFrame([], "g long, version int, survivor long")
+    while (n := todo.count()) > few:
+        y = kept(_open(_known(todo, keys, groups)))
+        done = kept(_decided(y).withColumn("g", F.coalesce("gd", "gt", "ord")).withColumn("wins", F.coalesce(F.col("v") > F.coalesce("vd", "vt"), F.lit(True))))
+        won = done.filter("wins")
+        new = won.select(F.explode(F.array_compact(F.array("d", "t"))).alias("key"), "g")
+        groups = kept(groups.union(won.select("g", "v", "ord")).groupBy("g").agg(F.max("version").alias("version"), F.max_by("survivor", "version").alias("survivor")))
+        keys = kept(keys.join(new.select("key"), "key", "left_anti").union(new))
+        todo = kept(y.join(done.select("ord"), "ord", "left_anti").select("ord", "d", "t", "v"))
+    survivors = groups.select("g", "version", "survivor")
+    if n:
+
+        def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+            return pd.DataFrame([(g, v, o) for g, (v, o) in _in_sequence(rows).items()], columns=["g", "version", "survivor"])
+
+        last = _known(todo, keys, groups).groupBy(F.lit(True).alias("all")).applyInPandas(finish, "g long, version int, survivor long")
+        survivors = survivors.union(last).groupBy("g").agg(F.max_by("survivor", "version").alias("survivor"))
+    left = survivors.select(F.col("survivor").alias("ord"))
+    return records.join(left.union(free), "ord", "left_semi")
 
 
 #: How alike labels must be to be one method, within a source type and across two.

@@ -6,18 +6,41 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import dot, round4
 from ..functions.text import label_pattern, mentions, normal_key
 
-#: Rows of a vocabulary or template table up to which it is broadcast.
-SMALL_ROWS = 200_000
+#: Bytes of a vocabulary, template or query table up to which it is broadcast.
+SMALL_BYTES = 32 << 20
+
+
+def _bytes(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        each = F.lit(8) if not isinstance(inner, (StringType, BinaryType, ArrayType, StructType, MapType)) else None
+        total = F.size(column) * each if each is not None else F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, inner))
+        return F.coalesce(total, F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, MapType):
+        return _bytes(F.map_keys(column), ArrayType(kind.keyType)) + _bytes(F.map_values(column), ArrayType(kind.valueType))
+    return F.lit(8)
+
+
+def size_of(df: DataFrame) -> int:
+    """About how many bytes a table takes in memory: one aggregate over it."""
+    row = sum((_bytes(df[f.name], f.dataType) for f in df.schema.fields), F.lit(16))
+    return int(df.agg(F.sum(row.cast("long")).alias("n")).first()["n"] or 0)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint while a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    """df with a broadcast hint while its measured size is small; beyond it Spark chooses another join."""
+    return F.broadcast(df) if size_of(df) <= SMALL_BYTES else df
 
 
 def resolve(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -63,15 +86,6 @@ def relations_from_templates(entities: DataFrame, templates: DataFrame) -> DataF
     return first.join(e, (first["paper_id"] == e["paper_id"]) & (first["obj"] == e["key"]), "left_semi")
 
 
-def context_relations(entities: DataFrame, rules: DataFrame, *, most: int = 48) -> DataFrame:
-    """paper_id, subj, rel, obj: ordered pairs of a paper's entities (paper_id, id, label, type, text, ord) whose types have a rule (s_type, o_type, rel) and where one's text names the other; the first ``most`` of a paper."""
-    a, b = entities.alias("a"), entities.alias("b")
-    pairs = a.join(b, (F.col("a.paper_id") == F.col("b.paper_id")) & (F.col("a.id") != F.col("b.id")) & (F.contains(F.lower("a.text"), F.lower("b.label")) | F.contains(F.lower("b.text"), F.lower("a.label"))))
-    typed = pairs.join(small(rules), (F.col("a.type") == F.col("s_type")) & (F.col("b.type") == F.col("o_type")))
-    k = F.row_number().over(W.partitionBy("a.paper_id").orderBy("a.ord", "b.ord", "rel"))
-    return typed.withColumn("_k", k).filter(F.col("_k") <= most).select(F.col("a.paper_id").alias("paper_id"), F.col("a.id").alias("subj"), "rel", F.col("b.id").alias("obj"))
-
-
 # How much sources of relations are trusted.
 SOURCE_PRIORITY = {"deterministic_relation": 3, "llm_relation": 2, "candidate_relation": 1}
 

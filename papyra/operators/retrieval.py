@@ -2,46 +2,50 @@
 
 from __future__ import annotations
 
-import math
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import dot, round4
-from ..functions.text import LOW_SIGNAL, STOPWORDS, plain_tokens, query_tokens, token_set, tokens
+from ..functions.text import LOW_SIGNAL, query_tokens
 from .linking import small
+from .search_index import BUCKETS, SearchIndex, build, token_list
+
+
+#: Tokens that a task counts before it sends them on.
+COUNTED = 1_000_000
 
 
 def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
     """token, df, idf = 1 + ln((N + 1) / (df + 1)).
 
-    Tokens are distinct a document before they are counted, so counting combines on the map
-    side; single characters and stop words go after it, when a token is one row; the number of
-    documents is one row.
+    Each task counts the tokens of its texts in a table of its own and sends a row a token, so a
+    shuffle carries the vocabulary once a task, not a row for each token of a text.
     """
-    df = docs.select(F.explode(token_set(text)).alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter((F.length("token") > 1) & ~F.col("token").isin(*STOPWORDS))
-    n = docs.agg(F.count("*").alias("n"))
-    return df.crossJoin(F.broadcast(n)).select("token", "df", (1.0 + F.log((F.col("n") + 1.0) / (F.col("df") + 1.0))).alias("idf"))
-
 
-def query_hits(docs: DataFrame, text: Column, query: list[str], phrase: str = "") -> DataFrame:
-    """docs that may hit, with own (the query's tokens that a text has) and phrase (whether the text's tokens run on as in ``phrase``).
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
 
-    A token can only be where its letters are, so one pattern of all of them comes before texts
-    are cut into tokens. The caller keeps the result before it filters by ``own``.
-    """
-    letters = "|".join(t.replace("-", "[-_]") for t in query) or "(?!)"
-    hit = docs.filter(F.lower(text).rlike(letters)).withColumn("_t", tokens(text))
-    run = F.contains(F.array_join("_t", " "), F.lit(phrase)) if phrase else F.lit(False)
-    return hit.select(*docs.columns, F.array_intersect("_t", F.array(*map(F.lit, query))).alias("own"), run.alias("phrase"))
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), "string"), pa.array(list(held.values()), "int64")], names=["token", "df"])
+            held.clear()
+            return out
 
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                held.update(token_list(t))
+            if len(held) >= COUNTED:
+                yield sent()
+        if held:
+            yield sent()
 
-def query_idf(docs: DataFrame, hits: DataFrame, query: list[str]) -> dict[str, float]:
-    """Weights of a query's few tokens: a row for each of them."""
-    n = docs.count()
-    df = {r["t"]: r["count"] for r in hits.select(F.explode("own").alias("t")).groupBy("t").count().collect()}
-    return {t: 1.0 + math.log((max(n, 1) + 1.0) / (df.get(t, 0) + 1.0)) for t in query}
+    df = docs.select(text.alias("text")).mapInArrow(count, "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    return df.crossJoin(F.broadcast(n)).select("token", "df", (1.0 + F.log((F.col("n") + 1.0) / (F.col("df") + 1.0))).alias("idf"))
 
 
 def lexical_score(own: Column, query: list[str], idf: dict[str, float], weight: float = 1.0, phrase: Column | None = None) -> Column:
@@ -55,18 +59,21 @@ def lexical_score(own: Column, query: list[str], idf: dict[str, float], weight:
     return F.when(needed, weight * total + bonus).otherwise(0.0)
 
 
-def lexical_hits(docs: DataFrame, query: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lexical_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> SearchIndex:
+    """The index of a table of texts."""
+    return build(docs.select(docs[id_col].alias("key"), docs[id_col].alias("unit"), F.array(docs[text_col]).alias("fields")), path, buckets=buckets, single=True)
+
+
+def lexical_hits(index: SearchIndex, query: str) -> DataFrame:
     """id, score, own (the query's tokens that it has) of each document that scores."""
     q = query_tokens(query)
-    hits = query_hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("text"), q, " ".join(plain_tokens(query)))
-    hits = hits.select("id", "own", "phrase").persist()  # a few words a row, read for weights and for scores
-    idf = query_idf(docs, hits, q)
-    return hits.select("id", lexical_score(F.col("own"), q, idf, phrase=F.col("phrase")).alias("score"), "own").filter("score > 0")
+    found = index.fields(query)
+    return found.select(F.col("unit").alias("id"), lexical_score(F.col("own"), q, index.idf(q), phrase=F.col("phrase")).alias("score"), "own").filter("score > 0")
 
 
-def lexical_search(docs: DataFrame, query: str, *, limit: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lexical_search(index: SearchIndex, query: str, *, limit: int = 10, id_col: str = "doc_id") -> DataFrame:
     """id_col, score of the best documents for a query, by score to four decimals, ties by id."""
-    hits = lexical_hits(docs, query, id_col=id_col, text_col=text_col)
+    hits = lexical_hits(index, query)
     return hits.orderBy(F.desc(round4(F.col("score"))), "id").limit(max(0, limit)).select(F.col("id").alias(id_col), "score")
 
 

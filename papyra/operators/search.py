@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import round4
-from ..functions.text import plain_tokens, query_tokens, snippet, tokens
+from ..functions.text import query_tokens, snippet
 from .merge import best_extraction
-from .retrieval import cover_first, lexical_score, query_idf
+from .retrieval import cover_first, lexical_score
+from .search_index import SearchIndex
 
 # How much the fields of papers and the items of extractions weigh.
 PAPER_WEIGHTS = {"title": 4.0, "abstract": 1.5, "doi": 2.0}
@@ -34,38 +35,49 @@ def answer_item_text(item: Column, names: list[str]) -> Column:
     return _joined([item[n] for n in ANSWER_FIELDS if n in names])
 
 
-def evidence(papers: DataFrame, items: DataFrame, query: str) -> DataFrame:
-    """paper_id, kind, ord, text (a snippet), score of all that a query finds.
+def search_units(papers: DataFrame, items: DataFrame) -> DataFrame:
+    """key, unit, fields, text of papers (paper_id, title, abstract, doi) and of the items of their extractions (paper_id, kind, ord, text), as SearchIndex takes them; text is what snippets are cut from."""
+    none = F.lit("")
+    whole = F.trim(F.array_join(F.filter(F.array(F.coalesce("title", none), F.coalesce("abstract", none)), lambda x: x != ""), " "))
+    unit = lambda kind, ord_: F.struct(F.col("paper_id").alias("paper_id"), kind.alias("kind"), ord_.cast("long").alias("ord")).alias("unit")
+    own = papers.select(F.col("paper_id").alias("key"), unit(F.lit("paper"), F.lit(0)), F.array(*[F.coalesce(c, none) for c in PAPER_WEIGHTS]).alias("fields"), whole.alias("text"))
+    said = items.select(F.col("paper_id").alias("key"), unit(F.col("kind"), F.col("ord")), F.array(F.coalesce("text", none)).alias("fields"), F.coalesce("text", none).alias("text"))
+    return own.union(said)
 
-    papers: paper_id, title, abstract, doi. items: paper_id, kind, ord, text, of extractions whose
-    papers are resolved. Weights of the query's tokens are taken over papers and items together.
-    Texts without a token's letters go before anything is cut into words.
+
+def evidence(index: SearchIndex, query: str) -> DataFrame:
+    """paper_id, kind, ord, score, own (the query's tokens that it has) of all that a query finds in an index of search_units().
+
+    Weights of tokens count papers, each with all of its items. Only postings are read.
+    """
+    q = query_tokens(query)
+    idf = index.idf(q)
+    kind, field = F.col("unit.kind"), F.col("field")
+    scored = lambda w: lexical_score(F.col("own"), q, idf, w, F.col("phrase"))
+    paper = F.coalesce(*[F.when(field == i, scored(w)) for i, w in enumerate(PAPER_WEIGHTS.values())])
+    item = F.coalesce(*[F.when(kind == k, scored(w)) for k, w in ITEM_WEIGHTS.items()])
+    rows = index.fields(query).withColumn("score", F.coalesce(F.when(kind == "paper", paper).otherwise(item), F.lit(0.0)))
+    out = rows.groupBy("unit").agg(F.sum("score").alias("score"), F.array_distinct(F.flatten(F.collect_set("own"))).alias("own")).filter("score > 0")
+    return out.select("unit.*", "score", "own")
+
+
+def with_snippets(found: DataFrame, units: DataFrame, query: str) -> DataFrame:
+    """found (from evidence()) with text: a stretch of the unit's text around the query's first token. Texts are read for this only."""
+    texts = units.select("unit.*", "text").withColumnsRenamed({"paper_id": "_p", "kind": "_k", "ord": "_o"})
+    same = (F.col("paper_id") == F.col("_p")) & (F.col("kind") == F.col("_k")) & (F.col("ord") == F.col("_o"))
+    return found.join(texts, same).withColumn("text", snippet(F.col("text"), query_tokens(query))).drop("_p", "_k", "_o")
+
+
+def search(index: SearchIndex, query: str, *, limit: int = 10, resolved: DataFrame | None = None) -> DataFrame:
+    """rank, paper_id, score, n_evidence of the papers that a query finds, those that cover its words first.
+
+    resolved (raw_id, paper_id): ids under which extractions are kept and the papers that they
+    mean; evidence of both counts as the paper's. Ids that aren't there stay as they are.
     """
-    q, phrase = query_tokens(query), " ".join(plain_tokens(query))
-    if not q:
-        return items.filter("false").select("paper_id", "kind", "ord", "text", F.lit(0.0).alias("score"))
-    fields = F.array(*[F.coalesce(c, F.lit("")) for c in PAPER_WEIGHTS])
-    whole = F.trim(F.array_join(F.filter(F.array(*[F.coalesce(c, F.lit("")) for c in ("title", "abstract")]), lambda x: x != ""), " "))
-    both = papers.select("paper_id", F.lit("paper").alias("kind"), F.lit(0).cast("long").alias("ord"), fields.alias("fields"), whole.alias("text"))
-    both = both.union(items.select("paper_id", "kind", F.col("ord").cast("long").alias("ord"), F.array(F.coalesce("text", F.lit(""))).alias("fields"), F.coalesce("text", F.lit("")).alias("text")))
-    letters = "|".join(t.replace("-", "[-_]") for t in q)
-    hit = both.filter(F.lower(F.array_join("fields", "\n")).rlike(letters)).withColumn("_t", F.transform("fields", lambda x: tokens(x)))
-    asked = F.array(*map(F.lit, q))
-    parts = F.transform("_t", lambda t: F.struct(F.array_intersect(t, asked).alias("own"), F.contains(F.array_join(t, " "), F.lit(phrase)).alias("phrase")))
-    hit = hit.select("paper_id", "kind", "ord", "text", parts.alias("parts")).withColumn("own", F.array_distinct(F.flatten(F.transform("parts", lambda p: p["own"])))).persist()  # read for weights and for scores
-    idf = query_idf(both, hit, q)
-    paper = sum((lexical_score(F.get("parts", i)["own"], q, idf, w, F.get("parts", i)["phrase"]) for i, w in enumerate(PAPER_WEIGHTS.values())), F.lit(0.0))
-    item = F.coalesce(*[F.when(F.col("kind") == k, lexical_score(F.get("parts", 0)["own"], q, idf, w, F.get("parts", 0)["phrase"])) for k, w in ITEM_WEIGHTS.items()], F.lit(0.0))
-    scored = hit.withColumn("score", F.when(F.col("kind") == "paper", paper).otherwise(item)).filter("score > 0")
-    return scored.select("paper_id", "kind", "ord", snippet(F.col("text"), q).alias("text"), "score", "own")
-
-
-def search(papers: DataFrame, items: DataFrame, query: str, *, limit: int = 10) -> DataFrame:
-    """rank, paper_id, score, n_evidence of the papers that a query finds, those that cover its words first."""
     q = query_tokens(query)
-    found = evidence(papers, items, query)
-    if not q:
-        return found.select(F.lit(0).alias("rank"), "paper_id", "score", F.lit(0).cast("long").alias("n_evidence"))
+    found = evidence(index, query)
+    if resolved is not None:
+        found = found.withColumnRenamed("paper_id", "raw_id").join(resolved.groupBy("raw_id").agg(F.min("paper_id").alias("_p")), "raw_id", "left").withColumn("paper_id", F.coalesce("_p", "raw_id"))
     hits = found.groupBy(F.col("paper_id").alias("id")).agg(round4(F.sum("score")).alias("score"), F.array_distinct(F.flatten(F.collect_set("own"))).alias("own"), F.count("*").alias("n_evidence"))
     return cover_first(hits, q, limit=limit).select("rank", F.col("id").alias("paper_id"), "score", "n_evidence")
 

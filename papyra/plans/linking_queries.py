@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, round4
 from ..operators import dedup, linking, retrieval
+from ..shared import shared_folder
 from ..streaming import events as streams
 from .registry import query, read
 
@@ -100,7 +101,7 @@ def embed_hash(spark, sf_dir):
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)")
 def dedup_sequential(spark, sf_dir):
     """Documents as records of one version, the text's hash as DOI, no title: the first of each stays."""
-    _checkpoints(spark)
+    shared_folder(spark)
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.md5("text").alias("doi"), F.lit("").alias("title"), F.lit(1).alias("version"))
     return dedup.dedup_records(d).select(F.col("ord").alias("doc_id"))
 
@@ -108,7 +109,7 @@ def dedup_sequential(spark, sf_dir):
 @query()
 def dedup_titles(spark, sf_dir):
     """Documents as records with titles (first lines) and versions, every second one with the text's hash as DOI: matched one after the other by DOI, else title."""
-    _checkpoints(spark)
+    shared_folder(spark)
     d = read(spark, sf_dir, "documents")
     records = d.select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 2 == 0, F.md5("text")).alias("doi"), F.split("text", "\n", 2)[0].alias("title"), (1 + F.col("n_chars") % 3).cast("int").alias("version"))
     return dedup.dedup_records(records).select(F.col("ord").alias("doc_id"))
@@ -140,13 +141,3 @@ SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id,
 def event_sessions(spark, sf_dir):
     """Bursts of a user's events, two hours apart."""
     return streams.sessions(read(spark, sf_dir, "events"), gap="2 hours")
-
-
-def _checkpoints(spark) -> None:
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="papyra-checkpoint-"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import new_folder
 from ..ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,14 @@ def query(sql: str | None = None) -> Callable:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_DERIVED: dict[tuple, object] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], object]) -> object:
+    """What make(folder) wrote to the shared folder and opened, once for a session and a folder of tables: an index that several queries read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _DERIVED:
+        _DERIVED[key] = make(new_folder(spark))
+    return _DERIVED[key]

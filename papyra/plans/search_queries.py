@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round4
-from ..operators import answers, search, verification
-from .registry import query, read
+from ..operators import answers, search, search_index, verification
+from .registry import derived, query, read
 from .text_queries import _tokens
 
 
 def _papers(spark, sf_dir):
+    """Whole documents as papers: the first 60 characters are the title, the rest the abstract."""
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("paper_id"), F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 400).alias("abstract"), F.col("source").alias("doi"))
+    return d.select(F.col("doc_id").alias("paper_id"), F.substring("text", 1, 60).alias("title"), F.substr("text", F.lit(61)).alias("abstract"), F.col("source").alias("doi"))
 
 
 def _items(spark, sf_dir):
@@ -21,33 +22,43 @@ def _items(spark, sf_dir):
     return c.select(F.col("conv_id").alias("paper_id"), kind.alias("kind"), F.col("turn").alias("ord"), "text")
 
 
+def _index(spark, sf_dir):
+    return derived(spark, sf_dir, "papers and items", lambda path: search_index.build(search.search_units(_papers(spark, sf_dir), _items(spark, sf_dir)), path))
+
+
 def _evidence_sql(words: list[str]) -> str:
+    """Scores of all evidence for words, none of which is common or follows another in a text."""
     own = lambda x: f"list_intersect(list_distinct({_tokens(x)}), [{', '.join(repr(w) for w in words)}])"
     part = lambda c, w: f"{w} * coalesce(list_sum(list_transform({c}, lambda t: w[t])), 0)"
     return f"""
-b AS (SELECT doc_id AS paper_id, 'paper' AS kind, 0 AS ord, {own("substr(text, 1, 60)")} AS a1, {own("substr(text, 61, 400)")} AS a2, {own("source")} AS a3 FROM documents
+b AS (SELECT doc_id AS paper_id, 'paper' AS kind, 0 AS ord, {own("substr(text, 1, 60)")} AS a1, {own("substr(text, 61)")} AS a2, {own("source")} AS a3 FROM documents
   UNION ALL SELECT conv_id, CASE role WHEN 'user' THEN 'claim' WHEN 'assistant' THEN 'concept' ELSE 'method' END, turn, {own("coalesce(text, '')")}, [], [] FROM conversations),
-k AS (SELECT unnest([{', '.join(repr(w) for w in words)}]) AS t), n AS (SELECT count(*) AS n FROM b),
-f AS (SELECT map_from_entries(list((t, 1.0 + ln(((SELECT n FROM n) + 1.0) / ((SELECT count(*) FROM b WHERE list_contains(a1, t) OR list_contains(a2, t) OR list_contains(a3, t)) + 1.0))))) AS w FROM k),
-s AS (SELECT paper_id, kind, ord, CASE WHEN kind = 'paper' THEN {part("a1", 4.0)} + {part("a2", 1.5)} + {part("a3", 2.0)} ELSE CASE kind WHEN 'claim' THEN 2.5 ELSE 3.0 END * coalesce(list_sum(list_transform(a1, lambda t: w[t])), 0) END AS score FROM b, f),
-e AS (SELECT paper_id, kind, CAST(ord AS BIGINT) AS ord, score FROM s WHERE score > 0)"""
+k AS (SELECT unnest([{', '.join(repr(w) for w in words)}]) AS t), n AS (SELECT count(DISTINCT paper_id) AS n FROM b),
+f AS (SELECT map_from_entries(list((t, 1.0 + ln(((SELECT n FROM n) + 1.0) / ((SELECT count(DISTINCT paper_id) FROM b WHERE list_contains(a1, t) OR list_contains(a2, t) OR list_contains(a3, t)) + 1.0))))) AS w FROM k),
+s AS (SELECT paper_id, kind, ord, list_distinct(a1 || a2 || a3) AS own, CASE WHEN kind = 'paper' THEN {part("a1", 4.0)} + {part("a2", 1.5)} + {part("a3", 2.0)} ELSE CASE kind WHEN 'claim' THEN 2.5 ELSE 3.0 END * coalesce(list_sum(list_transform(a1, lambda t: w[t])), 0) END AS score FROM b, f),
+e AS (SELECT paper_id, kind, CAST(ord AS BIGINT) AS ord, own, score FROM s WHERE score > 0)"""
 
 
-@query(f"WITH {_evidence_sql(['anea', 'thanedble', 'attion'])} SELECT paper_id, kind, ord, round(score, 4) AS score FROM e")
+@query(f"WITH {_evidence_sql(['anea', 'attion', 'idiot'])} SELECT paper_id, kind, ord, round(score, 4) AS score FROM e")
 def search_evidence(spark, sf_dir):
     """All evidence for a query in titles, abstracts and extracted items, by the weights of its fields."""
-    e = search.evidence(_papers(spark, sf_dir), _items(spark, sf_dir), "anea of thanedble attion")
+    e = search.evidence(_index(spark, sf_dir), "anea of attion, idiot")
     return e.select("paper_id", "kind", "ord", round4(F.col("score")).alias("score"))
 
 
 @query(f"""
-WITH {_evidence_sql(['thanedble'])},
-h AS (SELECT paper_id, round(sum(score), 4) AS score, count(*) AS n_evidence FROM e GROUP BY paper_id)
-SELECT CAST(row_number() OVER (ORDER BY score + CASE WHEN 1 = 1 THEN 0 END DESC, paper_id) AS INTEGER) AS rank, paper_id, n_evidence FROM h QUALIFY rank <= 30""")
+WITH RECURSIVE {_evidence_sql(['anea', 'attion', 'idiot'])},
+h AS (SELECT paper_id, round(sum(score), 4) AS score, count(*) AS n_evidence, list_distinct(flatten(list(own))) AS own FROM e GROUP BY paper_id),
+m AS (SELECT *, CAST(list_contains(own, 'anea') AS INT) + 2 * CAST(list_contains(own, 'attion') AS INT) + 4 * CAST(list_contains(own, 'idiot') AS INT) AS m FROM h),
+p(step, paper_id, covered) AS (
+  SELECT 0, CAST(NULL AS BIGINT), 0
+  UNION ALL
+  SELECT p.step + 1, b.paper_id, p.covered | b.m FROM p, LATERAL (SELECT m.paper_id, m.m FROM m WHERE (m.m & ~p.covered) <> 0 ORDER BY bit_count(m.m & ~p.covered) DESC, m.score DESC, m.paper_id LIMIT 1) b WHERE p.step < 3),
+r AS (SELECT m.*, row_number() OVER (ORDER BY p.step NULLS LAST, m.score DESC, m.paper_id) AS rank FROM m LEFT JOIN p ON p.paper_id = m.paper_id)
+SELECT CAST(rank AS INTEGER) AS rank, paper_id, n_evidence FROM r WHERE rank <= 30""")
 def kg_search(spark, sf_dir):
-    """The best 30 papers for a query of one word: no other word to cover."""
-    out = search.search(_papers(spark, sf_dir), _items(spark, sf_dir), "thanedble the", limit=30)
-    return out.select("rank", "paper_id", "n_evidence")
+    """The best 30 papers for a query of three words, those first that cover them."""
+    return search.search(_index(spark, sf_dir), "anea of attion, idiot", limit=30).select("rank", "paper_id", "n_evidence")
 
 
 @query("""

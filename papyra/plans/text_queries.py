@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scalars import round4
 from ..operators import answers, conflicts, retrieval
-from .registry import query, read
+from .registry import derived, query, read
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
@@ -27,6 +27,10 @@ def token_doc_frequency(spark, sf_dir):
     return out.select("token", "df", round4(F.col("idf")).alias("idf"))
 
 
+def _index(spark, sf_dir):
+    return derived(spark, sf_dir, "documents", lambda path: retrieval.lexical_index(read(spark, sf_dir, "documents"), path))
+
+
 SEARCH = "thtion anea models ererth"
 _SCORED = f"""
 d AS (SELECT doc_id, list_distinct({_tokens("text")}) AS own FROM documents),
@@ -38,18 +42,18 @@ h AS (SELECT doc_id, sum(CASE WHEN t = 'models' THEN 0.25 * w ELSE w END) AS sco
 @query(f"WITH {_SCORED} SELECT doc_id, round(score, 4) AS score FROM h ORDER BY round(score, 4) DESC, doc_id LIMIT 25")
 def lexical_search(spark, sf_dir):
     """The best 25 documents for a query of specific and common words."""
-    out = retrieval.lexical_search(read(spark, sf_dir, "documents"), SEARCH, limit=25)
+    out = retrieval.lexical_search(_index(spark, sf_dir), SEARCH, limit=25)
     return out.select("doc_id", round4(F.col("score")).alias("score"))
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {_tokens("text")} AS x FROM documents WHERE regexp_matches(lower(text), 'attion|thanedble|anea')),
+WITH d AS (SELECT doc_id, {_tokens("text")} AS x FROM documents),
 o AS (SELECT doc_id, list_filter(x, lambda t, i: list_position(x, t) = i) AS x FROM d),
 f AS (SELECT t, 1.0 + ln(((SELECT count(*) FROM documents) + 1.0) / ((SELECT count(*) FROM o WHERE list_contains(x, t)) + 1.0)) AS w FROM (SELECT unnest(['attion', 'thanedble', 'anea']) AS t))
 SELECT doc_id, round(sum(w) + CASE WHEN any_value(contains(array_to_string(x, ' '), 'attion thanedble anea')) THEN 3.0 ELSE 0.0 END, 4) AS score FROM o, f WHERE list_contains(x, t) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 40""")
 def phrase_search(spark, sf_dir):
     """A query whose words many documents have in this order: these score its phrase part too."""
-    out = retrieval.lexical_search(read(spark, sf_dir, "documents"), "attion of thanedble anea", limit=40)
+    out = retrieval.lexical_search(_index(spark, sf_dir), "attion of thanedble anea", limit=40)
     return out.select("doc_id", round4(F.col("score")).alias("score"))
 
 
@@ -64,8 +68,7 @@ r AS (SELECT m.doc_id, m.score, p.step, row_number() OVER (ORDER BY p.step NULLS
 SELECT doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50""")
 def coverage_rank(spark, sf_dir):
     """The first 50 hits in the order that covers the query's words first."""
-    docs = read(spark, sf_dir, "documents")
-    hits = retrieval.lexical_hits(docs, SEARCH)
+    hits = retrieval.lexical_hits(_index(spark, sf_dir), SEARCH)
     return retrieval.cover_first(hits, text.query_tokens(SEARCH), limit=50).select(F.col("id").alias("doc_id"), round4(F.col("score")).alias("score"), "rank")
 
 

@@ -6,6 +6,8 @@ import random
 import uuid
 from datetime import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 
@@ -43,35 +45,49 @@ def test_citation_ids(spark):
 
 def in_turn(records):
     """The rule of dedup_records(), one record after the other over all records."""
-    by, alive = {}, {}
+    of, groups, free = {}, {}, set()
     for o, doi, title, version in records:
         doi = (doi or "").strip().lower().removeprefix("https://doi.org/") or None
         title = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in (title or "").lower()).split()) or None
         keys = [k for k in (("d", doi), ("t", title)) if k[1]]
-        held = next((by[k] for k in keys if k in by), None)
-        if held is None:
-            keep = alive[o] = (o, keys, version or 1)
-        elif (version or 1) > held[2]:
-            del alive[held[0]]
-            keys += held[1]
-            keep = alive[o] = (o, keys, version or 1)
-        else:
+        if not keys:
+            free.add(o)
             continue
-        by.update(dict.fromkeys(keys, keep))
-    return set(alive)
+        g = next((of[k] for k in keys if k in of), None)
+        if g is None or (version or 1) > groups[g][0]:
+            g = o if g is None else g
+            groups[g] = (version or 1, o)
+            of.update(dict.fromkeys(keys, g))
+    return free | {o for _, o in groups.values()}
+
+
+RECORDS = "ord long, doi string, title string, version int"
 
 
 def test_dedup_records_equals_the_rule_in_turn(spark):
     from papyra.operators.dedup import dedup_records
-    from papyra.plans.linking_queries import _checkpoints
 
-    _checkpoints(spark)
     assert in_turn([(0, "10.1/X", "T", 1), (1, "https://doi.org/10.1/x", "other", 2)]) == {1}
     r = random.Random(6)
     for _ in range(3):
         rows = [(i, r.choice([None, "", *(f"10.1/{k}" for k in range(25))]), r.choice([None, "", *(f"Title {k}!" for k in range(25))]), r.choice([None, 1, 2, 3])) for i in range(60)]
-        out = dedup_records(spark.createDataFrame(rows, "ord long, doi string, title string, version int"))
+        out = dedup_records(spark.createDataFrame(rows, RECORDS))
         assert {x["ord"] for x in out.collect()} == in_turn(rows)
+    assert dedup_records(spark.createDataFrame([], RECORDS)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dedup_records_in_rounds(spark, seed):
+    """No task sees more than three records at once; a third of them share a DOI, another third a title."""
+    from papyra.operators.dedup import dedup_records
+
+    r = random.Random(seed)
+    hot = [(r.choice(["10.1/hot", f"10.1/{k}", None, None]), "Untitled" if r.random() < 0.3 else f"Title {r.randrange(150)}", r.choice([None, 1, 1, 2, 3])) for k in range(240)]
+    rows = [(i, *x) for i, x in enumerate([("10.1/hot", f"Title {r.randrange(150)}", 1 + r.randrange(2)) for _ in range(120)] + hot)]
+    r.shuffle(rows)
+    rows = [(i, *x[1:]) for i, x in enumerate(rows)]
+    out = dedup_records(spark.createDataFrame(rows, RECORDS), few=3)
+    assert {x["ord"] for x in out.collect()} == in_turn(rows)
 
 
 def test_fuzzy_methods(spark):
