@@ -14,6 +14,7 @@ table of pairs. The corpus's counts come back to the chunk and meet its document
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -23,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Codec
+from .bpe import PATTERN, Codec
 from .common import give_back, id_type, table, written
+from .tokenizer_files import byte_alphabet
 
 SPACE = "▁"
 BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
@@ -39,27 +41,27 @@ SPANS_KEPT = 50_000
 class Groups(NamedTuple):
     """Ids of both tokenizers and the number of tokens of each in every group."""
 
-    a: list[int]
-    b: list[int]
-    n_a: list[int]
-    n_b: list[int]
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ids that end each group."""
-        at_a, at_b = np.cumsum(self.n_a, dtype=np.int64) - 1, np.cumsum(self.n_b, dtype=np.int64) - 1
-        return np.array(self.a, np.int64)[at_a], np.array(self.b, np.int64)[at_b]
+    def links(self) -> np.ndarray:
+        """The pairs of ids that end each group, as one number each."""
+        return self.a[np.cumsum(self.n_a) - 1] << 32 | self.b[np.cumsum(self.n_b) - 1]
 
 
-NOTHING = Groups([], [], [], [])
+NONE = np.zeros(0, np.int64)
+NOTHING = Groups(NONE, NONE, NONE, NONE)
 
 
 class SpanCounts(dict):
-    """Tokens of A and of B in a span of labels, for spans already seen; emptied when it holds too many."""
+    """Tokens of A and of B in a span of labels, as one number, for spans already seen; emptied when it holds too many."""
 
-    def __missing__(self, span: bytes) -> tuple[int, int]:
+    def __missing__(self, span: bytes) -> int:
         if len(self) >= SPANS_KEPT:
             self.clear()
-        counts = span.count(A_END) + 1, span.count(B_END) + 1
+        counts = span.count(A_END) + 1 << 32 | span.count(B_END) + 1
         if len(span) <= 40:
             self[span] = counts
         return counts
@@ -73,27 +75,56 @@ def labels(size: int, lengths_a: np.ndarray, lengths_b: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def byte_encoder(path: str):
+    """A byte-level BPE file for tiktoken, whose ranks are the ids; strings of added tokens are plain text. None if ids don't follow the order of merges, which ranks take for granted."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, of_char = spec["model"]["vocab"], {c: b for b, c in byte_alphabet().items()}
+    before = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    ranks = {bytes(of_char[c] for c in s): i for s, i in vocab.items() if all(c in of_char for c in s)}
+    if made != sorted(made) or len(ranks) != len(made) + 256 or min(made, default=256) < 256:
+        return None
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Aligner:
-    """Both tokenizers of one worker, and the bytes of their tokens."""
+    """Both tokenizers of one worker, and the bytes of their tokens.
+
+    Tokens of A come from tiktoken where the file's ids can be its ranks, else from the automaton
+    of operator 7; those of B from sentencepiece.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.codec = Codec(path_a)
+        self.encoder = byte_encoder(path_a)
+        self.codec = None if self.encoder else Codec(path_a)
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = self.codec.bpe.label
+        self.bytes_a = self.codec.bpe.label if self.codec else [self.encoder.decode_single_token_bytes(i) for i in range(self.encoder.n_vocab)]
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes_b = [bytes.fromhex(m[1]) if (m := BYTE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
         self.lengths_a, self.lengths_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.said = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.said_a, self.said_b = self._said(len(self.bytes_a), ",|"), self._said(len(self.bytes_b), ",;")
         self.counts = SpanCounts()
 
-    def tokens_a(self, text: str) -> list[int]:
-        """Ids of A; strings of added tokens are plain text."""
+    @staticmethod
+    def _said(n: int, marks: str) -> np.ndarray:
+        """Ids as text with the mark behind them: within a group, and at the end of its tokens."""
+        return np.array([[f"{i}{mark}" for i in range(n)] for mark in marks], dtype=object)
+
+    def tokens_a(self, text: str) -> np.ndarray:
+        """Ids of A."""
+        if self.encoder:
+            return self.encoder.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         out: list[int] = []
         for ids in map(self.codec.__getitem__, self.codec.words(text)):
             out += ids
-        return out
+        return np.array(out, np.int64)
 
     def groups(self, text: str | None) -> Groups:
         """The groups of a text; none where tokens don't spell it byte by byte."""
@@ -102,23 +133,23 @@ class Aligner:
         spaced = f" {text}"
         raw = spaced.encode()
         a, b = self.tokens_a(spaced), self.model.encode(text)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return NOTHING
-        counts = list(map(self.counts.__getitem__, SPAN.findall(labels(len(raw), self.lengths_a[a], self.lengths_b[b]))))
-        return Groups(a, b, [n for n, _ in counts], [n for _, n in counts])
+        b = np.array(b, np.int64)
+        spans = SPAN.findall(labels(len(raw), self.lengths_a[a], self.lengths_b[b]))
+        counts = np.fromiter(map(self.counts.__getitem__, spans), np.int64, len(spans))
+        return Groups(a, b, counts >> 32, counts & 0xFFFFFFFF)
 
     def written_out(self, g: Groups) -> str:
         """a1,a2|b1;a3|b2,b3"""
-        a, b = list(map(self.said.__getitem__, g.a)), list(map(self.said.__getitem__, g.b))
-        i = j = 0
-        out = []
-        for n, m in zip(g.n_a, g.n_b, strict=True):
-            if n == m == 1:
-                out.append(f"{a[i]}|{b[j]}")
-            else:
-                out.append(f"{','.join(a[i : i + n])}|{','.join(b[j : j + m])}")
-            i, j = i + n, j + m
-        return ";".join(out)
+        ends_a, ends_b = np.cumsum(g.n_a), np.cumsum(g.n_b)
+        last_a, last_b = np.zeros(len(g.a), np.int8), np.zeros(len(g.b), np.int8)
+        last_a[ends_a - 1] = last_b[ends_b - 1] = 1
+        out = np.empty(len(g.a) + len(g.b), dtype=object)
+        # A token stands behind all tokens of the groups before, and those of B behind their group's of A.
+        out[np.arange(len(g.a)) + np.repeat(ends_b - g.n_b, g.n_a)] = self.said_a[last_a, g.a]
+        out[np.arange(len(g.b)) + np.repeat(ends_a, g.n_b)] = self.said_b[last_b, g.b]
+        return "".join(out.tolist())[:-1]
 
 
 def _held(path_a: str, path_b: str) -> Callable[[], Aligner]:
@@ -152,8 +183,9 @@ def token_groups(docs: DataFrame, path_a: str, path_b: str, *, text_col: str = "
             out = []
             for text in batch.column("text").to_pylist():
                 g, i, j, cut = aligner().groups(text), 0, 0, []
-                for n, m in zip(g.n_a, g.n_b, strict=True):
-                    cut.append({"a": g.a[i : i + n], "b": g.b[j : j + m]})
+                a, b = g.a.tolist(), g.b.tolist()
+                for n, m in zip(g.n_a.tolist(), g.n_b.tolist(), strict=True):
+                    cut.append({"a": a[i : i + n], "b": b[j : j + m]})
                     i, j = i + n, j + m
                 out.append(cut)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow), pa.array(out, groups)], names=["doc_id", "groups"])
@@ -175,7 +207,7 @@ def _chunks(rows: DataFrame, path_a: str, path_b: str, kind: str, arrow: pa.Data
         def close() -> pa.RecordBatch:
             pairs, places, times = np.unique(np.concatenate(linked), return_inverse=True, return_counts=True)
             ends = np.cumsum([len(x) for x in linked])[:-1]
-            coded = [p.astype(np.int32).tobytes() for p in np.split(places, ends)]
+            coded = [p.tobytes() for p in np.split(places.astype(np.uint16 if len(pairs) <= 1 << 16 else np.uint32), ends)]
             n = len(ids)
             columns = [[first + done] * (n + 1), [*ids, None], *([*c, None] for c in zip(*facts, strict=True)), [*coded, None], [None] * n + [pairs.tolist()], [None] * n + [times.tolist()]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -183,12 +215,11 @@ def _chunks(rows: DataFrame, path_a: str, path_b: str, kind: str, arrow: pa.Data
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 g = aligner().groups(text)
-                a, b = g.links() if g.n_a else (np.zeros(0, np.int64),) * 2
-                digest = hashlib.sha256(aligner().written_out(g).encode()).hexdigest() if g.a else ""
+                digest = hashlib.sha256(aligner().written_out(g).encode()).hexdigest() if len(g.a) else ""
                 ids.append(doc_id)
                 facts.append((len(g.a), len(g.b), len(g.n_a), digest))
-                linked.append(a << 32 | b)
-                held += len(a) + 1
+                linked.append(g.links())
+                held += len(g.n_a) + 1
                 if held >= chunk_links:
                     yield close()
                     done, ids, facts, linked, held = done + 1, [], [], [], 0
@@ -224,7 +255,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, text_col: str = "text",
         n, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
         place = counts.column("place").to_numpy()
         n[place], best[place] = counts.column("n").to_numpy(), counts.column("best").to_numpy(zero_copy_only=False)
-        places = [np.frombuffer(x, np.int32) for x in own.column("links").to_pylist()]
+        sizes = own.column("n_groups").to_pylist()
+        places = [np.frombuffer(x, np.uint16 if len(x) == 2 * k else np.uint32) for x, k in zip(own.column("links").to_pylist(), sizes, strict=True)]
         own = own.combine_chunks()
         return pa.table([own.column("doc_id").cast(arrow), *(own.column(c) for c in ("n_a", "n_b", "n_groups")), pa.array(map(len, places), "int64"), pa.array([int(best[p].sum()) for p in places], "int64"), pa.array([int(n[p].sum()) for p in places], "int64"), own.column("groups_sha256")], schema=schema)
 

@@ -95,7 +95,7 @@ def test_label_scan():
     said = labels(7, np.array([2, 1, 4]), np.array([3, 2, 2]))
     assert said == bytes([0, 1, 3, 0, 2, 0, 3])
     counts = SpanCounts()
-    assert [counts[x] for x in SPAN.findall(said)] == [(2, 1), (1, 2)]
+    assert [divmod(counts[x], 1 << 32) for x in SPAN.findall(said)] == [(2, 1), (1, 2)]
 
 
 def test_nulls_and_empty(spark):
@@ -106,3 +106,15 @@ def test_nulls_and_empty(spark):
     assert align(spark.createDataFrame([], schema), *paths).count() == 0
     rows = align(spark.createDataFrame([(None, "a b"), ("x", None), ("x", None)], schema), *paths).collect()
     assert sorted((r["doc_id"] or "", r["n_links"], r["groups_sha256"] == "") for r in rows) == [("", 2, False), ("x", 0, True), ("x", 0, True)]
+
+
+def test_both_sources_of_tokens_agree():
+    from papyra.llm.alignment import Aligner
+    from papyra.llm.bpe import Codec
+
+    aligner = Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    assert aligner.encoder is not None
+    texts = [t or "" for _, t in corpus()]
+    fast = [aligner.tokens_a(" " + t).tolist() for t in texts]
+    aligner.encoder, aligner.codec = None, Codec(P.path("byte_bpe_50k.json"))
+    assert [aligner.tokens_a(" " + t).tolist() for t in texts] == fast
