@@ -1,10 +1,9 @@
-"""What Spark has no function for: model output that is nearly JSON, chunk packing, text repair. Arrow UDFs, one batch at a time."""
+"""What Spark has no function for: model output that is nearly JSON, Unicode folding (Arrow UDFs, one batch at a time); repair of broken encodings."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -137,50 +136,8 @@ def recovered_json(text: Column) -> Column:
     return F.when(clean, given).otherwise(run(F.when(~F.coalesce(clean, F.lit(False)), text)))
 
 
-def chunks(size: int = 6000, overlap: int = 900) -> Callable[[Column], Column]:
-    """Texts in pieces of ``size`` characters at most that end at a paragraph or sentence where one is near, each beginning ``overlap`` before the end of the one before."""
-
-    def cut(text: str) -> list[str]:
-        out, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + size)
-            if end < len(text):
-                best = max(text.rfind("\n\n", at + size // 2, end), text.rfind(". ", at + size // 2, end) + 1)
-                end = best if best > at + overlap else end
-            out.append(text[at:end].strip())
-            if end == len(text):
-                break
-            at = max(at + 1, end - overlap)
-        return [c for c in out if c]
-
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: cut(t or ""))
-
-    return run
-
-
 def table_lines(text: Column) -> Column:
     """Runs of lines with cell marks, as one block each."""
     marked = F.transform(F.split(text, "\n", -1), lambda x: F.when(F.contains(x, F.lit("|")) | F.contains(x, F.lit("\t")), x).otherwise(F.lit("\u0001")))
     blocks = F.split(F.array_join(marked, "\n"), "(?:\n?\u0001\n?)+")
     return F.filter(blocks, lambda b: F.trim(b) != "")
-
-
-def abbreviations(text: Column) -> Column:
-    """Map of short forms in brackets to the words before them whose initials they are."""
-
-    @F.pandas_udf("map<string,string>")
-    def run(s: pd.Series) -> pd.Series:
-        def of(t: str | None) -> dict[str, str]:
-            out = {}
-            for m in re.finditer(r"\(([A-Z][A-Z0-9-]{1,7})\)", t or ""):
-                letters = [c for c in m[1] if c.isalpha()]
-                before = re.findall(r"[A-Za-z][A-Za-z-]*", t[max(0, m.start() - 120) : m.start()])[-len(letters) :]
-                if [w[0].upper() for w in before] == letters:
-                    out.setdefault(m[1], " ".join(before))
-            return out
-
-        return s.map(of)
-
-    return run(text)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import extraction_text, table_functions
 from ..functions.scalars import round4
-from ..operators import extraction, retrieval
+from ..operators import concepts, extraction, retrieval, scan
 from .registry import bounded, query, read
 
 
@@ -113,3 +114,86 @@ def fallback_claims(spark, sf_dir):
     """Claims of texts that say "our" for "the", as none of the documents has a claim's mark or a heading of its own."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("the "), F.lit("our ")).alias("text"))
     return extraction.fallback_claims(d).select("doc_id", "ord", F.md5("statement").alias("statement_md5"), "negated")
+
+
+_STRIP = f"trim({{}}, '{extraction_text.SPACES}')"
+_WORDS = ", ".join("'(?i)" + k.replace("'", "''") + "'" for k in extraction_text.KEYWORDS)
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS t FROM documents), k AS (SELECT unnest([{_WORDS}]) AS p, unnest(range(1, {len(extraction_text.KEYWORDS) + 1})) AS k),
+l AS (SELECT doc_id, t, k, string_split_regex(t, p) AS parts, regexp_extract_all(t, p) AS hits FROM t, k WHERE length(t) > 6000),
+i AS (SELECT doc_id, t, k, parts, hits, unnest(range(1, len(hits) + 1)) AS i FROM l WHERE len(hits) > 0),
+s AS (SELECT doc_id, t, k, i, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hits[i]) AS n FROM i),
+w AS (SELECT doc_id, any_value(t) AS t, greatest(0, s - 900) AS a, least(length(t), s + n + 900) AS b, min(k * 1000000 + i) AS o FROM s GROUP BY doc_id, greatest(0, s - 900), least(length(t), s + n + 900)),
+p AS (SELECT doc_id, o, {_STRIP.format("substr(t, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT))")} AS piece, {_STRIP.format("substr(t, 1, 2000)")} AS head FROM w),
+c AS (SELECT *, length(head) + sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY o) - length(piece) AS before FROM p),
+m AS (SELECT doc_id, list(piece ORDER BY o) AS pieces FROM c WHERE before < 5000 GROUP BY doc_id)
+SELECT t.doc_id, CAST(length(out) AS INTEGER) AS n_chars, md5(out) AS text_md5 FROM (
+  SELECT t.doc_id, CASE WHEN length(t) <= 6000 THEN t ELSE substr(array_to_string(list_filter([{_STRIP.format("substr(t, 1, 2000)")}] || coalesce(pieces, []) || [{_STRIP.format("substr(t, length(t) - 999)")}], lambda x: x <> ''), chr(10) || chr(10) || '---' || chr(10) || chr(10)), 1, 6000) END AS out FROM t LEFT JOIN m USING (doc_id)) t""")
+def extraction_texts(spark, sf_dir):
+    """Documents as an extraction reads them within 6,000 characters: the head, what stands around keywords, the tail."""
+    d = read(spark, sf_dir, "documents").select("doc_id", extraction_text.strip(F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.withColumn("out", extraction_text.extraction_text(F.col("t"), 6000))
+    return d.select("doc_id", F.length("out").alias("n_chars"), F.md5("out").alias("text_md5"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT doc_id, t, unnest(CASE WHEN length(t) <= 6000 THEN [0] ELSE range(0, length(t), 5100) END) AS s FROM t),
+c AS (SELECT doc_id, CASE WHEN length(t) <= 6000 THEN t ELSE {_STRIP.format("substr(t, CAST(s + 1 AS BIGINT), 6000)")} END AS chunk, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM p WHERE length(t) <= 6000 OR {_STRIP.format("substr(t, CAST(s + 1 AS BIGINT), 6000)")} <> ''),
+x AS (SELECT doc_id, chunk, unnest(CASE WHEN n <= 8 THEN [k] ELSE list_filter(list_transform(range(0, 8), lambda i: CASE WHEN CAST(round_even(i * (n - 1) / 7.0, 0) AS BIGINT) = k THEN k END), lambda v: v IS NOT NULL) END) AS k FROM c)
+SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS k, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS chunk_md5 FROM x""")
+def extraction_chunks(spark, sf_dir):
+    """Documents in chunks of the least context; they have no numbered headings, so a long one is cut by length."""
+    d = read(spark, sf_dir, "documents").select("doc_id", extraction_text.strip(F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.select("doc_id", F.posexplode(extraction_text.extraction_chunks(F.col("t"), 4096)).alias("k", "chunk"))
+    return d.select("doc_id", "k", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS t FROM documents), l AS (SELECT doc_id, t, length(t) // 2 AS mid, string_split_regex(t, '\\n\\s*\\n') AS parts, regexp_extract_all(t, '\\n\\s*\\n') AS hits FROM t),
+a AS (SELECT doc_id, t, mid, list_transform(range(1, len(hits) + 1), lambda i: CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT)) AS places FROM l),
+b AS (SELECT doc_id, t, coalesce(list_sort(list_transform(places, lambda x: struct_pack(d := abs(x - mid), p := x)))[1].p, mid) AS cut FROM a),
+h AS (SELECT doc_id, CASE WHEN t = '' THEN [''] ELSE list_filter([{_STRIP.format("substr(t, 1, CAST(cut AS BIGINT))")}, {_STRIP.format("substr(t, CAST(cut + 1 AS BIGINT))")}], lambda x: x <> '') END AS h FROM b)
+SELECT doc_id, CAST(len(h) AS INTEGER) AS n, md5(array_to_string(h, '|')) AS halves_md5 FROM h""")
+def structural_halves(spark, sf_dir):
+    """Documents in two at the blank line nearest to their middle."""
+    d = read(spark, sf_dir, "documents").select("doc_id", extraction_text.structural_halves(F.col("text")).alias("h"))
+    return d.select("doc_id", F.size("h").alias("n"), F.md5(F.array_join("h", "|")).alias("halves_md5"))
+
+
+@query(r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS w FROM benchmark), x AS MATERIALIZED (SELECT w, lower(w) AS low FROM w), d AS MATERIALIZED (SELECT doc_id, text, lower(text) AS low FROM documents)
+SELECT doc_id, w AS label FROM d JOIN x ON contains(d.low, x.low) WHERE regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])' || w || '(?:$|[^\p{L}\p{N}_])')""")
+def scan_benchmark_words(spark, sf_dir):
+    """Every long word of the benchmark as a pattern: hundreds of them, of which a document meets those that it has letters of."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("label")).distinct()
+    patterns = words.select(F.pmod(F.xxhash64("label"), F.lit(2**31)).cast("int").alias("ord"), F.lit("concept").alias("kind"), "label", F.concat(F.lit(r"\b"), "label", F.lit(r"\b")).alias("pattern"), F.lit(None).cast("string").alias("gate"), F.lit(0.5).alias("sure"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    return scan.scan_patterns(docs, patterns).select("doc_id", "label")
+
+
+@query("""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, t, unnest(CASE WHEN t = '' THEN [] ELSE range(0, greatest(length(t) - 200, 1), 1800) END) AS start FROM t)
+SELECT doc_id, CAST(start // 1800 AS INTEGER) AS k, CAST(start AS INTEGER) AS start, md5(substr(t, start + 1, 2000)) AS piece_md5 FROM s""")
+def windows_lateral(spark, sf_dir):
+    """Windows of documents by a table function in SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT d.doc_id, w.k, w.start, md5(w.piece) AS piece_md5 FROM {docs} d, LATERAL text_windows(d.text, 2000, 200) w", docs=read(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS paper_id, l_linenumber AS ord, min(l_partkey) % 5 AS k, min(l_suppkey) % 3 AS f FROM lineitem GROUP BY ALL),
+x AS (SELECT *, CASE k WHEN 0 THEN 'Sparse Coding' WHEN 1 THEN 'SC' WHEN 2 THEN 'Motor Babble' WHEN 3 THEN 'SC and motor babble' ELSE 'page 3' END AS label FROM r),
+p AS (SELECT paper_id, bool_or(f = 0 AND k <> 4) AS known, bool_or(k = 0) AS has_long, bool_or(k = 1) AS has_short, bool_or(k = 2) AS motor FROM x GROUP BY 1),
+v AS (SELECT x.paper_id, x.ord, x.k, p.known, p.has_long, p.has_short, p.motor, min(x.ord) FILTER (WHERE x.k = 0) OVER w AS first_full, min(x.ord) FILTER (WHERE x.k = 1) OVER w AS first_short FROM x JOIN p USING (paper_id) WHERE x.k <> 4 WINDOW w AS (PARTITION BY x.paper_id))
+SELECT paper_id, CAST(ord AS INTEGER) AS ord, CASE WHEN k = 1 AND known THEN 'Sparse Coding' WHEN k = 0 THEN 'Sparse Coding' WHEN k = 1 THEN 'SC' WHEN k = 2 THEN 'Motor Babble' ELSE 'SC and motor babble' END AS label,
+  CASE WHEN known AND has_short AND ((k = 0 AND ord = first_full) OR (k = 1 AND NOT has_long)) THEN 'SC' ELSE '' END AS aliases
+FROM v WHERE NOT (k = 1 AND known AND (has_long OR ord <> first_short)) AND NOT (k = 3 AND motor AND CASE WHEN known THEN has_long OR has_short ELSE has_short END)""")
+def post_processed_concepts(spark, sf_dir):
+    """Lines of orders as concepts: a short form that a context explains is an alias of its long form, and a compound of two concepts goes."""
+    line = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    label = F.get(F.array(*map(F.lit, ("Sparse Coding.", "SC", "Motor  Babble", "SC and motor babble", "page 3"))), (F.col("l_partkey") % 5).cast("int"))
+    c = line.select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("ord"), label.alias("label"), F.when(F.col("l_suppkey") % 3 == 0, "they use Sparse Coding (SC) here").otherwise("nothing").alias("context"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("aliases"))
+    return concepts.post_processed(c).select("paper_id", "ord", "label", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), ",").alias("aliases"))

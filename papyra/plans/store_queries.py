@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round4
 from ..functions.text import claim_terms
-from ..operators import dedup, entities, extraction, graph_build, merge, papers, text_rules
+from ..operators import dedup, entities, extraction, graph_build, merge, papers, scan, text_rules
 from ..sources import tables
 from .registry import query, read
 
@@ -194,9 +194,10 @@ _SCAN = [("Idiot", r"\bidiots?\b", None), ("Address", r"https?://", None), ("Lon
 WITH p AS (SELECT unnest(['Idiot', 'Address', 'Long number', 'License']) AS label, unnest(['(?:^|[^\\p{L}\\p{N}_])idiots?(?:$|[^\\p{L}\\p{N}_])', 'https?://', '[0-9]{6,}', 'licen[cs]ed? under']) AS pattern, unnest([FALSE, FALSE, TRUE, TRUE]) AS gated)
 SELECT doc_id, label FROM documents, p WHERE regexp_matches(text, '(?i)' || pattern) AND (NOT gated OR contains(text, '@'))""")
 def scan_vocabulary(spark, sf_dir):
-    """A vocabulary's patterns in documents, two of them in texts with an address only, with what stands around."""
-    d = read(spark, sf_dir, "documents")
-    return extraction.scan(d, _SCAN, {"mail": F.contains("body", F.lit("@"))}).filter("length(context) > 0").select("doc_id", "label")
+    """A vocabulary's patterns in documents, two of them in texts with an address only."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    patterns = spark.createDataFrame([(i, "concept", label, p, gate, 0.5) for i, (label, p, gate) in enumerate(_SCAN)], scan.PATTERNS)
+    return scan.scan_patterns(d.withColumn("gate_mail", F.contains("body", F.lit("@"))), patterns).select("doc_id", "label")
 
 
 @query("SELECT p_partkey, upper(left(p_name, 1)) || 'la Beta (' || upper(left(p_name, 1)) || 'B)' AS text, upper(left(p_name, 1)) || 'la Beta' AS long, upper(left(p_name, 1)) || 'B' AS short FROM part")
@@ -206,7 +207,7 @@ def acronyms(spark, sf_dir):
     a = F.upper(F.substring("p_name", 1, 1))
     said = F.concat(a, F.lit("la Beta ("), a, F.lit("B)"))
     rows = p.select("p_partkey", said.alias("text"), F.concat(F.lit("x the "), said, F.lit(" and Journal of Kinds (JK)")).alias("t"))
-    return rows.select("p_partkey", "text", F.inline(extraction.acronyms(F.col("t"))))
+    return rows.select("p_partkey", "text", F.inline(F.transform(scan.acronym_pairs(F.col("t")), lambda x: F.struct(x["long"].alias("long"), x["short"].alias("short")))))
 
 
 @query("""
