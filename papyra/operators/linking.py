@@ -43,6 +43,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= SMALL_BYTES else df
 
 
+def in_blocks(df: DataFrame, key: str) -> list[DataFrame]:
+    """df in as many parts as it takes for each to be small, each with a broadcast hint: a stated set of rows that meets all rows of another table without a join key, one scan of that table a part."""
+    n = max(1, -(-size_of(df) // SMALL_BYTES))
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n))
+    return [F.broadcast(df.filter(part == i) if n > 1 else df) for i in range(n)]
+
+
 def resolve(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """entities (label, ...) with canonical_id, match_type: by normalised alias; the last alias row (ord) of a key wins; else new."""
     index = aliases.groupBy(normal_key(F.col("alias")).alias("_key")).agg(F.max_by("canonical_id", "ord").alias("canonical_id"))

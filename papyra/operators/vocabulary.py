@@ -17,14 +17,14 @@ from ..functions.scalars import dot
 from ..functions.text import before_references
 from .entities import repaired_mentions, tight_key
 from .extraction import is_noise, truncated_label
-from .linking import resolve, review_status, small, text_confidence
+from .linking import in_blocks, resolve, review_status, small, text_confidence
 
 
 def linked(entities: DataFrame, terms: DataFrame, *, least: float = 0.85) -> DataFrame:
     """entities (id, label, v) with term_id and link_score: the external term (term_id, key, display_name, aliases, ord, v) of just this key, else of its normal form, else by display name or alias (each the first by ord), else the nearest by cosine from ``least`` on.
 
     The three exact ways are one equi-join on normal keys; only what they leave open meets the
-    vectors of the terms, a vocabulary whose size is checked.
+    vectors of the terms, in blocks of a measured size.
     """
     names = F.array_union(F.array("key", "display_name"), F.coalesce("aliases", F.array().cast("array<string>")))
     ways = F.transform(names, lambda n, i: F.struct(tight_key(n).alias("k"), F.when(i == 0, 0).otherwise(1).alias("way")))
@@ -32,7 +32,8 @@ def linked(entities: DataFrame, terms: DataFrame, *, least: float = 0.85) -> Dat
     rows = entities.withColumn("_k", tight_key(F.col("label"))).join(small(index), F.col("_k") == F.col("k"), "left").drop("k", "_k")
     unit = lambda c: F.transform(c.cast("array<double>"), lambda x: x / F.sqrt(dot(c, c)))
     open_ = rows.filter("_exact is null and v is not null").select("id", unit(F.col("v")).alias("a"))
-    near = open_.join(small(terms.filter("v is not null").select("term_id", "ord", unit(F.col("v")).alias("b"))))
+    known = terms.filter("v is not null").select("term_id", "ord", unit(F.col("v")).alias("b"))
+    near = reduce(DataFrame.union, [open_.join(t) for t in in_blocks(known, "term_id")])
     best = near.withColumn("s", dot(F.col("a"), F.col("b"))).filter(F.col("s") >= least).groupBy("id").agg(F.max(F.struct("s", (-F.col("ord")).alias("o"), "term_id")).alias("m"))
     out = rows.join(best.select(F.col("id").alias("_id"), "m"), F.col("id") == F.col("_id"), "left")
     return out.select(*entities.columns, F.coalesce("_exact", "m.term_id").alias("term_id"), F.when(F.col("_exact").isNotNull(), 1.0).otherwise(F.col("m.s")).alias("link_score"))

@@ -8,6 +8,7 @@ from ..functions.scalars import dot, round4
 from ..operators import dedup, linking, retrieval
 from ..shared import shared_folder
 from ..streaming import events as streams
+from ..streaming import jobs
 from .registry import query, read
 
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
@@ -141,3 +142,18 @@ SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id,
 def event_sessions(spark, sf_dir):
     """Bursts of a user's events, two hours apart."""
     return streams.sessions(read(spark, sf_dir, "events"), gap="2 hours")
+
+
+@query("""
+WITH e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS job_id, user_id AS paper_id, CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status, ts, event_id FROM events),
+s AS (SELECT job_id, paper_id, arg_max(status, {'t': ts, 'e': event_id}) AS status, count(*) FILTER (WHERE status = 'processing') AS attempts FROM e GROUP BY ALL)
+SELECT *, CASE WHEN ends_with(job_id, '3') THEN 'superseded' WHEN status = 'completed' THEN 'skip' WHEN paper_id % 7 = 0 THEN 'fail' WHEN status = 'failed' AND attempts >= 2 THEN 'give_up' WHEN status = 'failed' THEN 'retry' ELSE 'run' END AS action FROM s""")
+def job_plan(spark, sf_dir):
+    """What resumed jobs have to do: each day is a job, users are its papers, events what has become of them."""
+    e = read(spark, sf_dir, "events")
+    kinds = {"view": "processing", "click": "processing", "purchase": "completed", "error": "failed"}
+    status = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()], F.lit("queued"))
+    log = e.select(F.to_date("ts").cast("string").alias("job_id"), F.col("user_id").alias("paper_id"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
+    requests = log.select("job_id", "paper_id", F.when(F.col("paper_id") % 7 != 0, F.concat(F.lit("/"), "paper_id")).alias("pdf_path"), F.col("seq").alias("ord"))
+    gone = log.select("job_id", F.when(F.endswith("job_id", F.lit("3")), "superseded").otherwise("processing").alias("status")).distinct()
+    return jobs.planned(requests, log, gone, most=2).select("job_id", "paper_id", "status", "attempts", "action")

@@ -114,3 +114,17 @@ def test_small_is_a_matter_of_bytes(spark):
     assert size_of(many) < SMALL_BYTES and "ResolvedHint" in small(many)._jdf.queryExecution().analyzed().toString()
     odd = spark.createDataFrame([(None, [["a", None]], {"k": 1.0}, (1, "x"))], "a string, b array<array<string>>, c map<string,double>, d struct<e:int,f:string>")
     assert 0 < size_of(odd) < 300 and size_of(odd.limit(0)) == 0
+
+
+def test_queries_meet_vectors_in_blocks(spark, monkeypatch):
+    from papyra.operators import linking
+    from papyra.operators.retrieval import vector_topk
+
+    r = random.Random(2)
+    rows = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "id int, v array<double>")
+    one = sorted(map(tuple, vector_topk(rows, rows.filter("id < 20"), k=3).select("query_id", "rank", "id").collect()))
+    monkeypatch.setattr(linking, "SMALL_BYTES", 500)
+    blocks = linking.in_blocks(rows.filter("id < 20"), "id")
+    assert len(blocks) > 2 and sum(b.count() for b in blocks) == 20
+    many = vector_topk(rows, rows.filter("id < 20"), k=3)
+    assert sorted(map(tuple, many.select("query_id", "rank", "id").collect())) == one
