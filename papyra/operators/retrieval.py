@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.scalars import dot, round4
 from ..functions.text import LOW_SIGNAL, query_tokens
+from ..shared import spread
 from .linking import in_blocks
 from .search_index import BUCKETS, SearchIndex, build, token_list
 
@@ -44,7 +45,7 @@ def document_frequency(docs: DataFrame, text: Column) -> DataFrame:
         if held:
             yield sent()
 
-    df = docs.select(text.alias("text")).mapInArrow(count, "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    df = spread(docs.select(text.alias("text"))).mapInArrow(count, "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
     n = docs.agg(F.count("*").alias("n"))  # one row
     return df.crossJoin(F.broadcast(n)).select("token", "df", (1.0 + F.log((F.col("n") + 1.0) / (F.col("df") + 1.0))).alias("idf"))
 

@@ -7,7 +7,7 @@ Two tables in one folder, both cut into folders by a hash of the token and sorte
 so that a query reads the folders of its few tokens and, in their files, the row groups that may
 hold them; texts aren't read. ``key`` is what document frequencies count (a paper for all of its
 units), ``pos`` the place of a token among the field's distinct tokens. Postings are dealt out by
-size when they are written (rebalance), so a token of every text is split over many files.
+bucket and unit when they are written, so a token of every text is split over several files.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import STOPWORDS, TOKEN, plain_tokens, query_tokens
+from ..shared import spread
 from .linking import small
 
 #: Folders by token; one of them is read for each token of a query. More for larger corpora.
 BUCKETS = 16
+#: Files of a bucket.
+PARTS = 4
 #: Postings in one Arrow batch.
 BATCH = 200_000
 
@@ -84,24 +87,26 @@ def _postings(units: DataFrame) -> DataFrame:
             if tokens:
                 yield full()
 
-    return units.select("key", "unit", "fields").mapInArrow(run, f"token string, key {kinds['key'].simpleString()}, unit {kinds['unit'].simpleString()}, field int, pos int")
+    return spread(units.select("key", "unit", "fields")).mapInArrow(run, f"token string, key {kinds['key'].simpleString()}, unit {kinds['unit'].simpleString()}, field int, pos int")
 
 
-def build(units: DataFrame, path: str, *, buckets: int = BUCKETS, single: bool = False) -> SearchIndex:
+def build(units: DataFrame, path: str, *, buckets: int = BUCKETS, parts: int = PARTS, single: bool = False) -> SearchIndex:
     """Writes the index of units (key, unit, fields) to a folder that all executors share, and opens it.
 
-    single: each key has one unit of one field, so a token's postings are its keys.
+    single: each key has one unit of one field, so a token's postings are its keys. parts: files of
+    one bucket, by unit, so that a token of all units is split over as many tasks.
 
     Null texts and null lists of fields have no tokens; units of a null key are counted as one more
     key. Repeated units are repeated in the index and score once each.
     """
     spark = units.sparkSession
     rows = _postings(units).withColumn("bucket", bucket_of(F.col("token"), buckets))
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    part = F.pmod(F.xxhash64(F.col("unit").cast("string") if not units.schema["unit"].dataType.typeName() == "struct" else F.to_json("unit")), F.lit(parts))
+    rows.repartition("bucket", part).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     keys = stored.select("bucket", "token", "key")
     counted = (keys if single else keys.distinct()).groupBy("bucket", "token").agg(F.count("*").alias("df"))
-    counted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/terms")
+    counted.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/terms")
     units.agg(F.count_distinct("key").alias("keys"), F.count_if(F.col("key").isNull()).alias("nulls"), F.count("*").alias("units")).select((F.col("keys") + (F.col("nulls") > 0).cast("long")).alias("keys"), "units", F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
     return SearchIndex(spark, path)
 

@@ -31,6 +31,14 @@ def _index(spark, sf_dir):
     return derived(spark, sf_dir, "documents", lambda path: retrieval.lexical_index(read(spark, sf_dir, "documents"), path))
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, unnest(list_distinct({_tokens("text")})) AS token FROM documents)
+SELECT token, count(*) AS df, round(1.0 + ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)), 4) AS idf FROM t GROUP BY token""")
+def index_terms(spark, sf_dir):
+    """The vocabulary of the stored index, which is built here if no other query has."""
+    return _index(spark, sf_dir).document_frequency().select("token", "df", round4(F.col("idf")).alias("idf"))
+
+
 SEARCH = "thtion anea models ererth"
 _SCORED = f"""
 d AS (SELECT doc_id, list_distinct({_tokens("text")}) AS own FROM documents),

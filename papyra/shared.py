@@ -29,3 +29,9 @@ def kept(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where it has fewer: a file of one row group is one task, whatever its splits. Tables of a cluster's size have more and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

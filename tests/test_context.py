@@ -118,3 +118,14 @@ def test_letters_are_repaired(spark):
     assert [r for r in rows.select("want", transcoded(F.col("said")).alias("got")).collect() if r["want"] != r["got"]] == []
     got = spark.createDataFrame([("TD(Î»), TD(λ), Â±, ﬁt—x­y",)], "s string").select(scientific_text(F.col("s")).alias("s")).first()["s"]
     assert got == "TD(lambda), TD(lambda), ±, fit-xy"
+
+
+def test_what_a_survey_contributes_is_one_method(spark):
+    from papyra.operators.entities import SURVEY_NAME, merged_methods
+
+    schema = "paper_id string, ord int, label string, canonical_label string, aliases array<string>, description string, evidence_span string, context string, confidence double, review_status string, source_type string"
+    row = lambda p, k, label, text, source="paper_contribution": (p, k, label, None, None, text, None, None, 0.7, "pending", source)
+    m = spark.createDataFrame([row("s", 1, "A taxonomy of emotion", "d"), row("s", 2, "Overview", "affect in agents"), row("s", 3, "Taxonomy of emotion", "d", "baseline"), row("r", 1, "A taxonomy of emotion", "d")], schema)
+    papers = spark.createDataFrame([("s", "survey"), ("r", "research")], "paper_id string, paper_type string")
+    got = {(r["paper_id"], r["label"]): r["aliases"] for r in merged_methods(m, papers).collect()}
+    assert got == {("s", SURVEY_NAME): ["A taxonomy of emotion", "Overview"], ("s", "Taxonomy of emotion"): [], ("r", "A taxonomy of emotion"): []}
