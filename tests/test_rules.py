@@ -265,12 +265,13 @@ def test_sources(spark, tmp_path):
 
 
 def test_scan_and_acronyms(spark):
-    from papyra.operators.extraction import acronyms, context_around, scan
+    from papyra.operators.scan import PATTERNS, acronym_pairs, body_of, context_for, scan_patterns
 
     text = "First words. We use Deep Reinforcement Learning (DRL) in a robot. Then more follows here."
-    r = one(spark, a=acronyms(F.lit(text + " The Journal of Kinds (JK) and Deep nets (XY).")), c=context_around(F.lit(text), F.lit(14), F.lit(15)))
+    r = one(spark, a=acronym_pairs(F.lit(text + " The Journal of Kinds (JK) and Deep nets (XY).")), c=context_for(F.lit(text), F.lit(13), F.lit(15)))
     assert [(x["long"], x["short"]) for x in r["a"]] == [("Deep Reinforcement Learning", "DRL")]
     assert r["c"] == "We use Deep Reinforcement Learning (DRL) in a robot."
-    docs = spark.createDataFrame([(1, text + "\nReferences\nSARSA"), (2, "sarsa and robots"), (3, None)], "doc_id long, text string")
-    found = scan(docs, [("SARSA", r"\bSARSA\b", None), ("Robot", r"\brobots?\b", "deep")], {"deep": F.contains("body", F.lit("deep"))})
+    docs = spark.createDataFrame([(1, text + "\nReferences\nSARSA"), (2, "sarsa and robots"), (3, None)], "doc_id long, text string").select("doc_id", body_of(F.col("text")).alias("body"))
+    patterns = spark.createDataFrame([(0, "concept", "SARSA", r"\bSARSA\b", None, 0.7), (1, "concept", "Robot", r"\brobots?\b", "deep", 0.7)], PATTERNS)
+    found = scan_patterns(docs.withColumn("gate_deep", F.contains(F.lower("body"), F.lit("deep"))), patterns)
     assert sorted((x["doc_id"], x["label"]) for x in found.collect()) == [(1, "Robot"), (2, "SARSA")]
