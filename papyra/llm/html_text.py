@@ -63,10 +63,12 @@ NEVER = words("script style noscript template title meta link base svg canvas if
 FURNITURE_TAGS = words("nav footer aside search form header")
 FURNITURE_ROLES = words("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist status")
 #: Names of things that may stand around an article: they don't count for an element that holds the page's article.
-AROUND = words("nav navbar navigation menu menus breadcrumb breadcrumbs masthead header footer sidebar sidebars banner banners notice notices notification notifications search searchbox login signin signup subscribe subscription newsletter toolbar topbar pager pagination social share sharing widget widgets modal popup overlay cookie cookies consent gdpr copyright alert alerts promo promos promotion form skip")
+AROUND = words("nav navbar navigation menu menus breadcrumb breadcrumbs masthead header footer sidebar sidebars banner banners notice notices notification notifications search searchbox login signin signup subscribe subscription newsletter toolbar topbar pager pagination social share sharing widget widgets modal popup overlay cookie cookies consent gdpr copyright alert alerts promo promos promotion form skip bar aside foot")
 #: Names of things that count wherever they stand.
-ALWAYS = words("ad ads adbox adsense adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors comment comments commentlist disqus respond reply replies discussion related recommended recommendations outbrain taboola")
-STEMS = re.compile(r"(?:nav|navbar|menu|footer|sidebar|comments|breadcrumbs?|banner)$|^(?:advert|cookie|sponsor|comment|sidebar|breadcrumb|newsletter)")
+ALWAYS = words("ad ads adbox adsense adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors comment comments commentlist disqus reply replies outbrain taboola")
+#: Names of things that count together with what they are of: a list of other pages, not a section on related work.
+OTHERS, PAGES = words("related recommended recommendation recommendations more"), words("post posts article articles link links story stories news reading")
+STEMS = re.compile(r"(?:nav|navbar|menu|footer|sidebar|comments|breadcrumbs?|banner)$|^(?:advert|cookie|sponsor|sidebar|breadcrumb|newsletter)")
 #: Before such a word a name says that the thing is elsewhere on the page.
 ABOUT_OTHERS = words("has with no without is not hide show")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -194,8 +196,11 @@ def is_furniture(node: Node, in_article: bool, half: int) -> bool:
     a = _attributes(node) if node.attributes else {}
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "")):
         return True
-    names = list(_names(a)) if "class" in a or "id" in a else ()
-    if any(n in ALWAYS or n.startswith(("advert", "sponsor", "comment")) or n.endswith("comments") for n in names):
+    # A heading's id is an anchor that its own words have given.
+    names = list(_names(a)) if ("class" in a or "id" in a) and node.tag not in HEADINGS else ()
+    if any(n in ALWAYS or n.startswith(("advert", "sponsor")) or n.endswith("comments") for n in names):
+        return True
+    if OTHERS.intersection(names) and PAGES.intersection(names):
         return True
     by_tag = node.tag in FURNITURE_TAGS and not (node.tag == "header" and in_article)
     by_role = a.get("role", "").lower() in FURNITURE_ROLES

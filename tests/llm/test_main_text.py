@@ -34,6 +34,10 @@ LAYOUTS = {
     "unclosed": (f"<title>x</title><ul>{MENU}</ul><article><h1>Sand</h1>" + "".join(f"<p><b>{t}<br>" for t in TEXT), joined("Sand", *TEXT)),
     "line breaks": (f"<div><ul>{MENU}</ul></div><div>{'<br><br>'.join(TEXT)}</div>", joined(*TEXT)),
     "hidden": (f'<article><p>{TEXT[0]}</p><p hidden>no</p><p style="display: none">no</p><div aria-hidden="true">no</div><noscript>no</noscript><p>{TEXT[1]}</p></article>', joined(*TEXT[:2])),
+    "sections named like furniture": (
+        f'<article class="commentary"><h1>Sand</h1><h2 id="menu">Menu of sands</h2><section id="discussion"><p>{TEXT[0]}</p></section><section id="related-work"><p>{TEXT[1]}</p></section><div class="related-posts"><p>{TEXT[2]}</p></div><div class="top-bar">Sign</div><div class="no-ads">Kept.</div></article>',
+        joined("Sand", "Menu of sands", TEXT[0], TEXT[1], "Kept."),
+    ),
     "main": (f'<div role="navigation">{MENU}</div><main><section><h2>One</h2>{P}</section><section><h2>Two</h2><p>Short.</p></section></main>', joined("One", *TEXT, "Two", "Short.")),
 }
 
