@@ -196,8 +196,8 @@ def sentences(spark, sf_dir):
 
 @query("""
 WITH x AS (SELECT doc_id, regexp_replace(text, 'https?://[^ ]*', 'loss function', 'g') AS t FROM documents)
-SELECT doc_id, kind FROM (SELECT doc_id, unnest([CASE WHEN regexp_matches(lower(t), '\\b(equation|formula)\\b|\\$[^$]{1,300}\\$|\\\\\\[(?s:.){1,600}?\\\\\\]|\\\\begin\\{equation\\}') THEN 'formula' END, CASE WHEN regexp_matches(lower(t), '\\b(loss function|objective function)\\b|\\barg\\s*max\\b|\\barg\\s*min\\b') THEN 'optimization_objective' END, CASE WHEN regexp_matches(lower(t), '\\btable\\s+[0-9]+\\b') THEN 'table' END, CASE WHEN regexp_matches(lower(t), '\\b(bayesian|probabilistic)\\b|\\bp\\s*\\(\\s*[^)]+\\s*\\)') THEN 'probabilistic_model' END, CASE WHEN regexp_matches(lower(t), '\\b(theorem|proof)\\b') THEN 'theorem' END]) AS kind FROM x) WHERE kind IS NOT NULL""")
+SELECT doc_id, kind FROM (SELECT doc_id, unnest([CASE WHEN regexp_matches(lower(t), '\\b(equation|formula)\\b|\\$[^$]{1,300}\\$|\\\\\\[(?s:.){1,600}?\\\\\\]|\\\\begin\\{equation\\}') THEN 'formula' END, CASE WHEN regexp_matches(lower(t), '\\b(loss function|objective function)\\b|\\barg\\s*max\\b|\\barg\\s*min\\b') THEN 'optimization_objective' END, CASE WHEN regexp_matches(lower(t), '\\btable\\s+[0-9]+\\b') THEN 'table' END, CASE WHEN regexp_matches(lower(t), '\\b(bayesian|probabilistic)\\b|\\bp\\s*\\(\\s*[^)]+\\s*\\)') THEN 'probabilistic_model' END, CASE WHEN regexp_matches(lower(t), '\\b(theorem|proof)\\b') THEN 'theorem' END, CASE WHEN regexp_matches(lower(t), '\\breward function\\b|\\br\\s*\\(\\s*s\\s*,\\s*a') THEN 'reward_function' END, CASE WHEN regexp_matches(lower(t), '\\bvalue function\\b|\\bv\\s*\\(\\s*s\\s*\\)|\\bq\\s*\\(\\s*s\\s*,\\s*a\\s*\\)') THEN 'value_function' END]) AS kind FROM x) WHERE kind IS NOT NULL""")
 def math_content(spark, sf_dir):
     """Kinds of mathematical content of texts, whose addresses speak of a loss function here."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "https?://[^ ]*", "loss function").alias("t"))
-    return d.select("doc_id", F.explode(extraction.math_content(F.col("t"))).alias("kind")).filter("kind not in ('reward_function', 'value_function')")
+    return d.select("doc_id", F.explode(extraction.math_content(F.col("t"))).alias("kind"))

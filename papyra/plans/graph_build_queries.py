@@ -104,10 +104,13 @@ def graph_related(spark, sf_dir):
 
 
 @query(f"""
-WITH {_EXTRACTIONS}
-SELECT (SELECT count(*) FROM orders) AS papers_seen, (SELECT count(*) FROM orders) + (SELECT count(DISTINCT l_partkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey) + (SELECT count(DISTINCT paper_id) FROM e WHERE NOT known) AS papers_written,
+WITH {_EXTRACTIONS},
+l AS (SELECT l_orderkey, l_linenumber, 'concept:part-kind-' || (l_partkey % 40) AS src, first_value('concept:part-kind-' || (l_partkey % 40)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem),
+c AS (SELECT id, node_id FROM e WHERE role = 'concept'),
+d AS (SELECT DISTINCT src, l_linenumber % 2 AS relation, dst FROM l WHERE src <> dst AND l_linenumber <> 5 AND (l_orderkey, src) IN (SELECT id, node_id FROM c) AND (l_orderkey, dst) IN (SELECT id, node_id FROM c))
+SELECT (SELECT count(*) FROM d) AS relation_edges, (SELECT count(*) FROM orders) AS papers_seen, (SELECT count(*) FROM orders) + (SELECT count(DISTINCT l_partkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey) + (SELECT count(DISTINCT paper_id) FROM e WHERE NOT known) AS papers_written,
   (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) AS citation_edges, count(DISTINCT node_id) FILTER (WHERE role = 'concept') AS concept_nodes, count(DISTINCT node_id) FILTER (WHERE role = 'method') AS method_nodes,
   count(*) FILTER (WHERE role = 'concept') AS concept_edges, count(*) FILTER (WHERE role = 'method') AS method_edges FROM e""")
 def graph_stats(spark, sf_dir):
     p = _papers(spark, sf_dir)
-    return graph_build.stats(_graph(spark, sf_dir), p).drop("relation_edges")
+    return graph_build.stats(_graph(spark, sf_dir), p)

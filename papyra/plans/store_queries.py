@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round4
-from ..functions.text import claim_terms
+from ..functions.text import CLAIM_STOP, claim_terms
 from ..operators import dedup, entities, extraction, graph_build, merge, papers, scan, text_rules
 from ..sources import tables
 from .registry import query, read
@@ -235,11 +235,15 @@ def global_merge(spark, sf_dir):
     return counts.crossJoin(n.agg(F.count("*").alias("n_nodes"))).select("records_seen", "records_unique", "n_nodes", "edges_written")
 
 
-@query("SELECT conv_id, turn, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_-]{3,}'))) >= 0 AS ok, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 END + turn % 3 AS INTEGER) AS score FROM conversations")
+_TERMS = f"""len(list_distinct(list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_-]{{2,}}'), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(repr(w) for w in CLAIM_STOP)})),
+  lambda w: CASE WHEN length(w) > 5 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END)))"""
+
+
+@query(f"SELECT conv_id, turn, CAST({_TERMS} AS INTEGER) AS n_terms, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 END + CASE WHEN coalesce(role, '') = '' THEN 0 ELSE 1 END + {_TERMS} AS INTEGER) AS score FROM conversations")
 def payload_scores(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    lists = F.slice(F.array(*map(F.lit, "ab")), 1, (F.col("turn") % 3).cast("int"))
-    return c.select("conv_id", "turn", (F.size(claim_terms(F.coalesce("text", F.lit("")))) >= 0).alias("ok"), papers.payload_score([lists], [F.col("text"), F.lit(0), F.lit("")]).alias("score"))
+    """Turns as payloads: their telling words are a list of items, text and role are fields that may be filled."""
+    c = read(spark, sf_dir, "conversations").withColumn("terms", claim_terms(F.coalesce("text", F.lit(""))))
+    return c.select("conv_id", "turn", F.size("terms").alias("n_terms"), papers.payload_score([F.col("terms")], [F.col("text"), F.col("role")]).alias("score"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(p_name, '[ \\t\\r\\n]+', ' ', 'g')) AS label, 'concept:' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS id FROM part")
