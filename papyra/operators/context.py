@@ -3,7 +3,8 @@
 A text speaks of an entity if it has one of its phrases, or enough of its telling words. Both are
 looked for as parts of the text, so pairs of an entity and a text are found by blocks of four
 letters: the first four of a phrase or telling word must be in the text. Only pairs of one paper
-that share a block are compared.
+that share a block are compared. Blocks of a text are many times its size, so only papers of more
+than MANY entities are cut into blocks; in a smaller paper each entity meets each text.
 
 Entities are rows as in ``entities``: paper_id, ord, label, canonical_label, canonical_id,
 entity_type, review_status, aliases, evidence_span, context, description, section.
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window as W
 from ..functions.recovery import scientific_text
 from ..functions.scalars import first_filled
 from .entities import entity_text, labels, one_per_id, tight_key
+from .linking import small
 
 # Words of labels that say little of what a text is about.
 GENERIC_WORDS = "action agent agents based concept emotion emotional function functions learning method methods model models network networks neural quantum reinforcement state states system systems theory used".split()
@@ -70,6 +72,8 @@ GENERIC = (
     ("USES", ("System", "ModelArchitecture", "MethodFamily"), ("Algorithm", "MethodFamily", "ModelArchitecture"), ("uses", "using", "based on", "built on", "powered by", "implemented with", "integrates", "applies", "leverages", "incorporates", "llm-based", "ai-based"), False),
     ("MEASURES", ("Metric",), AIMS, ("measure", "measures", "metric", "score", "rate", "assess", "assesses", "evaluate", "quantify", "risk", "error"), False),
 )
+#: Entities of a paper up to which its entities and texts meet without blocks.
+MANY = 64
 #: Letters of a block, and terms that are shorter.
 BLOCK = 4
 SHORT = tuple(t for more in (MORE_PHRASES, MORE_WORDS) for ts in more.values() for t in ts if len(t) < BLOCK)
@@ -85,9 +89,24 @@ def _of_key(table: dict[str, tuple[str, ...]], key: Column) -> Column:
     return F.coalesce(F.try_element_at(found, key), _none())
 
 
+def _low(text: Column) -> Column:
+    """scientific_text(), lower-cased. ASCII is as it was, so only other texts are sent to Python."""
+    wide = text.rlike("[^\\x00-\\x7F]")
+    return F.lower(F.when(wide, scientific_text(F.when(wide, text))).otherwise(text))
+
+
 def _normal(texts: Column) -> Column:
-    """scientific_text() of each text of an array, lower-cased; Python functions take no lambda's variable, so they go as one text."""
-    return F.split(F.lower(scientific_text(F.array_join(texts, "\x1f"))), "\x1f")
+    """_low() of each text of an array; Python functions take no lambda's variable, so they go as one text."""
+    return F.split(_low(F.array_join(texts, "\x1f")), "\x1f")
+
+
+def _by_size(entities: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """entities of papers with MANY at most, and of others if there are any."""
+    crowded = entities.groupBy("paper_id").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select("paper_id")
+    if crowded.isEmpty():
+        return entities, None
+    crowded = small(crowded)
+    return entities.join(crowded, "paper_id", "left_anti"), entities.join(crowded, "paper_id", "left_semi")
 
 
 def with_terms(entities: DataFrame) -> DataFrame:
@@ -121,8 +140,8 @@ def _blocks(text: Column) -> Column:
 
 def texts_of(entities: DataFrame) -> DataFrame:
     """paper_id, text, low of the entities' texts of each paper, once each; low is normalised."""
-    rows = entities.select("paper_id", entity_text().alias("text")).filter("text <> ''").distinct()
-    return rows.withColumn("low", F.lower(scientific_text(F.col("text"))))
+    rows = entities.select("paper_id", entity_text().alias("text")).filter("text <> ''").repartition("paper_id").distinct()
+    return rows.withColumn("low", _low(F.col("text")))
 
 
 def spoken_of(entities: DataFrame, texts: DataFrame) -> DataFrame:
@@ -145,32 +164,86 @@ def relation_terms(kind: Column, subject_key: Column, object_key: Column) -> Col
 
 
 def _first_of_id(entities: DataFrame) -> DataFrame:
-    """with_terms() of the first entity of each id of a paper."""
+    """The first entity of each id of a paper."""
     known = entities.filter(F.coalesce("canonical_id", F.lit("")) != "")
-    rest = [c for c in known.columns if c not in ("paper_id", "canonical_id")]
-    first = known.groupBy("paper_id", "canonical_id").agg(F.min_by(F.struct(*rest), "ord").alias("e")).select("paper_id", "canonical_id", "e.*")
-    return with_terms(first.withColumn("_text", entity_text()))
+    parts = F.struct("label", "canonical_label", "aliases", entity_text().alias("_text"))
+    return known.groupBy("paper_id", "canonical_id").agg(F.min_by(parts, "ord").alias("e")).select("paper_id", "canonical_id", "e.*")
 
 
-def relation_evidence(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """relations (paper_id, subject_id, relation_type, object_id) with evidence: of the texts of the paper's entities that speak of both ends the best (three more for a word of the relation; then the longest, then the last in order), else an end's own text, cut to 360 characters.
+_KEYS = ("paper_id", "subject_id", "relation_type", "object_id")
 
-    A relation meets only texts that speak of its subject, and of those the ones that speak of its
-    object. Relations with an end that is no entity of their paper are left out.
-    """
-    e = _first_of_id(entities)
-    keys = ["paper_id", "subject_id", "relation_type", "object_id"]
+
+def _own_text() -> Column:
+    """What stands for evidence where no text speaks of both ends."""
+    turned = F.col("relation_type").isin("REPRODUCES", "EVALUATED_ON")
+    return first_filled(F.when(turned, F.col("_object._text")).otherwise(F.col("_subject._text")), F.when(turned, F.col("_subject._text")).otherwise(F.col("_object._text")), F.concat_ws(" ", "_subject.label", "_object.label"))
+
+
+def _rank(score: Column) -> Column:
+    """How good a text is for a relation, by which the greatest is taken."""
+    speaks = F.exists(relation_terms(F.col("relation_type"), F.col("_subject._key"), F.col("_object._key")), lambda t: F.contains("low", t))
+    return F.struct((score + F.when(speaks, 3).otherwise(0)).alias("s"), F.length("text").alias("n"), "text")
+
+
+def _evidence(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relation_evidence() in papers of few entities: a relation, which carries the terms of its ends, meets the texts of its paper."""
+    side = lambda c, subject: F.struct(F.col(c).alias("canonical_id"), F.lit(subject).alias("_is"))
+    ends = relations.select(*_KEYS).distinct().select(*_KEYS, F.inline(F.array(side("subject_id", True), side("object_id", False))))
+    e = with_terms(ends.join(_first_of_id(entities), ["paper_id", "canonical_id"]))
+    end = F.struct("_text", "_key", "label", "_phrases", "_words", "_anchors")
+    keyed = e.groupBy(*_KEYS).agg(F.any_value(F.when(F.col("_is"), end), True).alias("_subject"), F.any_value(F.when(~F.col("_is"), end), True).alias("_object")).filter("_subject is not null and _object is not null")
+    met = keyed.join(texts_of(entities), "paper_id", "left")
+    a, b = (match_score(F.col("low"), F.col(f"{c}._phrases"), F.col(f"{c}._words"), F.col(f"{c}._anchors")) for c in ("_subject", "_object"))
+    scored = met.select(*_KEYS, "_subject", "_object", "text", "low", a.alias("_a"), b.alias("_b"))
+    ranked = F.when((F.col("_a") > 0) & (F.col("_b") > 0), _rank(F.col("_a") + F.col("_b")))
+    best = scored.select(*_KEYS, ranked.alias("_r"), _own_text().alias("_own")).groupBy(*_KEYS).agg(F.max("_r").alias("b"), F.any_value("_own").alias("_own"))
+    return best.select(*_KEYS, F.substring(F.coalesce("b.text", "_own"), 1, 360).alias("evidence"))
+
+
+def _evidence_by_blocks(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relation_evidence() in papers of many entities: a relation meets only texts that speak of its subject, and of those the ones that speak of its object."""
+    e = with_terms(_first_of_id(entities))
+    keys = list(_KEYS)
     end = lambda side: e.select("paper_id", F.col("canonical_id").alias(f"{side}_id"), F.struct("_text", "_key", "label").alias(f"_{side}"))
     keyed = relations.select(*keys).distinct().join(end("subject"), ["paper_id", "subject_id"]).join(end("object"), ["paper_id", "object_id"])
     spoken = spoken_of(e, texts_of(entities))
     a = spoken.select("paper_id", F.col("target").alias("subject_id"), "text", "low", F.col("score").alias("_a"))
     b = spoken.select("paper_id", F.col("target").alias("object_id"), "text", F.col("score").alias("_b"))
     met = keyed.join(a, ["paper_id", "subject_id"]).join(b, ["paper_id", "object_id", "text"])
-    speaks = F.exists(relation_terms(F.col("relation_type"), F.col("_subject._key"), F.col("_object._key")), lambda t: F.contains("low", t))
-    best = met.groupBy(*keys).agg(F.max(F.struct((F.col("_a") + F.col("_b") + F.when(speaks, 3).otherwise(0)).alias("s"), F.length("text").alias("n"), "text")).alias("b")).select(*keys, F.col("b.text").alias("_best"))
-    turned = F.col("relation_type").isin("REPRODUCES", "EVALUATED_ON")
-    own = first_filled(F.when(turned, F.col("_object._text")).otherwise(F.col("_subject._text")), F.when(turned, F.col("_subject._text")).otherwise(F.col("_object._text")), F.concat_ws(" ", "_subject.label", "_object.label"))
-    return keyed.join(best, keys, "left").select(*keys, F.substring(F.coalesce("_best", own), 1, 360).alias("evidence"))
+    best = met.groupBy(*keys).agg(F.max(_rank(F.col("_a") + F.col("_b"))).alias("b")).select(*keys, F.col("b.text").alias("_best"))
+    return keyed.join(best, keys, "left").select(*keys, F.substring(F.coalesce("_best", _own_text()), 1, 360).alias("evidence"))
+
+
+def relation_evidence(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relations (paper_id, subject_id, relation_type, object_id) with evidence: of the texts of the paper's entities that speak of both ends the best (three more for a word of the relation; then the longest, then the last in order), else an end's own text, cut to 360 characters.
+
+    Relations with an end that is no entity of their paper are left out.
+    """
+    few, many = _by_size(entities)
+    found = _evidence(relations, few)
+    return found if many is None else found.unionByName(_evidence_by_blocks(relations, many))
+
+
+_END = ("canonical_id", "ord", "entity_type", "_key", "section")
+
+
+def _carried(e: DataFrame) -> DataFrame:
+    """paper_id, c, t, text, low: entities whose own text speaks of another of their paper, and these, in papers of few entities."""
+    whole = F.struct(*_END, "_text", "_low", "_phrases", "_words", "_anchors")
+    packed = e.groupBy("paper_id").agg(F.collect_list(whole).alias("_all"))  # MANY at most
+    pairs = packed.select("paper_id", F.explode("_all").alias("c"), "_all").filter("c._text <> ''").select("paper_id", "c", F.explode("_all").alias("t")).filter("c.canonical_id <> t.canonical_id")
+    said = match_score(F.col("c._low"), F.col("t._phrases"), F.col("t._words"), F.col("t._anchors")) > 0
+    end = lambda x: F.struct(*[F.col(f"{x}.{n}").alias(n) for n in _END]).alias(x)
+    return pairs.filter(said).select("paper_id", end("c"), end("t"), F.col("c._text").alias("text"), F.col("c._low").alias("low"))
+
+
+def _carried_by_blocks(e: DataFrame) -> DataFrame:
+    """_carried() in papers of many entities."""
+    texts = e.filter("_text <> ''").select("paper_id", F.col("_text").alias("text"), F.col("_low").alias("low")).distinct()
+    spoken = spoken_of(e, texts).select("paper_id", F.col("target").alias("_t"), "text", "low")
+    carriers = e.select("paper_id", F.struct(*_END).alias("c"), F.col("_text").alias("text"))
+    targets = e.select("paper_id", F.col("canonical_id").alias("_t"), F.struct(*_END).alias("t"))
+    return carriers.join(spoken, ["paper_id", "text"]).filter("c.canonical_id <> _t").join(targets, ["paper_id", "_t"]).select("paper_id", "c", "t", "text", "low")
 
 
 def context_relations(entities: DataFrame, *, most: int = 48) -> DataFrame:
@@ -179,16 +252,14 @@ def context_relations(entities: DataFrame, *, most: int = 48) -> DataFrame:
     One entity of each id counts (one_per_id()). The order of a paper's relations is by subject,
     then by object, so the cut is one window over relations that hold, not over pairs.
     """
-    e = one_per_id(entities.filter((F.coalesce("canonical_id", F.lit("")) != "") & (F.lower("review_status") == "approved")))
-    e = with_terms(e.withColumn("_text", entity_text()))
-    texts = e.select("paper_id", F.col("_text").alias("text")).filter("text <> ''").distinct().withColumn("low", F.lower(scientific_text(F.col("text"))))
-    spoken = spoken_of(e, texts).select("paper_id", "target", "text", "low")
-    carried = e.select("paper_id", F.col("canonical_id").alias("carrier"), F.col("_text").alias("text")).join(spoken, ["paper_id", "text"]).filter("carrier <> target")
-    both = carried.select("paper_id", F.col("carrier").alias("subject_id"), F.col("target").alias("object_id"), F.struct("text", "low").alias("ahead"), F.lit(None).alias("back"))
-    both = both.unionByName(carried.select("paper_id", F.col("target").alias("subject_id"), F.col("carrier").alias("object_id"), F.lit(None).alias("ahead"), F.struct("text", "low").alias("back")))
-    pairs = both.groupBy("paper_id", "subject_id", "object_id").agg(F.any_value("ahead", True).alias("ahead"), F.any_value("back", True).alias("back"))
-    end = lambda side: e.select("paper_id", F.col("canonical_id").alias(f"{side}_id"), F.struct("ord", "entity_type", "_key", "section").alias(f"_{side}"))
-    p = pairs.join(end("subject"), ["paper_id", "subject_id"]).join(end("object"), ["paper_id", "object_id"])
+    few, many = _by_size(entities.filter((F.coalesce("canonical_id", F.lit("")) != "") & (F.lower("review_status") == "approved")))
+    termed = lambda df: with_terms(one_per_id(df.repartition("paper_id")).withColumn("_text", entity_text())).withColumn("_low", _low(F.col("_text")))
+    carried = _carried(termed(few))
+    carried = carried if many is None else carried.unionByName(_carried_by_blocks(termed(many)))
+    said = F.struct("text", "low")
+    ways = F.array(*[F.struct(F.col(s).alias("_subject"), F.col(o).alias("_object"), (said if s == "c" else F.when(F.lit(False), said)).alias("ahead"), (said if s == "t" else F.when(F.lit(False), said)).alias("back")) for s, o in (("c", "t"), ("t", "c"))])
+    both = carried.select("paper_id", F.inline(ways)).withColumns({"subject_id": F.col("_subject.canonical_id"), "object_id": F.col("_object.canonical_id")})
+    p = both.groupBy("paper_id", "subject_id", "object_id").agg(*[F.any_value(c, True).alias(c) for c in ("ahead", "back", "_subject", "_object")])
     says = lambda text, terms: text.isNotNull() & F.exists(terms, lambda t: F.contains(text["low"], t))
     lits = lambda xs: F.array(*map(F.lit, xs))
     a, b = F.col("ahead"), F.col("back")
