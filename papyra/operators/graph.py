@@ -34,26 +34,56 @@ def merge_edges(edges: DataFrame, keys: tuple[str, ...] = ("src", "dst"), seq: s
     return edges.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("last")).select(*keys, *[F.col(f"last.{c}") for c in rest])
 
 
+#: Sources in one row of a list, pairs that one task counts, and sources of a reference up to which all pairs of them are made.
+CHUNK, COUNTED, HOT = 512, 2_000_000, 1_000
+
+
+def _load(e: DataFrame) -> tuple[int, int]:
+    """The most sources of a reference, and about how many tasks it takes to count pairs."""
+    cited = e.groupBy("dst").agg(F.count("*").alias("df"))
+    most, pairs = cited.agg(F.max("df"), F.sum(F.col("df") * F.least("df", F.lit(HOT)) / 2)).first()
+    least = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return most or 0, min(20_000, max(least, int(pairs or 0) // COUNTED))
+
+
+def _later(sources: DataFrame, others: DataFrame) -> DataFrame:
+    """sources (src, dst, ...) with later, the sources of their reference (src, dst of others) after them in order, in lists of CHUNK at most."""
+    part = F.floor(F.row_number().over(W.partitionBy("dst").orderBy("src")) / CHUNK)
+    lists = others.select("src", "dst", part.alias("_p")).groupBy("dst", "_p").agg(F.collect_list("src").alias("_all"))
+    met = sources.join(lists, "dst").withColumn("later", F.filter("_all", lambda x: x > F.col("src")))
+    return met.filter(F.size("later") > 0).drop("dst", "_p", "_all")
+
+
+def _counted(met: DataFrame, tasks: int) -> DataFrame:
+    """l, r, n and what else a source has: how many lists of a source hold another. Lists are shuffled by source, not a row for each pair; pairs are made and counted there."""
+    rest = [c for c in met.columns if c not in ("src", "later")]
+    pairs = met.repartition(tasks, "src").select(F.col("src").alias("l"), *rest, F.explode("later").alias("r"))
+    return pairs.groupBy("l", "r", *rest).agg(F.count("*").alias("n"))
+
+
 def co_citation(edges: DataFrame, *, min_shared: int = 2, min_score: float = 0.25) -> DataFrame:
     """src, dst, score, shared in both directions: overlap coefficient of reference lists (src, dst of edges).
 
     Sources of a single reference can't share two and drop out first. Of each other source the
-    reference that most sources have is its last one. Two sources that share nothing but a
-    reference that is last for both share one only, so last ones meet no last ones in the join: a
-    reference that everyone has makes no pairs. It is counted afterwards by comparing the two.
+    reference that most sources have is its last one, if it has more than HOT. Two sources that
+    share nothing but a reference that is last for both share one only, so last ones meet no last
+    ones: a reference that everyone has makes no pairs. It is counted afterwards by comparing the
+    two. Pairs that share too little go where they are counted.
     """
     e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    cited = e.groupBy("dst").agg(F.count("*").alias("df"))
+    most, tasks = _load(e)
     own = W.partitionBy("src")
-    e = e.join(cited, "dst").withColumns({"deg": F.count("*").over(own), "k": F.row_number().over(own.orderBy(F.desc("df"), "dst"))})
-    e = e.filter(F.col("deg") >= min_shared).select("src", "dst", "deg", (F.col("k") == 1).alias("last"))
-    if min_shared < 2:
-        e = e.withColumn("last", F.lit(False))
-    a, b = e.alias("a"), e.alias("b")
-    on = (F.col("a.dst") == F.col("b.dst")) & (F.col("a.src") < F.col("b.src"))
-    left = a.filter("not a.last").join(b, on).select(F.col("a.src").alias("l"), F.col("b.src").alias("r"))
-    right = a.filter("a.last").join(b.filter("not b.last"), on).select(F.col("a.src").alias("l"), F.col("b.src").alias("r"))
-    pairs = left.union(right).groupBy("l", "r").agg(F.count("*").alias("n"))
+    if most > HOT and min_shared >= 2:
+        cited = e.groupBy("dst").agg(F.count("*").alias("df"))
+        e = e.join(cited, "dst").withColumns({"deg": F.count("*").over(own), "k": F.row_number().over(own.orderBy(F.desc("df"), "dst"))})
+        e = e.filter(F.col("deg") >= min_shared).select("src", "dst", "deg", ((F.col("k") == 1) & (F.col("df") > HOT)).alias("last"))
+        e = e.withColumn("hot", F.max("last").over(own))
+        rows = e.select("src", "dst", "hot", "last")
+        met = _later(rows.filter("not last"), rows).union(_later(rows.filter("last"), rows.filter("not last")))
+    else:
+        e = e.withColumn("deg", F.count("*").over(own)).filter(F.col("deg") >= min_shared).withColumns({"last": F.lit(False), "hot": F.lit(False)})
+        met = _later(e.select("src", "dst", "hot", "last"), e)
+    pairs = _counted(met.drop("last"), tasks).filter(F.col("hot") | (F.col("n") >= min_shared))
     per = e.groupBy("src").agg(F.max("deg").alias("deg"), F.max(F.when(F.col("last"), F.col("dst"))).alias("top"))
     lo, ro = per.toDF("l", "dl", "tl"), per.toDF("r", "dr", "tr")
     full = pairs.join(lo, "l").join(ro, "r").withColumn("shared", F.col("n") + F.when(F.col("tl") == F.col("tr"), 1).otherwise(0))
@@ -64,12 +94,13 @@ def co_citation(edges: DataFrame, *, min_shared: int = 2, min_score: float = 0.2
 
 
 def jaccard_pairs(edges: DataFrame, *, min_score: float = 0.1) -> DataFrame:
-    """src, dst (src < dst), shared, score: Jaccard similarity of reference lists."""
+    """src, dst (src < dst), shared, score: Jaccard similarity of reference lists. A pair scores no more than what it shares of its first list, so most pairs go where they are counted."""
     e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.dst") == F.col("b.dst")) & (F.col("a.src") < F.col("b.src"))).groupBy(F.col("a.src").alias("src"), F.col("b.src").alias("dst")).agg(F.count("*").alias("shared"))
+    _, tasks = _load(e)
+    own = e.withColumn("ds", F.count("*").over(W.partitionBy("src")))
+    pairs = _counted(_later(own, e), tasks).filter(F.col("n") / F.col("ds") >= min_score)
     deg = e.groupBy("src").agg(F.count("*").alias("deg"))
-    full = pairs.join(deg.toDF("src", "ds"), "src").join(deg.toDF("dst", "dd"), "dst")
+    full = pairs.select(F.col("l").alias("src"), F.col("r").alias("dst"), "ds", F.col("n").alias("shared")).join(deg.toDF("dst", "dd"), "dst")
     raw = F.col("shared") / (F.col("ds") + F.col("dd") - F.col("shared"))
     return full.filter(raw >= min_score).select("src", "dst", "shared", round4(raw).alias("score"))
 

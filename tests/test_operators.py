@@ -225,3 +225,29 @@ def test_paper_kind_reads_whole_windows(spark):
     rows = [(0, "Some plain title\n" + pad + " this survey covers 1931 and May 4, 2019."), (1, "arXiv 1999\nA Benchmark of Things\n" + pad), (2, "A title here\nSurvey data on a dataset, 2001 and 2010"), (3, "A title here\n" + pad * 4 + "this survey, 2001"), (4, None)]
     got = spark.createDataFrame(rows, "i int, t string").select("i", detected_type(F.col("t")).alias("k"), detected_year(F.col("t"), 2026).alias("y")).orderBy("i").collect()
     assert [(r["k"], r["y"]) for r in got] == [("survey", 2019), ("benchmark", 1999), ("research", 2001), ("research", None), ("research", None)]
+
+
+def test_pairs_of_sources_are_made_where_they_are_counted(spark, monkeypatch):
+    from collections import defaultdict
+    from itertools import combinations
+
+    from papyra.operators import graph
+
+    rows = [(s, 1000 + (s * k * k + k) % 23) for s in range(40) for k in range(1 + s % 6)] + [(s, 999) for s in range(3, 40)] + [(7, None), (None, 7)]
+    refs = defaultdict(set)
+    for s, d in rows:
+        if s is not None and d is not None:
+            refs[s].add(d)
+    shared = {(a, b): len(refs[a] & refs[b]) for a, b in combinations(sorted(refs), 2)}
+    overlap = {(a, b): n for (a, b), n in shared.items() if n >= 2 and n / min(len(refs[a]), len(refs[b])) >= 0.25}
+    alike = {(a, b): n for (a, b), n in shared.items() if n and n / len(refs[a] | refs[b]) >= 0.3}
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    for chunk, hot in ((3, 5), (512, 1_000)):
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        monkeypatch.setattr(graph, "HOT", hot)
+        got = {(r["src"], r["dst"]): r["shared"] for r in graph.co_citation(edges).collect()}
+        assert got == overlap | {(b, a): n for (a, b), n in overlap.items()}
+        assert {(r["src"], r["dst"]): r["shared"] for r in graph.jaccard_pairs(edges, min_score=0.3).collect()} == alike
+    for pairs in (graph.co_citation(edges), graph.jaccard_pairs(edges)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "later" in plan and "hashpartitioning(l#" not in plan.split("Generate explode(later")[0].split("HashAggregate")[-1]
