@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 from pyspark.sql.window import Window as W
 
@@ -50,6 +54,67 @@ def in_blocks(df: DataFrame, key: str) -> list[DataFrame]:
     return [F.broadcast(df.filter(part == i) if n > 1 else df) for i in range(n)]
 
 
+#: Bytes of vectors in one block, pairs that are scored at once, and how far a matrix product may be off.
+BLOCK_BYTES, SCORED, OFF = 4 << 20, 2_000_000, 1e-9
+
+
+def _packed(df: DataFrame, blocks: int, side: str) -> DataFrame:
+    """type, size and {side}: vectors (id, type, v) of one type and length in blocks, sorted by id, with their norms. Vectors that are null, zero or hold nulls are left out."""
+    v = F.col("v").cast("array<double>")
+    rows = df.select("id", "type", v.alias("v"), F.sqrt(dot(v, v)).alias("n")).filter("n > 0")
+    block = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(blocks)).alias("_b")
+    return rows.groupBy("type", F.size("v").alias("size"), block).agg(F.array_sort(F.collect_list(F.struct("id", "n", "v"))).alias(side)).drop("_b")
+
+
+def _best(of: np.ndarray, on: np.ndarray, a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
+    """Places in a, places in b, cosines: for each vector of a the k nearest of b with another number (of, on), ties by place. A matrix product finds all that may be among them; these are scored term by term."""
+    near = (a / an[:, None]) @ (b / bn[:, None]).T
+    near[np.isnan(near)] = np.inf
+    near[of[:, None] == on[None, :]] = -np.inf
+    bound = np.partition(near, len(b) - k, axis=1)[:, len(b) - k] if len(b) > k else np.full(len(a), -np.inf)
+    i, j = np.nonzero((near >= np.maximum(bound, least)[:, None] - OFF) & (near > -np.inf))
+    step = max(1, SCORED // a.shape[1])
+    dots = [np.cumsum(a[i[t : t + step]] * b[j[t : t + step]], axis=1)[:, -1] for t in range(0, len(i), step)]
+    score = np.concatenate(dots) / (an[i] * bn[j]) if dots else np.empty(0)
+    order = np.lexsort((j, -np.where(np.isnan(score), np.inf, score), i))
+    order = order[(score[order] >= least) | np.isnan(score[order])]
+    i, j, score = i[order], j[order], score[order]
+    first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.empty(0, bool)
+    place = np.arange(len(i))
+    kept = place - np.maximum.accumulate(np.where(first, place, 0)) < k
+    return i[kept], j[kept], score[kept]
+
+
+def nearest(many: DataFrame, few: DataFrame, *, k: int, least: float, of_few: bool) -> DataFrame:
+    """of, id, score: for each vector of ``many`` (or of_few: of ``few``) the k of greatest cosine of the other table that have its type, from each pair of blocks; the best of these are the best of all. Both have id, type, v.
+
+    ``many`` lies in blocks, ``few`` is sent to it in parts of a measured size; pairs are matrix
+    products of two blocks, of which a task sends k a vector at most.
+    """
+    kind = many.schema["id"].dataType
+    schema = pa.schema([("of", to_arrow_type(kind)), ("id", to_arrow_type(kind)), ("score", "float64")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                sides = [batch.column(c)[n].values for c in ("few", "many")]
+                x, y = sides if of_few else sides[::-1]
+                ids = [s.field("id") for s in (x, y)]
+                codes = pa.concat_arrays([i.cast(schema.field("id").type) for i in ids]).dictionary_encode().indices.to_numpy()
+                norms = [s.field("n").to_numpy() for s in (x, y)]
+                a, b = (s.field("v").flatten().to_numpy().reshape(len(s), -1) for s in (x, y))
+                step = max(1, SCORED // len(b))
+                for t in range(0, len(a), step):
+                    i, j, score = _best(codes[: len(a)][t : t + step], codes[len(a) :], a[t : t + step], norms[0][t : t + step], b, norms[1], k, least)
+                    yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(i + t)).cast(schema.field("of").type), ids[1].take(pa.array(j)).cast(schema.field("id").type), pa.array(score)], schema=schema)
+
+    blocks = lambda df: max(1, -(-size_of(df.select("v")) // BLOCK_BYTES))
+    held = _packed(many, max(blocks(many), many.sparkSession.sparkContext.defaultParallelism), "many")
+    parts = [F.broadcast(_packed(part, blocks(few), "few")) for part in in_blocks(few, "id")]
+    met = reduce(DataFrame.union, [held.join(part, ["type", "size"]).select("few", "many") for part in parts])
+    return met.mapInArrow(run, f"of {kind.simpleString()}, id {kind.simpleString()}, score double")
+
+
 def resolve(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """entities (label, ...) with canonical_id, match_type: by normalised alias; the last alias row (ord) of a key wins; else new."""
     index = aliases.groupBy(normal_key(F.col("alias")).alias("_key")).agg(F.max_by("canonical_id", "ord").alias("canonical_id"))
@@ -118,10 +183,8 @@ def align_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def compatible_topk(entities: DataFrame, seeds: DataFrame, *, k: int = 5, least: float = 0.78, merge: float = 0.92) -> DataFrame:
-    """id, rank, seed_id, score, auto_merge: the k most similar seeds of an entity's type. Both sides have id, type, v; seeds are few and broadcast after a count."""
-    unit = lambda df, i: df.select(F.col("id").alias(i), "type", F.col("v").cast("array<double>").alias(f"v{i}")).withColumn(f"n{i}", F.sqrt(dot(F.col(f"v{i}"), F.col(f"v{i}"))))
-    pairs = unit(entities, "id").join(small(unit(seeds, "seed_id")), "type")
-    s = pairs.select("id", "seed_id", (dot(F.col("vid"), F.col("vseed_id")) / (F.col("nid") * F.col("nseed_id"))).alias("score")).filter((F.col("score") >= least) & (F.col("id") != F.col("seed_id")))
+    """id, rank, seed_id, score, auto_merge: the k most similar seeds of an entity's type. Both sides have id, type, v; see nearest()."""
+    s = nearest(entities, seeds, k=k, least=least, of_few=False).select(F.col("of").alias("id"), F.col("id").alias("seed_id"), "score")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "seed_id"))
     return s.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "seed_id", round4(F.col("score")).alias("score"), ((F.col("rank") == 1) & (F.col("score") >= merge)).alias("auto_merge"))
 

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import dot, round4
+from ..functions.scalars import round4
 from ..functions.text import LOW_SIGNAL, query_tokens
 from ..shared import spread
-from .linking import in_blocks
+from .linking import nearest
 from .search_index import BUCKETS, SearchIndex, build, token_list
 
 
@@ -107,14 +106,10 @@ def cover_first(hits: DataFrame, query: list[str], *, limit: int = 10) -> DataFr
 def vector_topk(vectors: DataFrame, queries: DataFrame, *, k: int = 5, least: float = -1.0) -> DataFrame:
     """query_id, rank, id, score: the k rows of greatest cosine for each query vector (id, v), itself left out.
 
-    The stated queries meet all rows in blocks of a measured size: the vectors are scanned where
-    they lie, once a block. Each task ranks its own rows first and sends k of them for a query.
-    Norms are taken once a row, not once a pair.
+    Each query meets each row, in blocks: see linking.nearest(). Work is queries times rows, as the answer is exact.
     """
-    unit = lambda df, i, v: df.select(F.col("id").alias(i), F.col("v").cast("array<double>").alias(v)).withColumn(f"{v}n", F.sqrt(dot(F.col(v), F.col(v)))).filter(F.col(f"{v}n") > 0)
-    rows = unit(vectors, "id", "a")
-    pairs = reduce(DataFrame.union, [rows.join(q, F.col("id") != F.col("query_id")) for q in in_blocks(unit(queries, "query_id", "b"), "query_id")])
-    scored = pairs.select("query_id", "id", (dot(F.col("a"), F.col("b")) / (F.col("an") * F.col("bn"))).alias("score")).filter(F.col("score") >= least)
+    whole = lambda df: df.select("id", F.lit(0).alias("type"), "v")
+    scored = nearest(whole(vectors), whole(queries), k=k, least=least, of_few=True).select(F.col("of").alias("query_id"), "id", "score")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -128,3 +128,37 @@ def test_queries_meet_vectors_in_blocks(spark, monkeypatch):
     assert len(blocks) > 2 and sum(b.count() for b in blocks) == 20
     many = vector_topk(rows, rows.filter("id < 20"), k=3)
     assert sorted(map(tuple, many.select("query_id", "rank", "id").collect())) == one
+
+
+def test_vectors_are_scored_in_blocks_with_exact_ties(spark, monkeypatch):
+    import math
+    from functools import reduce
+
+    from papyra.operators import linking
+    from papyra.operators.retrieval import vector_topk
+
+    r = random.Random(5)
+    base = [[r.uniform(-1, 1) for _ in range(7)] for _ in range(30)]
+    rows = [(f"v{i:03d}", i % 2, base[i % 30]) for i in range(90)] + [("none", 0, None), ("zero", 0, [0.0] * 7), ("hole", 0, [None] + [1.0] * 6), ("long", 0, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "id string, type int, v array<float>")
+    stored = [(x["id"], x["type"], x["v"]) for x in df.collect()]
+    dot = lambda a, b: reduce(lambda s, p: s + p[0] * p[1], zip(a, b), 0.0)
+    cos = lambda a, b: dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+    ok = [x for x in stored if x[2] and None not in x[2] and any(x[2])]
+
+    def want(of, among, k, least, typed):
+        out = set()
+        for i, t, v in of:
+            found = sorted((-cos(v, w), j) for j, u, w in among if j != i and len(v) == len(w) and (not typed or t == u))
+            out |= {(i, n, j, -s) for n, (s, j) in enumerate([f for f in found if -f[0] >= least][:k], 1)}
+        return out
+
+    few = df.filter("id like 'v0%'")
+    of = [x for x in ok if x[0].startswith("v0")]
+    for size in (300, 4 << 20):
+        monkeypatch.setattr(linking, "BLOCK_BYTES", size)
+        found = vector_topk(df.select("id", "v"), few.select("id", "v"), k=4, least=0.2)
+        assert {tuple(x) for x in found.select("query_id", "rank", "id", "score").collect()} == want(of, ok, 4, 0.2, False)
+        seeds = linking.compatible_topk(df, few, k=3, least=0.1)
+        assert {tuple(x)[:3] for x in seeds.collect()} == {x[:3] for x in want(ok, of, 3, 0.1, True)}
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
