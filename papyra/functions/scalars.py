@@ -93,6 +93,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def square(v: Column) -> Column:
+    """dot(v, v), in one pass."""
+    return F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """-1 to 1; 0 for empty vectors, other lengths and zero norms."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,25 +152,35 @@ def dedup_methods(methods: DataFrame) -> DataFrame:
     return m.groupBy("paper_id").applyInPandas(fold, m.schema)
 
 
+#: Labels that are embedded at once.
+EMBEDDED = 2_000
+
+
 def embedded(labels: list[str | None], dim: int = 1024) -> np.ndarray:
     """Unit vectors of labels: each distinct word's BLAKE2b digest names eight places and a sign for each; a label's words count in equal parts. A label without words is one word, an empty one a word of its own."""
     split = [re.findall("[a-z0-9]+", (t or "").lower()) or [(t or "").lower().strip() or "<empty>"] for t in labels]
     sizes = np.array([len(w) for w in split])
-    words, which = np.unique(np.array([w for ws in split for w in ws], dtype=object), return_inverse=True)
-    digest = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in words), np.uint8).reshape(-1, 8, 2)
+    number: dict[str, int] = {}
+    which = np.array([number.setdefault(w, len(number)) for ws in split for w in ws], dtype=np.int64)
+    digest = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in number), np.uint8).reshape(-1, 8, 2)
     place = (digest[:, :, 0].astype(np.int64) * 256 + digest[:, :, 1]) % dim
     sign = 1.0 - 2.0 * (digest[:, :, 0] % 2)
-    out, owner = np.zeros((len(labels), dim)), np.repeat(np.arange(len(labels)), sizes)
-    np.add.at(out, (owner[:, None], place[which]), sign[which] / sizes[owner, None])
+    owner = np.repeat(np.arange(len(labels)), sizes)
+    at, share = owner[:, None] * dim + place[which], sign[which] / sizes[owner, None]
+    out = np.bincount(at.ravel(), weights=share.ravel(), minlength=len(labels) * dim).reshape(len(labels), dim)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1.0)).astype(np.float32)
 
 
 def hash_embedding(label: Column, dim: int = 1024) -> Column:
-    """Deterministic unit vectors of labels, a batch at a time."""
-
-    @F.pandas_udf("array<float>")
-    def embed(s: pd.Series) -> pd.Series:
-        return pd.Series(list(embedded(s.tolist(), dim)))
+    """Deterministic unit vectors of labels, a batch at a time; each distinct label of a batch once."""
+
+    @F.arrow_udf("array<float>")
+    def embed(s: pa.Array) -> pa.Array:
+        known = s.cast("string").dictionary_encode("encode")
+        names, of = known.dictionary.to_pylist(), known.indices
+        rows = np.concatenate([embedded(names[t : t + EMBEDDED], dim) for t in range(0, len(names), EMBEDDED)])
+        whole = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * dim), pa.array(rows.ravel()))
+        return whole.take(of)
 
     return embed(label)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, round4
+from ..functions.scalars import dot, round4, square
 from ..operators import dedup, linking, retrieval
 from ..shared import shared_folder
 from ..streaming import events as streams
@@ -96,7 +96,7 @@ def sampled_chunks(spark, sf_dir):
 @query()
 def embed_hash(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", dedup.hash_embedding(F.col("p_name")).alias("v"))
-    return p.select("p_partkey", F.size("v").alias("dim"), round4(dot(F.col("v"), F.col("v"))).alias("norm2"))
+    return p.select("p_partkey", F.size("v").alias("dim"), round4(square(F.col("v"))).alias("norm2"))
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)")

@@ -251,3 +251,16 @@ def test_pairs_of_sources_are_made_where_they_are_counted(spark, monkeypatch):
     for pairs in (graph.co_citation(edges), graph.jaccard_pairs(edges)):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "later" in plan and "hashpartitioning(l#" not in plan.split("Generate explode(later")[0].split("HashAggregate")[-1]
+
+
+def test_embedded_labels_and_their_squares(spark):
+    import numpy as np
+
+    from papyra.functions.scalars import dot, square
+    from papyra.operators.dedup import embedded, hash_embedding
+
+    names = ["Blue part", None, "", "blue PART", "--", "one two three two", "Blue part"]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, s string").select("k", hash_embedding(F.col("s"), 64).alias("v"))
+    rows = df.select("k", "v", square(F.col("v")).alias("a"), dot(F.col("v"), F.col("v")).alias("b")).orderBy("k").collect()
+    assert np.array_equal(np.array([r["v"] for r in rows], np.float32), embedded(names, 64))
+    assert all(r["a"] == r["b"] and abs(r["a"] - 1) < 1e-6 for r in rows)
