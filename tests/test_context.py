@@ -148,3 +148,14 @@ def test_papers_of_few_entities_are_not_cut_into_blocks(spark, monkeypatch):
             assert not any("block" in df._jdf.queryExecution().optimizedPlan().toString() for df in (evidence, relations))
     assert len(told[64][0]) == 33 and told[64][1]
     assert told[5] == told[64] == told[0]
+
+
+def test_promotion_of_equal_places_repeats(spark):
+    from papyra.operators.entities import promote_endpoints
+
+    schema = "paper_id string, ord int, role string, label string, canonical_label string, canonical_id string, match_type string, entity_type string, confidence double, mention_count int, salience string, source_type string, candidate_source string, review_status string, aliases array<string>"
+    row = lambda k, role, label, kind, status="pending": ("p", k, role, label, None, f"id-{label}", "exact_alias", kind, 0.7, 1, "passing", None, None, status, None)
+    rows = [row(1, "method", "a", "Task", "approved"), row(2, "method_candidate", "b", "Theory"), row(2, "method_candidate", "b", "Algorithm"), row(2, "method_candidate", "b", "System")]
+    t = spark.createDataFrame([("a", "USES", "b")], "subj string, rel string, obj string")
+    told = [sorted((r["entity_type"], r["role"]) for r in promote_endpoints(spark.createDataFrame(x, schema).coalesce(1), t).filter("ord = 2").collect()) for x in (rows, rows[::-1], rows[2:] + rows[:2])]
+    assert told[0] == told[1] == told[2] and ("Algorithm", "method") in told[0]
