@@ -1,7 +1,7 @@
 """A scan of papers for what can be found without a model: known labels, short forms, headings, repeated phrases.
 
 Patterns are data: a table with a row for each. Before any of them is run, a document's words are
-cut into runs of three letters, which are joined with the runs that patterns can't do without; only
+cut into runs of letters, which are joined with the runs that patterns can't do without; only
 patterns that meet a document are run on it. So a document costs what it holds, however many
 patterns the table has.
 """
@@ -20,12 +20,13 @@ from pyspark.sql.window import Window as W
 
 from ..functions import scan_table as table
 from ..functions.extraction_text import spans
+from ..shared import kept, spread
 
 from .entities import tight_key
 from .graph_build import clean_label
 from .linking import small
 
-#: Letters of a run. Patterns without one are run on every document.
+#: Letters of a run at least. Patterns without one are run on every document.
 RUN = 3
 MOST = 360
 
@@ -110,25 +111,27 @@ def _squeezed(text: Column) -> Column:
 def scan_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, kind, ord, label, context, sure of all patterns (PATTERNS) that match a document's body (doc_id, body, and a column gate_<name> for each gate), in any case; those of a gate only where it is open.
 
-    Which patterns meet a document is an equi-join of runs of letters with a table whose size is
-    measured; the text isn't moved for it, and comes to its few patterns by its id.
+    Which patterns meet a document is an equi-join of the runs of letters of its words, as long as
+    the shortest literal, with a table whose size is measured; what meets is settled there, word
+    by word, and only then comes to the text by its id.
     """
     need = [(r["ord"], literals(r["pattern"])) for r in patterns.select("ord", "pattern").collect()]  # the table of patterns
     spark = docs.sparkSession
-    anchors = spark.createDataFrame([(o, x) for o, xs in need for x in xs or []], "ord int, literal string").withColumn("run", F.substring("literal", 1, RUN))
+    least = min((len(x) for _, xs in need for x in xs or []), default=RUN)
+    anchors = spark.createDataFrame([(o, x) for o, xs in need for x in xs or []], "ord int, literal string").withColumn("run", F.substring("literal", 1, least))
     always = spark.createDataFrame([(o,) for o, xs in need if xs is None], "ord int").join(patterns, "ord")
-    entry = lambda literal: F.struct("ord", "kind", "label", "pattern", "gate", "sure", literal.alias("literal"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    runs = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (RUN - 1)), lambda i: F.substr(w, i, F.lit(RUN))))))
-    held = docs.select("doc_id", F.explode(runs).alias("run"))
-    met = held.join(small(anchors.join(patterns, "ord").select("run", entry(F.col("literal")).alias("p"))), "run").groupBy("doc_id").agg(F.collect_set("p").alias("met"))
-    every = always.agg(F.coalesce(F.collect_list(entry(F.lit(""))), F.array()).alias("every"))
+    entry = F.struct("ord", "kind", "label", F.concat(F.lit("(?iU)"), "pattern").alias("pattern"), "gate", "sure")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(f"[a-z0-9]{{{least},}}"), F.lit(0)))
+    held = spread(docs.select("doc_id", "body")).select("doc_id", F.explode(words).alias("word"))
+    held = held.select("doc_id", "word", F.explode(F.sequence(F.lit(1), F.length("word") - (least - 1))).alias("i")).withColumn("run", F.substr("word", F.col("i"), F.lit(least)))
+    met = held.join(small(anchors), "run").filter(F.contains("word", F.col("literal"))).select("doc_id", "ord").distinct().join(small(patterns), "ord")
+    met = small(kept(met.groupBy("doc_id").agg(F.collect_list(entry).alias("met"))))
+    every = always.agg(F.coalesce(F.collect_list(entry), F.array()).alias("every"))
     rows = docs.join(met.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").crossJoin(F.broadcast(every))  # one row
-    here = F.filter(F.concat(F.coalesce("met", F.slice("every", 1, 0)), "every"), lambda p: F.contains(F.col("_low"), p["literal"]))
-    once = F.array_distinct(F.transform(here, lambda p: F.struct(p["ord"].alias("ord"), p["kind"].alias("kind"), p["label"].alias("label"), F.concat(F.lit("(?iU)"), p["pattern"]).alias("pattern"), p["gate"].alias("gate"), p["sure"].alias("sure"))))
+    once = F.concat(F.coalesce("met", F.slice("every", 1, 0)), "every")
     known = [c.removeprefix("gate_") for c in docs.columns if c.startswith("gate_")]
     opened = lambda p: reduce(or_, [(p["gate"] == g) & F.col(f"gate_{g}") for g in known], p["gate"].isNull())
-    rows = rows.withColumn("_low", F.lower("body")).select("doc_id", "body", F.filter(once, opened).alias("c"))
+    rows = rows.select("doc_id", "body", F.filter(once, opened).alias("c"))
     at = F.transform("c", lambda p: F.struct(p["ord"].alias("ord"), p["kind"].alias("kind"), p["label"].alias("label"), p["sure"].alias("sure"), F.regexp_instr(F.col("body"), p["pattern"]).alias("at"), F.length(F.regexp_substr(F.col("body"), p["pattern"])).alias("n")))
     hits = F.filter(at, lambda h: h["at"] > 0)
     out = F.transform(hits, lambda h: F.struct(h["kind"].alias("kind"), h["ord"].alias("ord"), h["label"].alias("label"), F.substring(context_for(F.col("body"), h["at"] - 1, h["at"] - 1 + h["n"]), 1, MOST).alias("context"), h["sure"].alias("sure")))

@@ -108,3 +108,14 @@ def test_a_table_of_thousands(spark):
     docs = spark.createDataFrame([(i, f"some word{i * 7}x and WORD{i * 11 + 1}X") for i in range(50)], "doc_id int, body string")
     got = {(r["doc_id"], r["label"]) for r in scan.scan_patterns(docs, patterns).collect()}
     assert got == {(i, f"L{k}") for i in range(50) for k in (i * 7, i * 11 + 1)}
+
+
+def test_only_documents_that_have_a_whole_literal_meet_its_pattern(spark, monkeypatch):
+    """Words that begin like a literal meet nothing: what is joined with texts is what can match."""
+    held = []
+    monkeypatch.setattr(scan, "kept", lambda df: held.append(df.cache()) or held[-1])
+    patterns = spark.createDataFrame([(k, "concept", f"L{k}", rf"\bstatement{c}\b", None, 0.5) for k, c in enumerate("abcdefgh")], scan.PATTERNS)
+    docs = spark.createDataFrame([(1, "statements state the statue"), (2, "xStatementAy"), (3, "a Statementb; statementb statementC"), (4, None)], "doc_id int, body string")
+    got = {(r["doc_id"], r["label"]) for r in scan.scan_patterns(docs, patterns).collect()}
+    assert got == {(3, "L1"), (3, "L2")}
+    assert {r["doc_id"]: len(r["met"]) for r in held[0].collect()} == {2: 1, 3: 2}
