@@ -2,12 +2,15 @@
 
 Two tables in one folder, both cut into folders by a hash of the token and sorted by token inside:
 
-    postings: token, key, unit, field, pos     terms: token, df
+    postings: token, n, and lists of key, unit, field, pos     terms: token, df
 
 so that a query reads the folders of its few tokens and, in their files, the row groups that may
 hold them; texts aren't read. ``key`` is what document frequencies count (a paper for all of its
-units), ``pos`` the place of a token among the field's distinct tokens. Postings are dealt out by
-bucket and unit when they are written, so a token of every text is split over several files.
+units), ``pos`` the place of a token among the field's distinct tokens. A row is what one batch of
+texts says of a token, ``n`` the keys that no row before counted, so a shuffle carries a token once
+a batch and frequencies are sums. Rows are dealt out by bucket and key when they are written, into
+more files the more text there is: a token of every text is split over several files, and a task
+sorts a bounded part.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +33,10 @@ from .linking import small
 
 #: Folders by token; one of them is read for each token of a query. More for larger corpora.
 BUCKETS = 16
-#: Files of a bucket.
-PARTS = 4
-#: Postings in one Arrow batch.
-BATCH = 200_000
+#: Files of a bucket, at least; characters of texts whose postings one task sorts.
+PARTS, SORTED = 4, 16_000_000
+#: Postings that are put in lists at once.
+BATCH = 500_000
 
 _FOUND = re.compile(TOKEN).findall
 _STOP = frozenset(STOPWORDS)
@@ -57,57 +61,76 @@ def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def _postings(units: DataFrame) -> DataFrame:
-    """token, key, unit, field, pos of units (key, unit, fields: array of texts)."""
-    kinds = {c: units.schema[c].dataType for c in ("key", "unit")}
-    schema = pa.schema([("token", "string"), *((c, to_arrow_type(k)) for c, k in kinds.items()), ("field", "int32"), ("pos", "int32")])
+def _postings(units: DataFrame, single: bool) -> DataFrame:
+    """token, n, and lists of key, unit, field, pos (single: of key and pos) of units (key, unit, fields: array of texts), a row for each token of a batch; n: keys that are counted in this row. All units of a key are one task's, unless single."""
+    kinds = {c: units.schema[c].dataType for c in (("key",) if single else ("key", "unit"))}
+    numbers = ("pos",) if single else ("field", "pos")
+    schema = ", ".join(["token string, n long", *(f"{c} array<{k.simpleString()}>" for c, k in kinds.items()), *(f"{c} array<int>" for c in numbers)])
+    names = ["token", "n", *kinds, *numbers]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = object(), set()
         for b in batches:
-            tokens: list[str] = []
+            number: dict[str, int] = {}
+            which: list[int] = []
             rows: list[int] = []
-            fields: list[int] = []
-            places: list[int] = []
+            fresh: list[bool] = []
+            flat: dict[str, list[int]] = {"field": [], "pos": []}
 
             def full(b: pa.RecordBatch = b) -> pa.RecordBatch:
-                at = pa.array(rows, "int64")
-                return pa.RecordBatch.from_arrays([pa.array(tokens, "string"), *(b.column(c).take(at).cast(schema.field(c).type) for c in ("key", "unit")), pa.array(fields, "int32"), pa.array(places, "int32")], schema=schema)
-
+                ids = np.array(which, dtype=np.int64)
+                order = np.argsort(ids, kind="stable")
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(ids))]).astype(np.int32))
+                n = np.bincount(ids, weights=np.array(fresh)).astype(np.int64)
+                at = pa.array(np.array(rows, dtype=np.int64)[order])
+                values = [b.column(c).take(at).cast(to_arrow_type(k)) for c, k in kinds.items()] + [pa.array(np.array(flat[c], dtype=np.int32)[order]) for c in numbers]
+                return pa.RecordBatch.from_arrays([pa.array(list(number), "string"), pa.array(n), *(pa.ListArray.from_arrays(ends, v) for v in values)], names=names)
+
+            keys = [None] * b.num_rows if single else b.column("key").to_pylist()
             for i, texts in enumerate(b.column("fields")):
+                if single or keys[i] != last:
+                    last, seen = keys[i], set()
                 for f, text in enumerate(texts.as_py() or []):
                     own = token_list(text)
-                    tokens += own
+                    which += [number.setdefault(t, len(number)) for t in own]
                     rows += [i] * len(own)
-                    fields += [f] * len(own)
-                    places += range(len(own))
-                if len(tokens) >= BATCH:
+                    flat["field"] += [f] * len(own)
+                    flat["pos"] += range(len(own))
+                    fresh += [t not in seen for t in own]
+                    seen.update(own)
+                if len(which) >= BATCH:
                     yield full()
-                    for x in (tokens, rows, fields, places):
+                    for x in (number, which, rows, fresh, *flat.values()):
                         x.clear()
-            if tokens:
+            if which:
                 yield full()
 
-    return spread(units.select("key", "unit", "fields")).mapInArrow(run, f"token string, key {kinds['key'].simpleString()}, unit {kinds['unit'].simpleString()}, field int, pos int")
+    texts = units.select("key", "unit", "fields")
+    texts = spread(texts) if single else texts.repartition("key").sortWithinPartitions("key")
+    return texts.mapInArrow(run, schema)
 
 
 def build(units: DataFrame, path: str, *, buckets: int = BUCKETS, parts: int = PARTS, single: bool = False) -> SearchIndex:
     """Writes the index of units (key, unit, fields) to a folder that all executors share, and opens it.
 
-    single: each key has one unit of one field, so a token's postings are its keys. parts: files of
-    one bucket, by unit, so that a token of all units is split over as many tasks.
+    single: each key has one unit of one field, which is the key, so a token's postings are its keys
+    and are stored without the rest. parts: files of one bucket at least, by key, so that a token
+    of all keys is split over as many tasks.
 
     Null texts and null lists of fields have no tokens; units of a null key are counted as one more
     key. Repeated units are repeated in the index and score once each.
     """
     spark = units.sparkSession
-    rows = _postings(units).withColumn("bucket", bucket_of(F.col("token"), buckets))
-    part = F.pmod(F.xxhash64(F.col("unit").cast("string") if not units.schema["unit"].dataType.typeName() == "struct" else F.to_json("unit")), F.lit(parts))
-    rows.repartition("bucket", part).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    keys = stored.select("bucket", "token", "key")
-    counted = (keys if single else keys.distinct()).groupBy("bucket", "token").agg(F.count("*").alias("df"))
+    size = F.aggregate(F.coalesce("fields", F.array().cast("array<string>")), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x), F.lit(0)))
+    totals = units.agg(F.count_distinct("key").alias("keys"), F.count_if(F.col("key").isNull()).alias("nulls"), F.count("*").alias("units"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    parts = max(parts, -(-totals["size"] // (SORTED * buckets)))
+    part = F.pmod(F.xxhash64(F.get("key", 0).cast("string")), F.lit(parts))
+    rows = _postings(units, single).withColumn("bucket", bucket_of(F.col("token"), buckets)).repartition(buckets * parts, "bucket", part)
+    rows.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    counted = spark.read.parquet(f"{path}/postings").groupBy("bucket", "token").agg(F.sum("n").alias("df"))
     counted.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/terms")
-    units.agg(F.count_distinct("key").alias("keys"), F.count_if(F.col("key").isNull()).alias("nulls"), F.count("*").alias("units")).select((F.col("keys") + (F.col("nulls") > 0).cast("long")).alias("keys"), "units", F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
+    keys = totals["keys"] + (totals["nulls"] > 0)
+    spark.createDataFrame([(keys, totals["units"], buckets)], "keys long, units long, buckets int").write.parquet(f"{path}/totals")
     return SearchIndex(spark, path)
 
 
@@ -115,10 +138,18 @@ class SearchIndex:
     """An index that build() has written."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.postings = spark.read.parquet(f"{path}/postings")
+        self.lists = spark.read.parquet(f"{path}/postings")
+        self.postings = self.opened(self.lists)
         self.terms = spark.read.parquet(f"{path}/terms")
         self.n, self.units, self.buckets = spark.read.parquet(f"{path}/totals").first()
 
+    def opened(self, lists: DataFrame, *more: str) -> DataFrame:
+        """bucket, token, key, unit, field, pos of rows of lists, a row for each posting, with more of their columns."""
+        own = [c for c in ("key", "unit", "field", "pos") if c in lists.columns]
+        rows = lists.select("bucket", "token", *more, F.inline(F.arrays_zip(*own)))
+        alone = {} if "unit" in own else {"unit": F.col("key"), "field": F.lit(0)}  # build(single=True)
+        return rows.withColumns(alone) if alone else rows
+
     def pruned(self, table: DataFrame, tokens: list[str]) -> DataFrame:
         """Rows of a few tokens: only their folders are listed and only row groups that may hold them are read."""
         if not tokens:
@@ -145,7 +176,7 @@ class SearchIndex:
         fits = [F.contains(token, F.lit(phrase[0]))] if k == 1 else [F.endswith(token, F.lit(phrase[0])), *[token == w for w in phrase[1:-1]], F.startswith(token, F.lit(phrase[-1]))]
         roles = F.array_compact(F.array(*[F.when(fit, i) for i, fit in enumerate(fits)]))
         words = self.terms.filter(reduce(or_, fits)).select("bucket", "token", F.explode(roles).alias("role"))
-        held = self.postings.join(small(words), ["bucket", "token"]).select("unit", "field", (F.col("pos") - F.col("role")).alias("start"), "role").distinct()
+        held = self.opened(self.lists.join(small(words), ["bucket", "token"]), "role").select("unit", "field", (F.col("pos") - F.col("role")).alias("start"), "role").distinct()
         return held.groupBy("unit", "field", "start").agg(F.count("*").alias("n")).filter(F.col("n") == k).select("unit", "field").distinct()
 
     def fields(self, query: str) -> DataFrame:

@@ -162,3 +162,15 @@ def test_vectors_are_scored_in_blocks_with_exact_ties(spark, monkeypatch):
         seeds = linking.compatible_topk(df, few, k=3, least=0.1)
         assert {tuple(x)[:3] for x in seeds.collect()} == {x[:3] for x in want(ok, of, 3, 0.1, True)}
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_row_of_the_index_is_what_a_batch_says_of_a_token(spark, tmp_path):
+    """Postings are stored as lists, so that a token is shuffled once a batch; frequencies count a key of many units once, null keys as one."""
+    from papyra.operators import search_index
+
+    units = [(k if k < 9 else None, f"{k}.{i}", ["shared words", f"own{k} shared"]) for k in range(10) for i in range(20)]
+    index = search_index.build(spark.createDataFrame(units, "key int, unit string, fields array<string>").repartition(3), str(tmp_path / "units"), buckets=2)
+    stored = spark.read.parquet(str(tmp_path / "units" / "postings"))
+    assert stored.filter("token = 'shared'").count() <= spark.sparkContext.defaultParallelism
+    assert {r["token"]: r["df"] for r in index.terms.collect()} == {"shared": 10, "words": 10, **{f"own{k}": 1 for k in range(10)}} and index.n == 10
+    assert index.postings.filter("token = 'shared'").select("unit", "field", "pos").distinct().count() == 400
