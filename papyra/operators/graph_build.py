@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.recovery import scientific_text
 from ..functions.scalars import as_int, first_filled, record_id, slug
 from ..functions.text import squeeze
+from ..shared import kept
 from .extraction import blocked, resolve_papers
 from .graph import citation_ids, co_citation, merge_edges, with_stubs
 
@@ -78,16 +79,6 @@ def accepted_relations(relations: Column) -> Column:
     return F.filter(relations, lambda x: (F.lower(x["review_status"]) == "approved") & (F.coalesce(x["evidence_span"], F.lit("")) != ""))
 
 
-class Graph(NamedTuple):
-    papers: DataFrame  # id, title, year, doi, source, is_stub, added_to_graph
-    citations: DataFrame  # src, dst
-    similar: DataFrame  # src, dst, score, shared
-    concepts: DataFrame  # id, label, aliases, domain
-    methods: DataFrame  # id, label, domain, description
-    mentions: DataFrame  # paper_id, node_id, role, relation, weight, evidence, source
-    related: DataFrame  # src, relation, dst, evidence, confidence, source
-
-
 def citation_edges(papers: DataFrame) -> DataFrame:
     """src, dst: what papers (id, source, source_id, citations, references) cite, without themselves, once each."""
     own = record_id(papers["id"], papers["source"], papers["source_id"])
@@ -122,23 +113,72 @@ def graph_entities(extractions: DataFrame, papers: DataFrame) -> DataFrame:
     return best.select("b.extraction_id", "paper_id", "b.known", "b.role", "node_id", "b.label", "b.item", "b.paper_type")
 
 
+class Graph:
+    """The node and edge tables of a build. Each is planned when it is asked for, so a caller pays for what it reads; the entities behind most of them are found once and written down."""
+
+    def __init__(self, papers: DataFrame, extractions: DataFrame, now: Column, min_shared: int, min_score: float):
+        self._papers, self._extractions, self._now, self._least = papers, extractions, now, (min_shared, min_score)
+        self._names = extractions.schema["concepts"].dataType.elementType.names
+
+    def _has(self, name: str) -> Column:
+        return F.col("item")[name] if name in self._names else F.lit(None).cast("string")
+
+    @cached_property
+    def _nodes(self) -> DataFrame:
+        return paper_rows(self._papers, self._now)
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        """As graph_entities() gives them."""
+        return kept(graph_entities(self._extractions, self._nodes.select("id", F.lit(0).alias("ord"))))
+
+    @cached_property
+    def papers(self) -> DataFrame:
+        """id, title, year, doi, source, is_stub, added_to_graph"""
+        with_cited = with_stubs(self._nodes, self.citations)
+        unknown = self.entities.filter("not known").select(F.col("paper_id").alias("id")).distinct().join(with_cited, "id", "left_anti")
+        stub = unknown.select("id", F.lit("").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("doi"), F.lit("extraction_stub").alias("source"), F.lit(True).alias("is_stub"), self._now.alias("added_to_graph"))
+        return with_cited.unionByName(stub)
+
+    @cached_property
+    def citations(self) -> DataFrame:
+        """src, dst"""
+        return citation_edges(self._papers)
+
+    @cached_property
+    def similar(self) -> DataFrame:
+        """src, dst, score, shared"""
+        return co_citation(self.citations, min_shared=self._least[0], min_score=self._least[1])
+
+    @cached_property
+    def concepts(self) -> DataFrame:
+        """id, label, aliases, domain"""
+        has, item = self._has, F.col("item")
+        return self.entities.filter("role = 'concept'").groupBy(F.col("node_id").alias("id")).agg(F.max_by(F.struct(clean_ascii(first_filled(has("canonical_label"), F.col("label"))).alias("label"), first_of_each(F.concat(F.array("label"), F.coalesce(item["aliases"], F.array().cast("array<string>")))).alias("aliases"), F.coalesce(has("domain"), F.lit("")).alias("domain")), F.struct("extraction_id", "paper_id")).alias("b")).select("id", "b.*")
+
+    @cached_property
+    def methods(self) -> DataFrame:
+        """id, label, domain, description"""
+        has = self._has
+        return self.entities.filter("role = 'method'").groupBy(F.col("node_id").alias("id")).agg(F.max_by(F.struct(clean_ascii(first_filled(has("canonical_label"), F.col("label"))).alias("label"), F.coalesce(has("domain"), F.lit("")).alias("domain"), F.coalesce(first_filled(has("description"), has("context")), F.lit("")).alias("description")), F.struct("extraction_id", "paper_id")).alias("b")).select("id", "b.*")
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        """paper_id, node_id, role, relation, weight, evidence, source"""
+        has, item = self._has, F.col("item")
+        relation = F.when(F.col("role") == "concept", concept_relation(F.col("paper_type"), has("salience"), has("evidence_role"))).otherwise(method_relation(F.col("paper_type"), has("source_type")))
+        source = F.coalesce(first_filled(has("source_type"), has("evidence_role"), has("source")), F.lit(""))
+        return self.entities.select("paper_id", "node_id", "role", relation.alias("relation"), weight(item).alias("weight"), evidence_of(item, self._names).alias("evidence"), source.alias("source"))
+
+    @cached_property
+    def related(self) -> DataFrame:
+        """src, relation, dst, evidence, confidence, source"""
+        return related(self._extractions, self.entities)
+
+
 def build(papers: DataFrame, extractions: DataFrame, now: Column, *, min_shared: int = 2, min_score: float = 0.25) -> Graph:
     """All node and edge tables of papers (with seq, citations, references, added_to_graph) and their extractions (with relations). Ids that papers cite and that only extractions know become stubs."""
-    edges = citation_edges(papers)
-    nodes = paper_rows(papers, now)
-    order = nodes.select("id", F.lit(0).alias("ord"))
-    entities = graph_entities(extractions, order)
-    with_cited = with_stubs(nodes, edges)
-    unknown = entities.filter("not known").select(F.col("paper_id").alias("id")).distinct().join(with_cited, "id", "left_anti")
-    stub = unknown.select("id", F.lit("").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("doi"), F.lit("extraction_stub").alias("source"), F.lit(True).alias("is_stub"), now.alias("added_to_graph"))
-    item, names = F.col("item"), extractions.schema["concepts"].dataType.elementType.names
-    has = lambda n: item[n] if n in names else F.lit(None).cast("string")
-    concepts = entities.filter("role = 'concept'").groupBy(F.col("node_id").alias("id")).agg(F.max_by(F.struct(clean_ascii(first_filled(has("canonical_label"), F.col("label"))).alias("label"), first_of_each(F.concat(F.array("label"), F.coalesce(item["aliases"], F.array().cast("array<string>")))).alias("aliases"), F.coalesce(has("domain"), F.lit("")).alias("domain")), F.struct("extraction_id", "paper_id")).alias("b")).select("id", "b.*")
-    methods = entities.filter("role = 'method'").groupBy(F.col("node_id").alias("id")).agg(F.max_by(F.struct(clean_ascii(first_filled(has("canonical_label"), F.col("label"))).alias("label"), F.coalesce(has("domain"), F.lit("")).alias("domain"), F.coalesce(first_filled(has("description"), has("context")), F.lit("")).alias("description")), F.struct("extraction_id", "paper_id")).alias("b")).select("id", "b.*")
-    relation = F.when(F.col("role") == "concept", concept_relation(F.col("paper_type"), has("salience"), has("evidence_role"))).otherwise(method_relation(F.col("paper_type"), has("source_type")))
-    source = F.coalesce(first_filled(has("source_type"), has("evidence_role"), has("source")), F.lit(""))
-    mentions = entities.select("paper_id", "node_id", "role", relation.alias("relation"), weight(item).alias("weight"), evidence_of(item, names).alias("evidence"), source.alias("source"))
-    return Graph(with_cited.unionByName(stub), edges, co_citation(edges, min_shared=min_shared, min_score=min_score), concepts, methods, mentions, related(extractions, entities))
+    return Graph(papers, extractions, now, min_shared, min_score)
 
 
 def related(extractions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -39,11 +39,12 @@ def _extractions(spark, sf_dir):
         (F.col("l_linenumber") == 7).alias("auto_detected"), F.lit(None).cast("string").alias("candidate_source"), F.lit(None).cast("boolean").alias("accepted_for_kg_write"), F.concat(F.lit("line "), text(F.col("l_linenumber"))).alias("evidence_span"), F.lit("d").alias("domain"),
     )
     rows = line.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("k"), item.alias("item"), F.concat(F.lit("concept:part-kind-"), text(F.col("l_partkey") % 40)).alias("node"))
-    of = lambda odd: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: (x["k"]["l_linenumber"] % 2 == 1) == odd), lambda x: x["item"])
-    ends = F.array_sort(F.collect_list(F.struct("k", "node")))
+    # Sorted once, in a column of its own: what a lambda looks at is worked out for each element.
+    lists = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", "node", "item"))).alias("all"))
+    of = lambda odd: F.transform(F.filter("all", lambda x: (x["k"]["l_linenumber"] % 2 == 1) == odd), lambda x: x["item"])
     # Each line relates its kind to the first line's.
-    relation = F.transform(ends, lambda x: F.struct(x["node"].alias("subject_id"), F.when(x["k"]["l_linenumber"] % 2 == 0, "").otherwise("USES").alias("relation_type"), F.get(ends, 0)["node"].alias("object_id"), F.when(x["k"]["l_linenumber"] == 5, "").otherwise("said").alias("evidence_span"), F.lit(0.5).alias("confidence"), F.lit("llm").alias("source"), F.lit("APPROVED").alias("review_status")))
-    lists = rows.groupBy("l_orderkey").agg(of(True).alias("concepts"), of(False).alias("methods"), relation.alias("relations"))
+    relation = F.transform("all", lambda x: F.struct(x["node"].alias("subject_id"), F.when(x["k"]["l_linenumber"] % 2 == 0, "").otherwise("USES").alias("relation_type"), F.get("all", 0)["node"].alias("object_id"), F.when(x["k"]["l_linenumber"] == 5, "").otherwise("said").alias("evidence_span"), F.lit(0.5).alias("confidence"), F.lit("llm").alias("source"), F.lit("APPROVED").alias("review_status")))
+    lists = lists.select("l_orderkey", of(True).alias("concepts"), of(False).alias("methods"), relation.alias("relations"))
     kind = F.when(F.col("o_orderpriority").like("1%"), "survey").otherwise("research")
     return o.join(lists, o.o_orderkey == lists.l_orderkey).select(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("zz"), text(F.col("o_custkey") % 200))).otherwise(F.concat(F.lit("o"), text(F.col("o_orderkey")))).alias("paper_id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("success").alias("extraction_status"),

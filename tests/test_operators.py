@@ -264,3 +264,20 @@ def test_embedded_labels_and_their_squares(spark):
     rows = df.select("k", "v", square(F.col("v")).alias("a"), dot(F.col("v"), F.col("v")).alias("b")).orderBy("k").collect()
     assert np.array_equal(np.array([r["v"] for r in rows], np.float32), embedded(names, 64))
     assert all(r["a"] == r["b"] and abs(r["a"] - 1) < 1e-6 for r in rows)
+
+
+def test_a_build_plans_what_is_asked_for(spark, monkeypatch):
+    """Edges of likeness aren't worked out for a caller who reads mentions, and entities are found once for all tables."""
+    from papyra.operators import graph_build
+    from papyra.plans import graph_build_queries
+
+    def never(*a, **k):
+        raise AssertionError("not asked for")
+
+    found = []
+    real = graph_build.graph_entities
+    monkeypatch.setattr(graph_build, "co_citation", never)
+    monkeypatch.setattr(graph_build, "graph_entities", lambda *a: found.append(1) or real(*a))
+    g = graph_build_queries._graph(spark, "/root/testdata/sf0.001")
+    assert g.mentions.count() > 0 and g.concepts.count() > 0 and g.related.columns[0] == "src"
+    assert len(found) == 1
