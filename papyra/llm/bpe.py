@@ -3,7 +3,8 @@
 ``automaton.TokenAutomaton`` is built from the merge list, one gadget a merge. A text is cut at
 added tokens, then into words by the pre-tokenizer's pattern; each word is encoded by table
 transitions (``ByteLevelBpe.encode_word``) and decoding joins the labels of the ids' arcs.
-Words recur, so each worker keeps a bounded table of words it has encoded. All is narrow.
+Words recur, so each worker keeps two bounded tables of words it has encoded: a word of the
+older one that recurs moves to the newer one, so a full table loses rare words only. All is narrow.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ WORDS_KEPT = 100_000
 
 
 class Codec(dict):
-    """Whole texts to ids and back; as a dict: words to ids, emptied when it holds too many."""
+    """Whole texts to ids and back; as a dict: words to ids. When it holds too many they become the older ones, in place of those before."""
 
     def __init__(self, path: str):
         import regex
@@ -29,14 +30,18 @@ class Codec(dict):
         from .tokenizer_files import byte_level
 
         self.bpe = byte_level(path)
+        self.older: dict[str, tuple[int, ...]] = {}
         self.words = regex.compile(PATTERN).findall
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.bpe.added, key=len, reverse=True))) + ")") if self.bpe.added else None
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        ids = self.bpe.encode_word(word.encode("utf-8", "replace"))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.bpe.encode_word(word.encode("utf-8", "replace"))
         if len(word) <= 40:
+            if len(self) >= WORDS_KEPT:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 

@@ -150,3 +150,18 @@ def test_empty_tables(spark):
     none = rows(spark).limit(0)
     assert token_counts(none, P.path("piece_bpe_32k.model")).count() == 0
     assert digests(none, P.path("byte_bpe_50k.json")).count() == 0 == encode(none, P.path("byte_bpe_50k.json")).count()
+
+
+def test_a_full_table_of_words_loses_rare_words_only(monkeypatch):
+    from papyra.llm import bpe
+
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 50)
+    codec, encoded = bpe.Codec(P.path("byte_bpe_50k.json")), []
+    plain = codec.bpe.encode_word
+    monkeypatch.setattr(codec.bpe, "encode_word", lambda w: encoded.append(w) or plain(w))
+    text = "".join(f" often rare{k}" for k in range(400))
+    ids = codec.encode(text)
+    assert codec.decode(ids) == text
+    assert encoded.count(b" often") == 1
+    assert len(codec) <= 50 and len(codec.older) <= 50
+    assert ids == [i for w in codec.words(text) for i in plain(w.encode())]
