@@ -142,9 +142,13 @@ def _initials(words: Column) -> Column:
     return F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
 
 
-def long_form(said: Column, short: Column) -> Column:
-    """The last words of a name whose initials a short form is, where there are such; else the name."""
-    words = F.regexp_extract_all(said, F.lit("[A-Za-z][A-Za-z0-9-]*"), F.lit(0))
+def name_words(said: Column) -> Column:
+    return F.regexp_extract_all(said, F.lit("[A-Za-z][A-Za-z0-9-]*"), F.lit(0))
+
+
+def long_form(said: Column, short: Column, words: Column | None = None) -> Column:
+    """The last words of a name whose initials a short form is, where there are such; else the name. words: name_words(said), where that is a column already, as it is looked at several times."""
+    words = name_words(said) if words is None else words
     n, k = F.size(words), F.length(short)
     last = F.slice(words, F.greatest(F.lit(1), n - k + 1), k)
     return F.when((n >= k) & (_initials(last) == F.upper(short)), F.array_join(last, " ")).otherwise(said)
