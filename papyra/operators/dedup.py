@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import blank_to_null, normal_doi
+from ..functions.scalars import normal_doi
 from ..functions.text import normal_key
 from ..shared import kept
 
@@ -75,13 +75,21 @@ def _open(x: DataFrame) -> DataFrame:
 
 def _decided(y: DataFrame) -> DataFrame:
     """Rows before which no open row has one of their keys or groups: what they meet is final. Least places are aggregates, so a key of many rows is no one's task."""
-    parts = F.array_compact(F.array(F.concat(F.lit("k"), "d"), F.concat(F.lit("k"), "t"), F.concat(F.lit("g"), F.col("gd").cast("string")), F.concat(F.lit("g"), F.col("gt").cast("string"))))
+    key, group = lambda c: F.concat(F.lit(b"k"), c), lambda c: F.encode(F.concat(F.lit("g"), F.col(c).cast("string")), "UTF-8")
+    parts = F.array_compact(F.array(key("d"), key("t"), group("gd"), group("gt")))
     rows = y.withColumn("_parts", F.array_distinct(parts))
     least = rows.select("ord", F.explode("_parts").alias("part")).groupBy("part").agg(F.min("ord").alias("_o"))
     won = least.groupBy("_o").agg(F.count("*").alias("_n"))
     return rows.join(won, F.col("ord") == F.col("_o")).filter(F.col("_n") == F.size("_parts")).select(*y.columns)
 
 
+def _keyed(records: DataFrame) -> DataFrame:
+    """ord, d, t, v of records: 128 bits of SHA-256 stand for a DOI and for a title, which may be as long as a text and moves many times. Normal forms are columns of their own, as they are looked at twice."""
+    r = records.select("ord", normal_doi(F.col("doi")).alias("d"), normal_key(F.col("title")).alias("t"), F.coalesce(F.col("version").cast("int"), F.lit(1)).alias("v"))
+    key = lambda kind, c: F.when(F.col(c) != "", F.substring(F.unhex(F.sha2(F.concat(F.lit(kind), c), 256)), 1, 16)).alias(c)
+    return r.select("ord", key("d:", "d"), key("t:", "t"), "v")
+
+
 def dedup_records(records: DataFrame, *, few: int = FEW) -> DataFrame:
     """Records (ord, doi, title, version) that are left when each in turn is matched by DOI, else title, with those kept before, and the higher version (the earlier of equals) stays.
 
@@ -95,11 +103,10 @@ def dedup_records(records: DataFrame, *, few: int = FEW) -> DataFrame:
     ``few`` records are one task's.
     """
     spark = records.sparkSession
-    key = lambda kind, c: F.concat(F.lit(kind), blank_to_null(c))
-    r = records.select("ord", key("d:", normal_doi(F.col("doi"))).alias("d"), key("t:", normal_key(F.col("title"))).alias("t"), F.coalesce(F.col("version").cast("int"), F.lit(1)).alias("v"))
+    r = kept(_keyed(records))
     free = r.filter("d is null and t is null").select("ord")
-    todo = kept(r.filter("d is not null or t is not null"))
-    keys, groups = spark.createDataFrame([], "key string, g long"), spark.createDataFrame([], "g long, version int, survivor long")
+    todo = r.filter("d is not null or t is not null")
+    keys, groups = spark.createDataFrame([], "key binary, g long"), spark.createDataFrame([], "g long, version int, survivor long")
     while (n := todo.count()) > few:
         y = kept(_open(_known(todo, keys, groups)))
         done = kept(_decided(y).withColumn("g", F.coalesce("gd", "gt", "ord")).withColumn("wins", F.coalesce(F.col("v") > F.coalesce("vd", "vt"), F.lit(True))))

@@ -90,6 +90,19 @@ def test_dedup_records_in_rounds(spark, seed):
     assert {x["ord"] for x in out.collect()} == in_turn(rows)
 
 
+def test_dedup_moves_keys_of_one_size(spark, monkeypatch):
+    """Titles as long as texts, and a title and a DOI that read alike, which don't meet."""
+    from papyra.operators import dedup
+
+    rows = [(i, "10.1/same" if i == 5 else None, "10 1 same" if i == 6 else f"{'Long title ' * 3000}{i % 4}", 1) for i in range(12)]
+    written, plain = [], dedup.kept
+    monkeypatch.setattr(dedup, "kept", lambda df: written.append(plain(df)) or written[-1])
+    out = {x["ord"] for x in dedup.dedup_records(spark.createDataFrame(rows, RECORDS), few=3).collect()}
+    assert out == in_turn(rows)
+    sizes = [df.agg(F.max(F.length(c))).first()[0] for df in written for c in ("d", "t", "key") if c in df.columns]
+    assert max(n for n in sizes if n) == 16
+
+
 def test_fuzzy_methods(spark):
     from papyra.operators.dedup import dedup_methods
 
