@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scalars import round4
 from ..operators import answers, conflicts, retrieval
+from ..shared import in_pieces
 from .registry import derived, query, read
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -156,7 +157,7 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS x FROM do
 g AS (SELECT unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS phrase FROM w WHERE len(x) >= 2)
 SELECT phrase, count(*) AS n FROM g GROUP BY phrase""")
 def ngram_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
+    d = in_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
     return d.select(words.alias("w")).select(F.explode(text.ngrams(F.col("w"), (2,))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 

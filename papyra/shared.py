@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +36,14 @@ def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, where it has fewer: a file of one row group is one task, whatever its splits. Tables of a cluster's size have more and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Bytes of text whose parts one task counts before it shuffles them.
+PIECE = 32_000_000
+
+
+def in_pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, size: int = PIECE) -> DataFrame:
+    """docs in partitions of about ``size`` bytes of text, by id, where the files' splits are larger: what a task counts before a shuffle then doesn't grow with the split."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = -(-total // size)
+    return docs.repartition(n, id_col) if n > docs.rdd.getNumPartitions() else docs

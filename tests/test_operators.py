@@ -294,3 +294,14 @@ def test_a_build_plans_what_is_asked_for(spark, monkeypatch):
     g = graph_build_queries._graph(spark, "/root/testdata/sf0.001")
     assert g.mentions.count() > 0 and g.concepts.count() > 0 and g.related.columns[0] == "src"
     assert len(found) == 1
+
+
+def test_texts_are_counted_in_pieces_of_one_size(spark):
+    from papyra.shared import in_pieces
+
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(400)] + [(-1, None)], "doc_id long, text string").coalesce(1)
+    out = in_pieces(docs, size=10_000)
+    sizes = [sum(len(r["text"] or "") for r in p) for p in out.rdd.glom().collect()]
+    assert sum(sizes) == 400_000 and max(sizes) <= 30_000 and out.count() == 401
+    assert in_pieces(docs).rdd.getNumPartitions() == 1
+    assert in_pieces(docs.limit(0)).count() == 0
