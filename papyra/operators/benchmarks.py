@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def benchmark_summary(reports: DataFrame) -> DataFrame:
 
 def flat(text: Column) -> Column:
     """Lower case, hyphens, underscores and slashes as spaces, squeezed: how terms of answers are compared."""
-    return squeeze(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[-_/]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[-_/ \\t\\r\\n]+", " "))
 
 
 # Words that are taken for one another.
@@ -108,11 +110,39 @@ def stems(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), soft_stem))
 
 
-def term_present(term: Column, text: Column, own: Column) -> Column:
-    """Whether one of a term's options ("a|b") is in a flat text, with spaces or without, or all its stems are among the text's (own)."""
+def forms(stem: Column) -> Column:
+    """All words that have this stem: those that soft_stem() may have made it from, if it did."""
+    n, none = F.length(stem), F.array().cast("array<string>")
+    same = F.coalesce(*[F.when(stem == w, F.array(*map(F.lit, ws))) for w, ws in ONE_WORD.items()], none)
+    ends = F.array(stem, F.concat(stem, F.lit("s")), F.concat(F.substr(stem, F.lit(1), n - 1), F.lit("ies")))
+    return F.array_distinct(F.filter(F.concat(ends, same), lambda w: soft_stem(w) == stem))
+
+
+def has_stem(text: Column, stem: Column) -> Column:
+    """Whether a flat text has a whole word of this stem. All such words begin as the stem does but for its last character, and so does the pattern: Java finds what it begins with without a closer look at each character."""
+    root = F.substr(stem, F.lit(1), F.greatest(F.length(stem) - 1, F.lit(1)))
+    rest = F.array_join(F.transform(forms(stem), lambda w: F.substr(w, F.length(root) + 1)), "|")
+    whole = F.concat(root, F.lit("(?<![a-z0-9]"), root, F.lit(")(?:"), rest, F.lit(")(?![a-z0-9])"))
+    return F.contains(text, root) & F.rlike(text, whole)
+
+
+def tight(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit(""))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is worked out once: a column that is looked at in one place only is moved there by Spark, and within a lambda worked out again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def term_present(term: Column, text: Column, close: Column) -> Column:
+    """Whether one of a term's options ("a|b") is in a flat text, spaces aside (close: the text without them), or the text has a word of each of its stems.
+
+    The text's own stems are not worked out: the few words that have a stem are looked for.
+    """
     options = F.filter(F.transform(F.split(term, "\\|"), flat), lambda o: o != "")
-    tight = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    return F.exists(options, lambda o: F.contains(text, o) | F.contains(tight(text), tight(o)) | ((F.size(stems(o)) > 0) & (F.size(F.array_except(stems(o), own)) == 0)))
+    worded = lambda found: (F.size(found) > 0) & F.forall(found, lambda s: has_stem(text, s))
+    return F.exists(options, lambda o: F.contains(close, tight(o)) | once(stems(o), worded))
 
 
 def evaluated_answers(cases: DataFrame, answers: DataFrame) -> DataFrame:
@@ -124,11 +154,11 @@ def evaluated_answers(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """
     none = F.array().cast("array<string>")
     rows = cases.join(answers, "id", "left").withColumns({"_t": flat(F.col("answer")), "_all": F.array_union(F.coalesce("sources", none), cited_ids(F.coalesce("answer", F.lit(""))))})
-    rows = rows.withColumn("_own", stems(F.col("_t")))
+    missing = lambda close: F.filter(F.coalesce("required_terms", none), lambda t: ~term_present(t, F.col("_t"), close))
     rows = rows.withColumns(
         {
             "missing_sources": F.filter(F.coalesce("expected_sources", none), lambda s: ~F.array_contains(F.col("_all"), s)),
-            "missing_terms": F.filter(F.coalesce("required_terms", none), lambda t: ~term_present(t, F.col("_t"), F.col("_own"))),
+            "missing_terms": once(tight(F.col("_t")), missing),
             "forbidden_hits": F.filter(F.coalesce("forbidden_terms", none), lambda t: F.contains(F.col("_t"), flat(t))),
             "invalid_citations": invalid_citations(F.coalesce("answer", F.lit(""))),
         }

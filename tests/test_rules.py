@@ -286,3 +286,45 @@ def test_keys_of_methods_are_worked_out_once(spark):
     out = entities.merged_methods(spark.createDataFrame(rows, schema))
     assert {r["key"] for r in out.collect()} == {"author:doeandroe", "doeandroe", "author:doeetal", "kind1"}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 10
+
+
+def test_terms_are_found_by_their_stems(spark):
+    from random import Random
+
+    from papyra.operators.benchmarks import ONE_WORD, evaluated_answers, forms
+
+    def flat(x):
+        return re.sub("[ \t\r\n]+", " ", re.sub("[-_/]+", " ", x.lower())).strip(" ")
+
+    def soft(w):
+        for key, words in ONE_WORD.items():
+            if w in words:
+                return key
+        if w.endswith("ies") and len(w) > 4:
+            return w[:-3] + "y"
+        return w[:-1] if w.endswith("s") and len(w) > 3 else w
+
+    def present(term, text):
+        own, found = {soft(w) for w in re.findall("[a-z0-9]+", text)}, []
+        for o in filter(None, map(flat, term.split("|"))):
+            need = {soft(w) for w in re.findall("[a-z0-9]+", o)}
+            found.append(o in text or o.replace(" ", "") in text.replace(" ", "") or bool(need) and need <= own)
+        return any(found)
+
+    r = Random(7)
+    words = [*(w for ws in ONE_WORD.values() for w in ws), *"grades rat ratios generate only onlies onlys anea aneas ands q qs s ss y ies yies ties tie ty é Éa été a1 1s 2ies x.y xx".split()]
+    said = lambda n: "".join(r.choice(words) + r.choice([" ", " ", "  ", "-", "_/", "\n", ". ", " - ", "é", " "]) for _ in range(n))
+    rows = [(i, said(r.randint(0, 6)), [r.choice(["", " ", "|"]).join(["", said(r.randint(1, 2)).strip(), said(1)]) for _ in range(12)] + ["", "|", "é"]) for i in range(300)]
+    cases = spark.createDataFrame([(i, [], t, ["rat", "a-1"]) for i, _, t in rows], "id int, expected_sources array<string>, required_terms array<string>, forbidden_terms array<string>")
+    answers = spark.createDataFrame([(i, x, [], None, False) for i, x, _ in rows], "id int, answer string, sources array<string>, generation_error string, no_answer boolean")
+    e = evaluated_answers(cases, answers)
+    got = {x["id"]: (x["missing_terms"], x["forbidden_hits"]) for x in e.collect()}
+    want = {i: ([t for t in ts if not present(t, flat(x))], [t for t in ("rat", "a-1") if flat(t) in flat(x)]) for i, x, ts in rows}
+    assert got == want and 500 < sum(len(m) for m, _ in want.values()) < 4000
+    stems = sorted({soft(w) for w in words if re.fullmatch("[a-z0-9]+", w)})
+    made = spark.createDataFrame([(s,) for s in stems], "s string").select("s", forms(F.col("s")).alias("f")).collect()
+    assert all({soft(w) for w in x["f"]} <= {x["s"]} and {w for w in words if soft(w) == x["s"]} <= set(x["f"]) for x in made)
+    # The words of a text are not made for each option of a term, and what options are compared with is worked out before they are.
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "_t#" in plan and not re.search(r"regexp_extract_all\(_t#", plan)
+    assert re.search(r"transform\(array\(replace\(_t#\d+,  , \)\)", plan) and len(re.findall(r"replace\(_t#", plan)) == 1
